@@ -59,7 +59,8 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-finite values count as missing; missing values become the column mean."""
     cleaned = df.withColumns({c: N.finite_or(F.col(c), None) for c in columns})
     means = cleaned.select(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-    return cleaned.withColumns({c: F.coalesce(F.col(c), means[c]) for c in columns})
+    return cleaned.withColumn("_fit", means).withColumns(
+        {c: F.coalesce(F.col(c), F.col(f"_fit.{c}")) for c in columns}).drop("_fit")
 
 
 def qgram_counts(df: DataFrame, key: str, column: str, q: int = 4, buckets: int = 256) -> DataFrame:

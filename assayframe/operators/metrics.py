@@ -55,13 +55,12 @@ def fit_scalers(train: DataFrame, temperature: str = S.TEMPERATURE, concentratio
 
 def scale_with_mask(df: DataFrame, scalers: DataFrame, temperature: str = S.TEMPERATURE,
                     concentration: str = S.CONCENTRATION) -> DataFrame:
-    fit = scalers.select(F.struct("*")).scalar()
-    return df.withColumns({
-        "temp_scaled": N.scaled(F.col(temperature), fit["temp_mean"], fit["temp_std"]),
-        "conc_scaled": N.scaled(F.col(concentration), fit["conc_mean"], fit["conc_std"]),
+    return df.withColumn("_fit", scalers.select(F.struct("*")).scalar()).withColumns({
+        "temp_scaled": N.scaled(F.col(temperature), F.col("_fit.temp_mean"), F.col("_fit.temp_std")),
+        "conc_scaled": N.scaled(F.col(concentration), F.col("_fit.conc_mean"), F.col("_fit.conc_std")),
         "additive_mask": N.text_mask(F.col(S.ADDITIVE)),
         "conc_mask": N.number_mask(F.col(concentration)),
-    })
+    }).drop("_fit")
 
 
 def moments(df: DataFrame, vector: str, weight: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
@@ -80,7 +80,11 @@ def pipeline(name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), param
 def fit(train: DataFrame, name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), params: dict | None = None) -> PipelineModel:
     """Fit on the annotated rows. The learners pass over the rows many times, so the narrow feature
     table is persisted (memory, then local disk; lost blocks are recomputed) while they run."""
-    narrow = train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns).persist()
+    narrow = train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if narrow.rdd.getNumPartitions() < cores:
+        narrow = narrow.repartition(cores)
+    narrow = narrow.persist()
     try:
         return pipeline(name, columns, params).fit(narrow)
     finally:
@@ -124,7 +128,7 @@ def linear_scorer(coefficients: Sequence[float], intercept: float, batch_size: i
 
         return predict
 
-    udf = predict_batch_udf(make, return_type="double", batch_size=batch_size, input_tensor_shapes=[[len(coefficients)]])
+    udf = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[len(coefficients)]])
     return lambda *columns: udf(F.array(*columns))
 
 

@@ -1,34 +1,38 @@
-"""Exact k-nearest-neighbour estimation as grouped aggregates and equi-joins.
+"""Exact k-nearest-neighbour estimation.
 
-Rows are first collapsed to distinct feature points (at most ``k`` rows of a point can ever be
-chosen, so a point keeps its ``k`` lowest ids). Search then works on a grid with cell widths that
+Rows are first collapsed: of one feature point at most ``k`` rows can ever be chosen, the ones with
+the lowest ids. If the rest fits a checked bound, every task gets it and ranks its share of the
+queries. Otherwise the search works by grouped aggregates and equi-joins on a grid whose cell widths
 are powers of two:
 
-1. every point is counted into its cell at every width, with the bounding box of the cell;
+1. every row is counted into its cell at every width, with the bounding box of the cell;
 2. a query looks up its own cell at every width. Each cell that holds ``k`` rows gives an upper
    bound on the k-th distance (the farthest corner of the box); the least bound wins;
 3. the query visits the cells that the ball of that radius touches, at the narrowest width not
-   below the radius: at most three cells per dimension. An equi-join fetches their points, and
-   the exact distances are ranked.
+   below half the radius: at most five cells per dimension, clipped to the extent of the group.
+   An equi-join fetches their rows, and the exact distances are ranked.
 
-No pair outside the visited cells is formed, nothing is broadcast by hand, and the ball always
+No pair outside the visited cells is formed, and the ball always
 holds the k nearest rows, so the result equals brute force. Ties go to the lower row id.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayframe import schemas as S
 from assayframe.functions import text as X
-from assayframe.session import materialize
+from assayframe.session import materialize, spread
 
 ANY = "*"
-MAX_LEVELS = 16
+MAX_BROADCAST_ROWS = 200_000
+WHOLE = 999  # the level of the one cell that holds a whole group
 
 
 def _sum(cols: Sequence[Column]) -> Column:
@@ -39,107 +43,106 @@ def _square(c: Column) -> Column:
     return c * c
 
 
-def collapse_points(rows: DataFrame, keys: Sequence[str], row_id: str, payload: Sequence[str], k: int) -> DataFrame:
-    """Distinct ``keys`` with the ``k`` lowest-id rows of each as a sorted array of structs."""
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(row_id))).where(F.col("_rn") <= k)
-    entry = F.struct(F.col(row_id).alias("id"), *[F.col(c) for c in payload])
-    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+def lowest(rows: DataFrame, keys: Sequence[str], row_id: str, k: int) -> DataFrame:
+    """The ``k`` lowest-id rows of each key. Spark limits each task's groups before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(row_id)
+    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
 
 
 def cell_levels(queries: DataFrame, rows: DataFrame, dims: Sequence[str]) -> range:
-    """Cell widths from the data extent: one aggregate over both tables, one row back."""
+    """Exponents of the cell widths, from the data extent and size: one aggregate, one row back."""
     spans = queries.select(*dims).union(rows.select(*dims)).agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims],
     ).first()
-    extent = max(((spans[f"hi_{d}"] or 0.0) - (spans[f"lo_{d}"] or 0.0) for d in dims), default=0.0)
-    # The widest cells must cover any ball inside the extent, whatever the number of dimensions.
+    extent = max((spans[f"hi_{d}"] or 0.0) - (spans[f"lo_{d}"] or 0.0) for d in dims)
+    # The widest cells must be wider than any ball inside the extent.
     top = math.ceil(math.log2(max(extent * math.sqrt(len(dims)), 1.0))) + 1
-    return range(top - MAX_LEVELS + 1, top + 1)
+    depth = min(24, max(6, math.ceil(math.log2(spans["n"] + 1))))
+    return range(top - depth + 1, top + 1)
 
 
-def _cell(dims: Sequence[str], width: Column) -> list[Column]:
+def _cells(dims: Sequence[str], width: Column) -> list[Column]:
     return [F.floor(F.col(d) / width).cast("bigint").alias(f"_c{i}") for i, d in enumerate(dims)]
 
 
-def nearest_points(queries: DataFrame, points: DataFrame, *, by: Sequence[str], dims: Sequence[str], k: int,
-                   levels: range, query_id: str) -> DataFrame:
-    """The points that hold the ``k`` nearest rows of each query inside its ``by`` group.
+def candidates(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], k: int,
+               levels: range, query_id: str, carry: Sequence[str]) -> DataFrame:
+    """Every row that can be among the ``k`` nearest of a query inside its ``by`` group.
 
-    ``queries``: query_id, by, dims. ``points``: by, dims, entries (from ``collapse_points``).
-    Returns query_id, d2 and entries.
+    Returns query_id, by, d2 and the ``carry`` columns; the k nearest are always among them.
     """
-    widths = F.array(*[F.struct(F.lit(l).alias("level"), F.lit(2.0 ** l).alias("width")) for l in levels])
+    level = lambda i, width: F.struct(F.lit(i).alias("level"), F.lit(width).alias("width"))
+    widths = [level(i, 2.0 ** i) for i in levels]
     cells = [f"_c{i}" for i in range(len(dims))]
 
-    # (1) cell summaries, plus one summary per group that is always there.
-    weighted = points.select(*by, *dims, F.size("entries").alias("_n"))
-    leveled = weighted.withColumn("_w", F.explode(widths)).select(
-        *by, *dims, "_n", F.col("_w.level").alias("_level"), *_cell(dims, F.col("_w.width")))
+    # (1) cell summaries. The widest "cell" is the whole group; it bounds queries of small groups.
+    whole = F.col("_w.level") == WHOLE
+    everywhere = F.explode(F.array(*widths, level(WHOLE, 1.0)))
+    placed_everywhere = lambda df, *more: df.withColumn("_w", everywhere).select(
+        *more, *by, *dims, F.col("_w.level").alias("_level"),
+        *[F.when(whole, F.lit(0)).otherwise(c).cast("bigint").alias(n) for c, n in zip(_cells(dims, F.col("_w.width")), cells)])
     box = [a for d in dims for a in (F.min(d).alias(f"_lo_{d}"), F.max(d).alias(f"_hi_{d}"))]
-    summary = leveled.groupBy(*by, "_level", *cells).agg(F.sum("_n").alias("_rows"), *box).where(F.col("_rows") >= k)
-    whole = weighted.groupBy(*by).agg(*box)
+    summary = (
+        placed_everywhere(rows).groupBy(*by, "_level", *cells).agg(F.count(F.lit(1)).alias("_rows"), *box)
+        .where((F.col("_rows") >= k) | (F.col("_level") == WHOLE))
+    )
 
-    # (2) the least upper bound over all widths.
+    # (2) the least upper bound over all widths, and the extent of the group.
     far2 = _sum([F.greatest(_square(F.col(d) - F.col(f"_lo_{d}")), _square(F.col(d) - F.col(f"_hi_{d}"))) for d in dims])
-    asked = queries.select(query_id, *by, *dims).withColumn("_w", F.explode(widths)).select(
-        query_id, *by, *dims, F.col("_w.level").alias("_level"), *_cell(dims, F.col("_w.width")))
-    local = asked.join(summary, [*by, "_level", *cells]).select(query_id, *by, *dims, far2.alias("_far2"))
-    overall = queries.select(query_id, *by, *dims).join(whole, list(by)).select(query_id, *by, *dims, far2.alias("_far2"))
-    bounded = local.unionByName(overall).groupBy(query_id, *by, *dims).agg((F.min("_far2") + 1e-6).alias("_far2"))
+    of_group = lambda c: F.max(F.when(F.col("_level") == WHOLE, F.col(c))).alias(c)
+    bounded = (
+        placed_everywhere(queries, query_id).join(summary, [*by, "_level", *cells])
+        .groupBy(query_id, *by, *dims)
+        .agg((F.min(far2) + 1e-6).alias("_far2"), *[of_group(f"_{e}_{d}") for d in dims for e in ("lo", "hi")])
+    )
 
-    # (3) visit the touched cells at the narrowest width that is not below the radius.
+    # (3) visit the touched cells at the narrowest width that is not below half the radius.
     radius = F.sqrt("_far2")
-    # Computed in doubles, so one step up covers a rounded-down logarithm.
-    level = F.greatest(F.lit(levels[0]), F.ceil(F.log2(radius)).cast("int") + F.when(
-        F.pow(F.lit(2.0), F.ceil(F.log2(radius))) < radius, 1).otherwise(0))
-    visits = bounded.withColumn("_level", F.least(F.lit(levels[-1]), level)).withColumn(
-        "_width", F.pow(F.lit(2.0), F.col("_level")))
+    fitting = F.ceil(F.log2(radius)).cast("int") - 1
+    visits = bounded.withColumn("_level", F.least(F.lit(levels[-1]), F.greatest(F.lit(levels[0]), fitting)))
+    visits = visits.withColumn("_width", F.pow(F.lit(2.0), F.col("_level")))
+    cell_of = lambda x: F.floor(x / F.col("_width")).cast("bigint")
     for d, cell in zip(dims, cells):
-        visits = visits.withColumn(cell, F.explode(F.sequence(
-            F.floor((F.col(d) - radius) / F.col("_width")).cast("bigint"),
-            F.floor((F.col(d) + radius) / F.col("_width")).cast("bigint"))))
-    placed = points.withColumn("_w", F.explode(widths)).select(
-        *by, F.col("_w.level").alias("_level"), *_cell(dims, F.col("_w.width")),
-        *[F.col(d).alias(f"_p_{d}") for d in dims], "entries")
+        first = F.greatest(F.col(d) - radius, F.col(f"_lo_{d}"))
+        last = F.least(F.col(d) + radius, F.col(f"_hi_{d}"))
+        gap = F.greatest(F.col(cell) * F.col("_width") - F.col(d), F.col(d) - (F.col(cell) + 1) * F.col("_width"), F.lit(0.0))
+        visits = visits.where(first <= last).withColumn(cell, F.explode(F.sequence(cell_of(first), cell_of(last)))).withColumn(f"_gap_{d}", gap)
+    # Corner cells outside the ball are left out.
+    touched = visits.where(_sum([_square(F.col(f"_gap_{d}")) for d in dims]) <= F.col("_far2"))
+    visits = spread(touched.select(query_id, *by, *dims, "_far2", "_level", *cells), *by, "_level", *cells)
+    placed = rows.withColumn("_w", F.explode(F.array(*widths))).select(
+        *by, F.col("_w.level").alias("_level"), *_cells(dims, F.col("_w.width")),
+        *[F.col(d).alias(f"_p_{d}") for d in dims], *carry)
     d2 = _sum([_square(F.col(d) - F.col(f"_p_{d}")) for d in dims])
-    near = (
+    return (
         visits.join(placed, [*by, "_level", *cells])
-        .withColumn("d2", F.round(d2, 9))
-        .where(F.col("d2") <= F.col("_far2"))
-        .select(query_id, *by, "d2", "entries")
+        .withColumn("d2", F.round(d2, 9)).where(F.col("d2") <= F.col("_far2"))
+        .select(query_id, *by, "d2", *carry)
     )
-    order = Window.partitionBy(query_id, *by).orderBy("d2", F.col("entries")[0]["id"])
-    return near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
-             value: str, row_id: str, k: int, query_id: str = "query_id") -> DataFrame:
-    """Mean ``value`` of the ``k`` rows nearest to each query, with a category in the distance.
+def estimate_by_grid(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
+                     value: str, row_id: str, k: int, query_id: str) -> DataFrame:
+    """``estimate`` for any number of rows, by the grid search.
 
-    The squared distance is Euclidean over ``dims`` plus 0 for the same category, 2 for another one
-    and 1 when the query's category never occurs among the rows of its group (a one-hot encoding
-    with unseen levels ignored). The k nearest rows are always among the k nearest of the same
-    category and the k nearest of any category, so each query asks for just those two lists.
+    The k nearest rows are always among the k nearest of the same category and the k nearest of any
+    category, so each query asks for just those two lists.
     """
     group = [*by, "_pool"]
-    pooled = F.explode(F.array(F.col(category), F.lit(ANY)))
-    points = collapse_points(
-        rows.withColumn("_pool", pooled), [*group, *dims], row_id, [category, value], k)
-    asks = queries.select(query_id, *by, category, *dims)
-    seen = rows.select(*by, F.col(category)).distinct().withColumn("_seen", F.lit(True))
-    asked = asks.join(seen, [*by, category], "left")
-    spread = asked.withColumn("_pool", pooled).select(query_id, *group, *dims)
-    levels = cell_levels(queries, rows, dims)
-    lists = nearest_points(spread, points, by=group, dims=dims, k=k, levels=levels, query_id=query_id)
-    hits = lists.select(query_id, "_pool", "d2", F.explode("entries").alias("e")).join(
-        asked.select(query_id, F.col(category).alias("_own"), "_seen"), query_id)
-    own = F.col(f"e.{category}") == F.col("_own")
-    penalty = F.when(F.col("_seen").isNull(), 1.0).when(own, 0.0).otherwise(2.0)
-    # A row of the query's own category is already in the first list.
-    scored = hits.where((F.col("_pool") != ANY) | ~own).select(
-        query_id, F.round(F.col("d2") + penalty, 9).alias("d2"), F.col("e.id").alias("_id"),
-        F.col(f"e.{value}").alias("_value"))
-    order = Window.partitionBy(query_id).orderBy("d2", "_id")
+    pools = F.explode(F.array(F.col(category), F.lit(ANY)))
+    points = lowest(rows.withColumn("_pool", pools), [*group, *dims], row_id, k)
+    asks = queries.select(query_id, *by, *dims, F.col(category).alias("_own")).withColumn(
+        "_pool", F.explode(F.array(F.col("_own"), F.lit(ANY))))
+    near = candidates(
+        asks.withColumn("_ask", F.struct(query_id, "_own")).select("_ask", *group, *dims), points, by=group, dims=dims,
+        k=k, levels=cell_levels(queries, rows, dims), query_id="_ask", carry=[row_id, category, value])
+    same = F.col(category) == F.col("_ask._own")
+    # In the list over any category, rows of the query's own one are repeats.
+    scored = near.where((F.col("_pool") != ANY) | ~same).select(
+        F.col(f"_ask.{query_id}").alias(query_id), row_id, F.col(value).alias("_value"),
+        F.round(F.col("d2") + F.when(same, 0.0).otherwise(2.0), 9).alias("d2"))
+    order = Window.partitionBy(query_id).orderBy("d2", row_id)
     return (
         scored.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
         .groupBy(query_id)
@@ -147,6 +150,75 @@ def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Se
     )
 
 
+def _group_matrices(table: pd.DataFrame, by: Sequence[str], dims: Sequence[str], category: str, value: str, row_id: str) -> dict:
+    """Rows in id order as arrays, per group: position order is then the tie order."""
+    table = table.sort_values(row_id)
+    parts = table.groupby(list(by), dropna=False) if by else [((), table)]
+    return {
+        tuple(key): (part[list(dims)].to_numpy(dtype=float), part[category].to_numpy(dtype=object), part[value].to_numpy(dtype=float))
+        for key, part in parts
+    }
+
+
+def _nearest_means(asked: np.ndarray, own: np.ndarray, matrix: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean value and number of the k nearest rows of each asked point, a block of points at a time."""
+    x, categories, values = matrix
+    means, counts = np.empty(len(asked)), np.full(len(asked), min(k, len(x)), dtype=np.int32)
+    block = max(1, 2_000_000 // len(x))
+    for start in range(0, len(asked), block):
+        part = asked[start:start + block]
+        d2 = np.zeros((len(part), len(x)))
+        for j in range(x.shape[1]):
+            d2 += (part[:, j, None] - x[None, :, j]) ** 2
+        d2 = np.round(d2, 9) + np.where(own[start:start + block, None] == categories[None, :], 0.0, 2.0)
+        d2 = np.round(d2, 9)
+        bound = np.partition(d2, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        for i in range(len(part)):
+            hits = np.flatnonzero(d2[i] <= bound[i])
+            means[start + i] = values[hits[np.argsort(d2[i, hits], kind="stable")[:k]]].mean()
+    return means, counts
+
+
+def estimate_by_broadcast(queries: DataFrame, table: pd.DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
+                          value: str, row_id: str, k: int, query_id: str) -> DataFrame:
+    """``estimate`` for a table of bounded size, handed to every task; queries stay partitioned."""
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(_group_matrices(table, by, dims, category, value, row_id))
+    by, dims = list(by), list(dims)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = shared.value
+        for batch in batches:
+            parts = batch.groupby(by, dropna=False) if by else [((), batch)]
+            for key, part in parts:
+                if tuple(key) not in groups or part.empty:
+                    continue
+                means, counts = _nearest_means(
+                    part[dims].to_numpy(dtype=float), part[category].to_numpy(dtype=object), groups[tuple(key)], k)
+                yield pd.DataFrame({query_id: part[query_id].to_numpy(), "estimate": means, "n_neighbors": counts})
+
+    asked = spread(queries.select(query_id, *by, *dims, category), query_id)
+    return asked.mapInPandas(run, f"{query_id} {queries.schema[query_id].dataType.simpleString()}, estimate double, n_neighbors int")
+
+
+def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
+             value: str, row_id: str, k: int, query_id: str = "query_id", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mean ``value`` of the ``k`` rows nearest to each query, with a category in the distance.
+
+    The squared distance is Euclidean over ``dims`` plus 0 for the same category and 2 for another
+    one, as after a one-hot encoding. (A category that no row has is 1 from every row; a constant
+    does not change which rows are nearest.) A row table within ``max_broadcast`` rows is handed to
+    every task; a larger one is searched by the grid. Both are exact and give the same rows.
+    """
+    settings = dict(by=by, dims=dims, category=category, value=value, row_id=row_id, k=k, query_id=query_id)
+    columns = [row_id, *by, *dims, category, value]
+    # One row more than the bound tells the two cases apart without fetching a larger table.
+    table = rows.select(*columns).limit(max_broadcast + 1).toPandas() if max_broadcast else None
+    if table is not None and len(table) <= max_broadcast:
+        return estimate_by_broadcast(queries, table, **settings)
+    return estimate_by_grid(queries, rows, **settings)
+
+
 def _point_id(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
 
@@ -165,8 +237,7 @@ def knn_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def collapse_rows(train: DataFrame, *, row_id: str, target: str, by: Sequence[str] = (), k: int = 5) -> DataFrame:
     """Training rows that can ever be chosen: the ``k`` lowest ids of each distinct feature point."""
     base = knn_features(train, [F.col(row_id).alias("row_id"), *by, F.col(target).alias("y")])
-    order = Window.partitionBy(*by, "carbons", "temp", "additive", "conc").orderBy("row_id")
-    return base.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
+    return lowest(base, [*by, "carbons", "temp", "additive", "conc"], "row_id", k)
 
 
 def impute_concentration(rows: DataFrame, points: DataFrame, *, by: Sequence[str] = (), k: int = 5) -> DataFrame:
@@ -194,10 +265,10 @@ def knn_predict(train: DataFrame, queries: DataFrame, *, row_id: str = "sample_i
     on two small written tables: choosable training rows and distinct query points.
     """
     keys = [*by, "carbons", "temp", "additive"]
-    rows = materialize(collapse_rows(train, row_id=row_id, target=target, by=by, k=k))
+    rows = materialize(spread(collapse_rows(train, row_id=row_id, target=target, by=by, k=k), "row_id"))
     asked = knn_features(queries, [*keep, *by]).withColumn(
         "point_id", _point_id([*keys, "conc"]))
-    points = materialize(asked.select("point_id", *keys, "conc").distinct())
+    points = materialize(spread(asked.select("point_id", *keys, "conc").distinct(), "point_id"))
     lookup = materialize(impute_concentration(
         rows, rows.select(*keys, "conc").unionByName(points.select(*keys, "conc")), by=by, k=k))
     scored = estimate(_with_imputed(points, lookup, keys), _with_imputed(rows, lookup, keys), by=by,

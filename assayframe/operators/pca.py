@@ -17,12 +17,13 @@ def standardize(df: DataFrame, columns: Sequence[str], *, scale: bool = True) ->
     cleaned = df.withColumns({c: N.finite_or(F.col(c).cast("double"), None) for c in columns})
     fit = cleaned.select(F.struct(
         *[F.avg(c).alias(f"{c}__m") for c in columns],
-        *[F.sqrt(F.var_pop(c) * F.count(c) / F.count(F.lit(1))).alias(f"{c}__s") for c in columns])).scalar()
+        *[N.safe_std(F.sqrt(F.var_pop(c) * F.count(c) / F.count(F.lit(1)))).alias(f"{c}__s") for c in columns])).scalar()
     out = {}
     for c in columns:
-        centred = F.coalesce(F.col(c) - fit[f"{c}__m"], F.lit(0.0))
-        out[c] = centred / N.safe_std(fit[f"{c}__s"]) if scale else centred
-    return cleaned.withColumns(out)
+        centred = F.coalesce(F.col(c) - F.col(f"_fit.{c}__m"), F.lit(0.0))
+        out[c] = centred / F.col(f"_fit.{c}__s") if scale else centred
+    # One subquery column: naming the subquery in every expression would plan it once per feature.
+    return cleaned.withColumn("_fit", fit).withColumns(out).drop("_fit")
 
 
 def usable_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

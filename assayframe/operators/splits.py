@@ -106,9 +106,9 @@ def quantile_edges(df: DataFrame, column: str = S.TARGET, bins: int = 4, digits:
 
 def with_quantile_bin(df: DataFrame, column: str = S.TARGET, bins: int = 4, digits: int = 9) -> DataFrame:
     """Right-closed quantile bin, lowest value included, duplicate edges dropped."""
-    edges = quantile_edges(df, column, bins, digits).scalar()
-    below = F.size(F.filter(edges, lambda e: e < F.round(F.col(column), digits)))
-    return df.withColumn("bin", F.greatest(F.lit(0), below - 1).cast("int"))
+    tagged = df.withColumn("_edges", quantile_edges(df, column, bins, digits).scalar())
+    below = F.size(F.filter("_edges", lambda e: e < F.round(F.col(column), digits)))
+    return tagged.withColumn("bin", F.greatest(F.lit(0), below - 1).cast("int")).drop("_edges")
 
 
 def stratified_kfold(df: DataFrame, key: str, k: int = 5, *, stratum: str = "bin", seed: int = S.SEED) -> DataFrame:

@@ -115,11 +115,11 @@ WHERE pcmc IS NOT NULL AND temperature IS NOT NULL""",
     "lab_scored": "SELECT *, (SELECT avg(pcmc) FROM meas) AS predicted_pcmc FROM lab_ok",
     "profiles": "SELECT DISTINCT surfactant_smiles, additive_smiles, additive_concentration FROM lab_ok",
     "binned": """
-SELECT k.*, greatest(0, len(list_filter(e.edges, x -> x < round(k.pcmc, 9))) - 1)::INT AS bin
+SELECT k.*, greatest(0, len(list_filter(e.edges, lambda x: x < round(k.pcmc, 9))) - 1)::INT AS bin
 FROM known k, (
   SELECT list_distinct(list_transform(
     [min(pcmc), quantile_cont(pcmc, 0.25), quantile_cont(pcmc, 0.5), quantile_cont(pcmc, 0.75), max(pcmc)],
-    x -> round(x, 9))) AS edges FROM known) e""",
+    lambda x: round(x, 9))) AS edges FROM known) e""",
     "folded": """
 SELECT *, CAST((row_number() OVER (PARTITION BY bin ORDER BY md5(concat('42|', sample_id)), sample_id) - 1 + bin) % 5 AS INT) AS fold
 FROM binned""",
@@ -210,8 +210,8 @@ WHERE conc IS NULL""",
     id := t.row_id), {k}) AS near
   FROM {p}gaps q JOIN {p}donors t ON {on} GROUP BY ALL)""",
         f"{p}train": f"SELECT b.* REPLACE (coalesce(b.conc, f.filled, 0.0) AS conc) FROM {p}base b LEFT JOIN {p}filled f USING ({g}carbons, temp, additive)",
-        f"{p}full": f"SELECT a.* REPLACE (coalesce(a.conc, f.filled, 0.0) AS conc) FROM {p}ask a LEFT JOIN {p}filled f USING ({g}carbons, temp, additive)",
-        f"{p}points": f"""SELECT q.*, s.additive IS NOT NULL AS seen FROM (SELECT DISTINCT {g}carbons, temp, additive, conc FROM {p}full) q
+        f"{p}wanted": f"SELECT a.* REPLACE (coalesce(a.conc, f.filled, 0.0) AS conc) FROM {p}ask a LEFT JOIN {p}filled f USING ({g}carbons, temp, additive)",
+        f"{p}points": f"""SELECT q.*, s.additive IS NOT NULL AS seen FROM (SELECT DISTINCT {g}carbons, temp, additive, conc FROM {p}wanted) q
 LEFT JOIN (SELECT DISTINCT {g}additive FROM {p}train) s ON s.additive = q.additive {same}""",
         f"{p}answers": f"""SELECT {g}carbons, temp, additive, conc, list_avg(near) AS predicted_pcmc FROM (
   SELECT {f'q.{by},' if by else ''} q.carbons, q.temp, q.additive, q.conc, arg_min(t.y, struct_pack(
@@ -220,7 +220,7 @@ LEFT JOIN (SELECT DISTINCT {g}additive FROM {p}train) s ON s.additive = q.additi
       + CASE WHEN NOT q.seen THEN 1.0 WHEN q.additive = t.additive THEN 0.0 ELSE 2.0 END, 9),
     id := t.row_id), {k}) AS near
   FROM {p}points q JOIN {p}train t ON {on} GROUP BY ALL)""",
-        f"{p}scored": f"SELECT f.*, a.predicted_pcmc FROM {p}full f JOIN {p}answers a USING ({g}carbons, temp, additive, conc)",
+        f"{p}scored": f"SELECT f.*, a.predicted_pcmc FROM {p}wanted f JOIN {p}answers a USING ({g}carbons, temp, additive, conc)",
     }
 
 
@@ -323,7 +323,7 @@ WHERE surfactant_smiles IN (SELECT smiles FROM mol JOIN descr USING (mol_id))"""
 
 def _grams(source: str, key: str, column: str) -> str:
     return f"""SELECT {key}, CAST(CAST(concat('0x', substr(md5(gram), 1, 8)) AS BIGINT) % 256 AS INT) AS bucket, count(*) AS n
-FROM (SELECT {key}, unnest(list_transform(range(1, len(ch) - 2), i -> concat(ch[i], ch[i + 1], ch[i + 2], ch[i + 3]))) AS gram
+FROM (SELECT {key}, unnest(list_transform(range(1, len(ch) - 2), lambda i: concat(ch[i], ch[i + 1], ch[i + 2], ch[i + 3]))) AS gram
       FROM (SELECT {key}, string_split({column}, '') AS ch FROM {source}))
 GROUP BY 1, 2"""
 
@@ -439,7 +439,7 @@ FROM lab, (SELECT avg(temperature) AS tm, stddev_pop(temperature) AS ts, avg(add
         "gated_feature_vector": f"""SELECT sample_id, CAST(len(v) AS INT) AS width, {r6('v[1]')} AS first, {r6('v[65]')} AS temp, {r6('v[66]')} AS additive_first,
   {r6('v[130]')} AS conc, {_vector_sum('v')} AS total
 FROM (SELECT sample_id, list_concat(list_concat(fp_all, [t]), list_concat(
-    CASE WHEN fp_additive IS NULL THEN list_transform(range(64), x -> 0.0::DOUBLE) ELSE list_transform(fp_additive, x -> x * am) END,
+    CASE WHEN fp_additive IS NULL THEN list_transform(range(64), lambda x: 0.0::DOUBLE) ELSE list_transform(fp_additive, lambda x: x * am) END,
     [c * cm, am, cm])) AS v
   FROM (SELECT r.*, coalesce((temperature - f.tm) / f.ts, 0.0) AS t, coalesce((additive_concentration - f.cm0) / f.cs, 0.0) AS c,
     CASE WHEN additive_smiles IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS am,

@@ -39,3 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="assayframe-checkpoint-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Hash-partition a small-in-bytes, heavy-to-process table over all cores.
+
+    Adaptive execution merges small shuffle partitions by size; an explicit count keeps the tasks that
+    expand such rows in parallel. The count follows the session's own shuffle setting.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(wanted, 4 * spark.sparkContext.defaultParallelism), *columns)
