@@ -64,9 +64,11 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def qgram_counts(df: DataFrame, key: str, column: str, q: int = 4, buckets: int = 256) -> DataFrame:
-    """Hashed q-gram counts: (key, bucket, n). Grams become small integers before the shuffle and
-    are counted map-side, so at most ``buckets`` rows per key and task travel."""
-    grams = df.select(key, F.explode(X.qgrams(F.col(column), q)).alias("gram"))
+    """Hashed q-gram counts: (key, bucket, n). Long texts are taken in pieces, so no row holds all
+    grams of a text at once. Grams become small integers before the shuffle and are counted map-side,
+    so at most ``buckets`` rows per key and task travel."""
+    pieces = df.select(key, F.explode(X.overlapping_pieces(F.col(column), q - 1)).alias("piece"))
+    grams = pieces.select(key, F.explode(X.qgrams(F.col("piece"), q)).alias("gram"))
     return grams.select(key, X.gram_bucket(F.col("gram"), buckets).alias("bucket")).groupBy(key, "bucket").agg(
         F.count(F.lit(1)).alias("n"))
 

@@ -56,6 +56,12 @@ def qgrams(c: Column, q: int = 4) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))."), F.lit(1))
 
 
+def overlapping_pieces(c: Column, overlap: int, size: int = 8192) -> Column:
+    """The text in pieces of ``size`` characters, each followed by the next ``overlap`` ones, so that
+    every substring of ``overlap + 1`` characters lies in exactly one piece by its start."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+
+
 def gram_bucket(gram: Column, buckets: int = 256) -> Column:
     """Bucket of a gram: the first 32 bits of its md5, modulo the bucket count."""
     return (F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")

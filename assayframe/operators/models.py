@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
+from assayframe.operators import metrics as M
+from assayframe.session import spread
 
 PREDICTION = "predicted_pcmc"
 
@@ -80,11 +82,7 @@ def pipeline(name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), param
 def fit(train: DataFrame, name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), params: dict | None = None) -> PipelineModel:
     """Fit on the annotated rows. The learners pass over the rows many times, so the narrow feature
     table is persisted (memory, then local disk; lost blocks are recomputed) while they run."""
-    narrow = train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if narrow.rdd.getNumPartitions() < cores:
-        narrow = narrow.repartition(cores)
-    narrow = narrow.persist()
+    narrow = spread(train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)).persist()
     try:
         return pipeline(name, columns, params).fit(narrow)
     finally:
@@ -108,9 +106,7 @@ def embedding_features(samples: DataFrame, vectors: DataFrame, scalers: DataFram
 
     No embedding of additives is given, so the gate covers the additive's concentration and masks.
     """
-    from assayframe.operators.metrics import scale_with_mask
-
-    scaled = scale_with_mask(samples.join(vectors, key), scalers)
+    scaled = M.scale_with_mask(samples.join(vectors, key), scalers)
     gated = N.gated_vector(
         F.col(vector), F.col("temp_scaled"), F.array().cast("array<double>"), F.col("conc_scaled"),
         F.col("additive_mask"), F.col("conc_mask"))

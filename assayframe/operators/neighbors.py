@@ -151,32 +151,52 @@ def estimate_by_grid(queries: DataFrame, rows: DataFrame, *, by: Sequence[str],
 
 
 def _group_matrices(table: pd.DataFrame, by: Sequence[str], dims: Sequence[str], category: str, value: str, row_id: str) -> dict:
-    """Rows in id order as arrays, per group: position order is then the tie order."""
+    """Rows as arrays per group, sorted by the first dimension, with their position in id order."""
     table = table.sort_values(row_id)
-    parts = table.groupby(list(by), dropna=False) if by else [((), table)]
-    return {
-        tuple(key): (part[list(dims)].to_numpy(dtype=float), part[category].to_numpy(dtype=object), part[value].to_numpy(dtype=float))
-        for key, part in parts
-    }
-
-
-def _nearest_means(asked: np.ndarray, own: np.ndarray, matrix: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean value and number of the k nearest rows of each asked point, a block of points at a time."""
-    x, categories, values = matrix
-    means, counts = np.empty(len(asked)), np.full(len(asked), min(k, len(x)), dtype=np.int32)
-    block = max(1, 2_000_000 // len(x))
-    for start in range(0, len(asked), block):
-        part = asked[start:start + block]
-        d2 = np.zeros((len(part), len(x)))
-        for j in range(x.shape[1]):
-            d2 += (part[:, j, None] - x[None, :, j]) ** 2
-        d2 = np.round(d2, 9) + np.where(own[start:start + block, None] == categories[None, :], 0.0, 2.0)
-        d2 = np.round(d2, 9)
-        bound = np.partition(d2, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-        for i in range(len(part)):
-            hits = np.flatnonzero(d2[i] <= bound[i])
-            means[start + i] = values[hits[np.argsort(d2[i, hits], kind="stable")[:k]]].mean()
-    return means, counts
+    out = {}
+    for key, part in table.groupby(list(by), dropna=False) if by else [((), table)]:
+        x = part[list(dims)].to_numpy(dtype=float)
+        order = np.argsort(x[:, 0], kind="stable")
+        out[tuple(key)] = (x[order], part[category].to_numpy(dtype=object)[order],
+                           part[value].to_numpy(dtype=float)[order], order)
+    return out
+
+
+def _nearest_means(asked: np.ndarray, own: np.ndarray, matrix: tuple, k: int) -> np.ndarray:
+    """Mean value of the k nearest rows of each asked point.
+
+    Points that share the first coordinate are ranked together against the rows within ``reach`` of
+    it. Rows further out are more than ``reach`` away, so a point is settled once its k-th distance
+    is inside; the others look again with a wider reach, at last at every row.
+    """
+    x, categories, values, position = matrix
+    k = min(k, len(x))
+    means = np.empty(len(asked))
+    for start in np.unique(asked[:, 0]):
+        open_points, reach = np.flatnonzero(asked[:, 0] == start), 2.0
+        while len(open_points):
+            lo, hi = np.searchsorted(x[:, 0], start - reach, "left"), np.searchsorted(x[:, 0], start + reach, "right")
+            whole = hi - lo == len(x)
+            if hi - lo < k and not whole:
+                reach *= 3
+                continue
+            near, block, unsettled = x[lo:hi], max(1, 1_000_000 // (hi - lo)), []
+            for at in range(0, len(open_points), block):
+                points = open_points[at:at + block]
+                d2 = np.zeros((len(points), hi - lo))
+                for j in range(x.shape[1]):
+                    d2 += (asked[points, j, None] - near[None, :, j]) ** 2
+                d2 = np.round(np.round(d2, 9) + np.where(own[points, None] == categories[None, lo:hi], 0.0, 2.0), 9)
+                bounds = np.partition(d2, k - 1, axis=1)[:, k - 1]
+                for i, point in enumerate(points):
+                    if not whole and bounds[i] > reach * reach:
+                        unsettled.append(point)
+                        continue
+                    hits = np.flatnonzero(d2[i] <= bounds[i])
+                    best = hits[np.lexsort((position[lo + hits], d2[i, hits]))[:k]]
+                    means[point] = values[lo + best].mean()
+            open_points, reach = np.array(unsettled, dtype=int), reach * 3
+    return means
 
 
 def estimate_by_broadcast(queries: DataFrame, table: pd.DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
@@ -193,9 +213,10 @@ def estimate_by_broadcast(queries: DataFrame, table: pd.DataFrame, *, by: Sequen
             for key, part in parts:
                 if tuple(key) not in groups or part.empty:
                     continue
-                means, counts = _nearest_means(
+                means = _nearest_means(
                     part[dims].to_numpy(dtype=float), part[category].to_numpy(dtype=object), groups[tuple(key)], k)
-                yield pd.DataFrame({query_id: part[query_id].to_numpy(), "estimate": means, "n_neighbors": counts})
+                n = min(k, len(groups[tuple(key)][0]))
+                yield pd.DataFrame({query_id: part[query_id].to_numpy(), "estimate": means, "n_neighbors": n})
 
     asked = spread(queries.select(query_id, *by, *dims, category), query_id)
     return asked.mapInPandas(run, f"{query_id} {queries.schema[query_id].dataType.simpleString()}, estimate double, n_neighbors int")

@@ -20,7 +20,6 @@ QUERIES: dict[str, Query] = {}
 FP_WIDTH = 64
 KNN_GRID = (3, 5)
 CONSTANT_GRID = (4.0, 4.5, 4.6, 5.0)
-TREE_GRID = {"numTrees": [20], "maxDepth": [8, 17]}
 DUMMY_VALUE = 4.5
 LINEAR_WEIGHTS = (0.05, 0.01, 0.5)
 LINEAR_INTERCEPT = 2.0
@@ -452,7 +451,7 @@ def cv_knn(spark, folder):
 @query
 def cv_rf(spark, folder):
     featured = models.condition_features(folded_merged(spark, folder))
-    return selection.cv_learner(featured, "rf", models.CONDITION_COLUMNS, TREE_GRID)
+    return selection.cv_learner(featured, "rf", models.CONDITION_COLUMNS)
 
 
 # Functions and encoders
