@@ -155,6 +155,8 @@ def _group_matrices(table: pd.DataFrame, by: Sequence[str], dims: Sequence[str],
     table = table.sort_values(row_id)
     out = {}
     for key, part in table.groupby(list(by), dropna=False) if by else [((), table)]:
+        if part.empty:
+            continue
         x = part[list(dims)].to_numpy(dtype=float)
         order = np.argsort(x[:, 0], kind="stable")
         out[tuple(key)] = (x[order], part[category].to_numpy(dtype=object)[order],
