@@ -52,7 +52,9 @@ CONDITION_COLUMNS = [
 
 
 def forest(params: dict | None = None, prediction: str = PREDICTION) -> RandomForestRegressor:
-    settings = {"numTrees": 20, "maxDepth": 17, "seed": S.SEED, "featureSubsetStrategy": "all", **(params or {})}
+    # Deep trees: caching each row's node per tree saves walking the trees again at every level.
+    settings = {"numTrees": 20, "maxDepth": 17, "seed": S.SEED, "featureSubsetStrategy": "all",
+                "cacheNodeIds": True, "maxMemoryInMB": 1024, **(params or {})}
     return RandomForestRegressor(labelCol=S.TARGET, featuresCol="features", predictionCol=prediction, **settings)
 
 

@@ -11,32 +11,39 @@ from pyspark.sql import DataFrame, functions as F
 from assayframe.functions import numeric as N
 
 
-def standardize(df: DataFrame, columns: Sequence[str], *, scale: bool = True) -> DataFrame:
-    """Infinite and missing values become the column mean; then centre, and divide by the population
-    deviation (1 for a constant column). Columns without any value are dropped."""
-    cleaned = df.withColumns({c: N.finite_or(F.col(c).cast("double"), None) for c in columns})
-    fit = cleaned.select(F.struct(
-        *[F.avg(c).alias(f"{c}__m") for c in columns],
-        *[N.safe_std(F.sqrt(F.var_pop(c) * F.count(c) / F.count(F.lit(1)))).alias(f"{c}__s") for c in columns])).scalar()
-    out = {}
-    for c in columns:
-        centred = F.coalesce(F.col(c) - F.col(f"_fit.{c}__m"), F.lit(0.0))
-        out[c] = centred / F.col(f"_fit.{c}__s") if scale else centred
-    # One subquery column: naming the subquery in every expression would plan it once per feature.
-    return cleaned.withColumn("_fit", fit).withColumns(out).drop("_fit")
-
-
-def usable_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns with at least one finite value; one aggregate, one row back."""
-    counts = df.agg(*[F.count(N.finite_or(F.col(c).cast("double"), None)).alias(c) for c in columns]).first()
-    return [c for c in columns if counts[c] > 0]
-
-
-def fit(df: DataFrame, columns: Sequence[str], n_components: int = 10, vector: str = "x") -> tuple[DataFrame, PCAModel]:
-    """The standardized rows with their vector, and the fitted model."""
-    k = min(n_components, len(columns))
-    rows = df.withColumn(vector, array_to_vector(F.array(*columns)))
-    return rows, PCA(k=k, inputCol=vector, outputCol="z").fit(rows.select(vector))
+def vector_stats(df: DataFrame, vector: str) -> DataFrame:
+    """Per position of an array column: mean and population deviation after mean imputation.
+
+    Positions become rows, so the aggregate has one small state per feature and task.
+    """
+    rows = df.select(F.posexplode(vector).alias("pos", "raw")).withColumn("v", N.finite_or(F.col("raw"), None))
+    return rows.groupBy("pos").agg(
+        F.count("v").alias("present"), F.avg("v").alias("mean"),
+        N.safe_std(F.sqrt(F.var_pop("v") * F.count("v") / F.count(F.lit(1)))).alias("std"))
+
+
+def standardize(df: DataFrame, vector: str, *, scale: bool = True) -> DataFrame:
+    """Infinite and missing entries become the mean of their position; then centre, and divide by the
+    population deviation (1 for a constant position). Positions without any value are dropped."""
+    stats = vector_stats(df, vector).agg(F.array_sort(F.collect_list(F.struct("pos", "present", "mean", "std")))).scalar()
+    # One subquery column of bounded size (one struct per feature).
+    fitted = df.withColumn("_fit", stats)
+    centred = lambda x, f: F.coalesce(N.finite_or(x, None) - f["mean"], F.lit(0.0)) / (f["std"] if scale else F.lit(1.0))
+    keep = lambda _, i: F.get("_fit", i)["present"] > 0
+    return fitted.withColumn(vector, F.filter(F.zip_with(vector, "_fit", centred), keep)).drop("_fit")
+
+
+def usable_names(df: DataFrame, vector: str, names: Sequence[str]) -> list[str]:
+    """The names of the positions that ``standardize`` keeps; one row per feature comes back."""
+    kept = {r["pos"] for r in vector_stats(df, vector).where(F.col("present") > 0).select("pos").collect()}
+    return [name for i, name in enumerate(names) if i in kept]
+
+
+def fit(df: DataFrame, vector: str, n_components: int = 10) -> tuple[DataFrame, PCAModel]:
+    """The standardized rows with their vector ``x``, and the fitted model (features ** 2 on the driver)."""
+    rows = df.withColumn("x", array_to_vector(vector))
+    width = rows.select(F.size(vector)).first()[0]
+    return rows, PCA(k=min(n_components, width), inputCol="x", outputCol="z").fit(rows.select("x"))
 
 
 def signs(model: PCAModel) -> list[float]:

@@ -67,8 +67,8 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
     sketch = values.select(F.percentile_approx("v", [*low, *high], accuracy)).scalar()
     n = len(fractions)
     counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    bracketed = counted.select("v", "c", F.explode(F.array(*[
-        F.struct(F.lit(float(q)).alias("fraction"), F.get(sketch, F.lit(i)).alias("lo"), F.get(sketch, F.lit(n + i)).alias("hi"))
+    bracketed = counted.withColumn("_s", sketch).select("v", "c", F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("fraction"), F.get("_s", F.lit(i)).alias("lo"), F.get("_s", F.lit(n + i)).alias("hi"))
         for i, q in enumerate(fractions)])).alias("b")).select("v", "c", "b.*")
     # One value more on either side, as the interpolation may need the neighbour of the bracket.
     under, over = F.when(F.col("v") < F.col("lo"), F.col("v")), F.when(F.col("v") > F.col("hi"), F.col("v"))
@@ -98,9 +98,7 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
 
 def quantile_edges(df: DataFrame, column: str = S.TARGET, bins: int = 4, digits: int = 9) -> DataFrame:
     """One row with the sorted array of distinct bin edges, the extremes included."""
-    inner = exact_quantiles(df, column, [i / bins for i in range(1, bins)])
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("value"))
-    edges = inner.select("value").unionByName(ends)
+    edges = exact_quantiles(df, column, [i / bins for i in range(bins + 1)])
     return edges.agg(F.array_sort(F.collect_set(F.round("value", digits))).alias("edges"))
 
 

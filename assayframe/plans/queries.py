@@ -11,7 +11,7 @@ from assayframe.functions import encode as E, numeric as N, text as X
 from assayframe.operators import (
     clean, combine, metrics as M, models, neighbors, pca, predlog, profile, selection, splits, validate,
 )
-from assayframe.session import materialize
+from assayframe.session import materialize, spread
 from assayframe.sources import catalog, conform, standins as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -718,31 +718,34 @@ def ablation_table(spark, folder):
 STANDARD = [S.TEMPERATURE, S.CONCENTRATION, "carbons", *[f"fp_{i}" for i in range(8)]]
 
 
+def feature_rows(spark, folder, width: int = FP_WIDTH):
+    """Described rows with one feature array: the two conditions, the carbon count, the descriptors."""
+    return described(spark, folder).select(
+        "sample_id", *S.CANONICAL, F.concat(
+            F.array(S.TEMPERATURE, S.CONCENTRATION, X.count_char(F.col(S.SUBJECT)).cast("double")),
+            F.slice("fp", 1, width)).alias("features"))
+
+
 @query
 def standardize_features(spark, folder):
-    rows = described(spark, folder).withColumn("carbons", X.count_char(F.col(S.SUBJECT)).cast("double"))
-    wide = E.expand_vector(rows, "fp", 8, "fp")
-    out = pca.standardize(wide.select("sample_id", *STANDARD), STANDARD)
-    return rounded(out, *STANDARD)
+    out = pca.standardize(feature_rows(spark, folder, 8).select("sample_id", "features"), "features")
+    return out.select("sample_id", *[N.r6(F.get("features", F.lit(i))).alias(c) for i, c in enumerate(STANDARD)])
 
 
 PCA_COLUMNS = [S.TEMPERATURE, S.CONCENTRATION, "carbons", *[f"fp_{i}" for i in range(FP_WIDTH)]]
 
 
 def fitted_pca(spark, folder):
-    rows = clean.annotated(described(spark, folder)).withColumns({
-        "carbons": X.count_char(F.col(S.SUBJECT)).cast("double"),
-        "raw_temperature": F.col(S.TEMPERATURE), "raw_concentration": F.col(S.CONCENTRATION)})
-    wide = materialize(E.expand_vector(rows, "fp", FP_WIDTH, "fp"))
-    columns = pca.usable_columns(wide, PCA_COLUMNS)
-    table, model = pca.fit(pca.standardize(wide, columns), columns)
+    rows = materialize(spread(clean.annotated(feature_rows(spark, folder))))
+    columns = pca.usable_names(rows, "features", PCA_COLUMNS)
+    table, model = pca.fit(pca.standardize(rows, "features"), "features")
     return table, model, columns
 
 
 @query
 def pca_scores(spark, folder):
     table, model, _ = fitted_pca(spark, folder)
-    return pca.scores(table, model, ["sample_id", S.TARGET, "raw_temperature", "raw_concentration"])
+    return pca.scores(table, model, ["sample_id", S.TARGET, S.TEMPERATURE, S.CONCENTRATION])
 
 
 @query

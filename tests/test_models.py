@@ -76,14 +76,17 @@ def test_pca_invariants(spark, folder):
     load = pca.loadings(table, model, columns).toPandas().set_index("feature").loc[columns].to_numpy()
     assert np.allclose(np.linalg.norm(load, axis=0), 1)
     assert (load[np.abs(load).argmax(axis=0), range(10)] > 0).all()
-    x = table.select("sample_id", *columns).toPandas().set_index("sample_id").loc[scores["sample_id"]].to_numpy()
+    x = np.stack(table.select("sample_id", "features").toPandas().set_index("sample_id").loc[scores["sample_id"], "features"])
     assert np.allclose(x @ load, z, atol=1e-8)
     assert Q.QUERIES["top_loadings"](spark, folder).groupBy("component").count().toPandas()["count"].tolist() == [12, 12]
 
 
-def test_pca_drops_all_null_columns_and_survives_constants(spark):
-    df = spark.createDataFrame([(1.0, None, 5.0, 1.0), (2.0, None, 5.0, None), (4.0, None, 5.0, float("inf"))],
-                               "a double, b double, c double, d double")
-    assert pca.usable_columns(df, ["a", "b", "c", "d"]) == ["a", "c", "d"]
-    out = pca.standardize(df, ["a", "c", "d"]).toPandas()
-    assert np.allclose(out["c"], 0) and np.allclose(out["d"], 0) and out["a"].std(ddof=0) == pytest.approx(1)
+def test_standardize_drops_empty_positions_and_survives_constants(spark):
+    rows = [([1.0, None, 5.0, 1.0],), ([2.0, None, 5.0, None],), ([4.0, None, 5.0, float("inf")],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    assert pca.usable_names(df, "v", ["a", "b", "c", "d"]) == ["a", "c", "d"]
+    out = np.array([r["v"] for r in pca.standardize(df, "v").collect()])
+    assert out.shape == (3, 3) and np.allclose(out[:, 1], 0) and np.allclose(out[:, 2], 0)
+    assert out[:, 0].std() == pytest.approx(1) and out[:, 0].mean() == pytest.approx(0)
+    raw = np.array([r["v"] for r in pca.standardize(df, "v", scale=False).collect()])
+    assert sorted(raw[:, 0]) == pytest.approx([-4 / 3, -1 / 3, 5 / 3])
