@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayframe import schemas as S
-from assayframe.functions import text as X
+from assayframe.functions import numeric as N, text as X
 from assayframe.session import materialize, spread
 
 ANY = "*"
@@ -232,7 +232,9 @@ def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Se
     one, as after a one-hot encoding. (A category that no row has is 1 from every row; a constant
     does not change which rows are nearest.) A row table within ``max_broadcast`` rows is handed to
     every task; a larger one is searched by the grid. Both are exact and give the same rows.
+    Rows and queries without a position (a null in ``dims``) take no part.
     """
+    queries, rows = queries.dropna(subset=list(dims)), rows.dropna(subset=list(dims))
     settings = dict(by=by, dims=dims, category=category, value=value, row_id=row_id, k=k, query_id=query_id)
     columns = [row_id, *by, *dims, category, value]
     # One row more than the bound tells the two cases apart without fetching a larger table.
@@ -251,9 +253,9 @@ def knn_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(
         *keep,
         X.count_char(F.col(S.SUBJECT)).cast("double").alias("carbons"),
-        F.col(S.TEMPERATURE).alias("temp"),
+        N.finite_or(F.col(S.TEMPERATURE), None).alias("temp"),
         F.coalesce(F.col(S.ADDITIVE), F.lit("")).alias("additive"),
-        F.col(S.CONCENTRATION).alias("conc"),
+        N.finite_or(F.col(S.CONCENTRATION), None).alias("conc"),
     )
 
 

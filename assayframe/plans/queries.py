@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
 from assayframe.operators import (
-    clean, combine, metrics as M, models, neighbors, pca, predlog, profile, selection, splits, validate,
+    clean, combine, evaluate, metrics as M, models, neighbors, pca, predlog, profile, selection, splits, validate,
 )
 from assayframe.session import materialize, spread
 from assayframe.sources import catalog, conform, standins as V
@@ -320,34 +320,18 @@ def fit_scalers(spark, folder):
 
 
 def validation_pool(spark, folder):
-    """Training and laboratory rows under one schema, marked by side."""
+    """Training rows, and training and laboratory rows under one schema, marked by side."""
     train = merged_annotated(spark, folder).select("sample_id", *S.CANONICAL)
     test = materialize(lab_samples(spark, folder).select("sample_id", *S.CANONICAL))
-    return train, train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
-
-
-def knn_both_sides(spark, folder):
-    train, pool = validation_pool(spark, folder)
-    return neighbors.knn_predict(train, pool, keep=["side", S.TARGET])
+    return train, evaluate.both_sides(train, test)
 
 
 @query
 def experiment_table(spark, folder):
     train, pool = validation_pool(spark, folder)
-    scored = {
-        ("constant", f"value={DUMMY_VALUE}"): models.predict_constant(pool, DUMMY_VALUE),
-        ("mean", ""): models.predict_mean(train, pool),
-        ("knn", "k=5"): neighbors.knn_predict(train, pool, keep=["side", S.TARGET]),
-    }
-    rows = combine.union_sources([
-        df.select("side", S.TARGET, "predicted_pcmc", F.lit(name).alias("model"), F.lit(params).alias("params"))
-        for (name, params), df in scored.items()])
-    long = M.regression_metrics(rows, by=["model", "params", "side"])
-    pick = lambda side, m: N.r6(F.max(F.when(F.col("side") == side, F.col(m)))).alias(f"{side}_{m}")
-    return long.groupBy("model", "params").agg(
-        pick("train", "mae"), pick("train", "r2"), pick("test", "mae"), pick("test", "r2"),
-    ).select(F.lit("none").alias("features"), "model", "params", F.lit("everything").alias("train_set"),
-             "train_mae", "train_r2", F.lit("lab").alias("test_set"), "test_mae", "test_r2")
+    configs = [("constant", {"value": DUMMY_VALUE}), ("mean", {}), ("knn", {"k": 5})]
+    rows = [evaluate.experiment_row(train, pool, model, params, train_set="everything", test_set="lab") for model, params in configs]
+    return rounded(combine.union_sources(rows), *CV_METRICS)
 
 
 @query
@@ -547,7 +531,7 @@ def qgram_fingerprint(spark, folder):
 
 @query
 def qgram_documents(spark, folder):
-    return E.qgram_counts(V.table(spark, folder, "documents"), "doc_id", "text")
+    return E.qgram_counts(V.wide_table(spark, folder, "documents"), "doc_id", "text")
 
 
 @query
@@ -657,15 +641,14 @@ def score_batch_udf(spark, folder):
 
 @query
 def external_validation_knn(spark, folder):
-    return rounded(M.regression_metrics(knn_both_sides(spark, folder), by=["side"]), *METRICS)
+    train, pool = validation_pool(spark, folder)
+    return rounded(evaluate.side_metrics(train, pool, "knn"), *METRICS)
 
 
 @query
 def external_validation_rf(spark, folder):
     train, pool = validation_pool(spark, folder)
-    model = models.fit(models.condition_features(train), "rf")
-    scored = models.score(model, models.condition_features(pool), ["side", S.TARGET])
-    return M.regression_metrics(scored, by=["side"])
+    return evaluate.side_metrics(train, pool, "rf")
 
 
 @query

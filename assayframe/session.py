@@ -50,3 +50,13 @@ def spread(df: DataFrame, *columns) -> DataFrame:
     spark = df.sparkSession
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(min(wanted, 4 * spark.sparkContext.defaultParallelism), *columns)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """A file scan over at least as many tasks as there are cores.
+
+    A table of few row groups is read by few tasks, and all work up to the first shuffle stays there;
+    such a table is dealt out over the cores once. A scan that already has the tasks is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -11,12 +11,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.functions import numeric as N, text as X
+from assayframe.session import widen
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose single rows are costly to process (long texts): read by all cores."""
+    return widen(table(spark, folder, name))
+
+
 def mol(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     kind, run = F.col("p_type"), F.repeat(F.lit("C"), F.col("p_size"))

@@ -80,3 +80,11 @@ def test_predict_without_any_concentration(spark):
     train = spark.createDataFrame([("1", "CC", 20.0, None, None, 1.0), ("2", "CCCC", 20.0, None, None, 3.0)], schema)
     out = NB.knn_predict(train, train, keep=["sample_id"], k=1).collect()
     assert {r["sample_id"]: r["predicted_pcmc"] for r in out} == {"1": 1.0, "2": 3.0}
+
+
+def test_rows_without_a_temperature_get_no_prediction(spark):
+    schema = "sample_id string, surfactant_smiles string, temperature double, additive_smiles string, additive_concentration double, pcmc double"
+    train = spark.createDataFrame([("1", "CC", 20.0, "x", 0.1, 1.0), ("2", "CCCC", 20.0, "x", float("inf"), 3.0)], schema)
+    asked = spark.createDataFrame([("q", "CC", None, "x", 0.1, None), ("r", "CC", 20.0, "x", float("nan"), None)], schema)
+    out = NB.knn_predict(train, asked, keep=["sample_id"], k=1).collect()
+    assert {r["sample_id"]: r["predicted_pcmc"] for r in out} == {"q": None, "r": 1.0}
