@@ -56,42 +56,46 @@ def kfold(df: DataFrame, key: str, k: int = 5, *, seed: int = S.SEED) -> DataFra
 def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
     """One row (fraction, value): linear-interpolated quantiles, exact without a global sort.
 
-    A bounded sketch brackets each wanted rank; one pass counts the rows below each bracket; only the
-    distinct values inside the brackets are then ranked, each bracket on its own.
+    Three passes without a join: a bounded sketch brackets each wanted rank; an aggregate counts the
+    rows below each bracket; the rows inside the brackets, collapsed to distinct values, are ranked.
     """
     accuracy = 10000
     margin = 5.0 / accuracy
     low = [max(0.0, q - margin) for q in fractions]
     high = [min(1.0, q + margin) for q in fractions]
+    n = len(fractions)
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     sketch = values.select(F.percentile_approx("v", [*low, *high], accuracy)).scalar()
-    n = len(fractions)
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    bracketed = counted.withColumn("_s", sketch).select("v", "c", F.explode(F.array(*[
+    brackets = F.array(*[
         F.struct(F.lit(float(q)).alias("fraction"), F.get("_s", F.lit(i)).alias("lo"), F.get("_s", F.lit(n + i)).alias("hi"))
-        for i, q in enumerate(fractions)])).alias("b")).select("v", "c", "b.*")
+        for i, q in enumerate(fractions)])
     # One value more on either side, as the interpolation may need the neighbour of the bracket.
-    under, over = F.when(F.col("v") < F.col("lo"), F.col("v")), F.when(F.col("v") > F.col("hi"), F.col("v"))
-    totals = bracketed.groupBy("fraction").agg(
-        F.sum("c").alias("n"),
-        (F.sum(F.when(under.isNotNull(), F.col("c")).otherwise(0)) - F.coalesce(F.max_by("c", under), F.lit(0))).alias("below"),
-        F.coalesce(F.max(under), F.min("lo")).alias("from"),
-        F.coalesce(F.min(over), F.max("hi")).alias("to"))
-    position = (F.col("n") - 1) * F.col("fraction")
-    running = Window.partitionBy("fraction").orderBy("v")
+    below, above = F.col("v") < F.col("lo"), F.col("v") > F.col("hi")
+    totals = (
+        values.withColumn("_s", sketch).select("v", F.inline(brackets)).groupBy("fraction").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(below).alias("below"), F.min("lo").alias("lo"),
+            F.coalesce(F.max(F.when(below, F.col("v"))), F.min("lo")).alias("from"),
+            F.coalesce(F.min(F.when(above, F.col("v"))), F.max("hi")).alias("to"))
+        .agg(F.collect_list(F.struct("fraction", "n", "below", "lo", "from", "to"))).scalar()
+    )
     inside = (
-        bracketed.select("fraction", "v", "c").join(totals, "fraction").where(F.col("v").between(F.col("from"), F.col("to")))
-        .withColumn("upto", F.sum("c").over(running))
-        .withColumn("last", F.col("below") + F.col("upto") - 1)
+        values.withColumn("_t", totals).select("v", F.inline("_t")).where(F.col("v").between(F.col("from"), F.col("to")))
+        .groupBy("fraction", "n", "below", "lo", "v").agg(F.count(F.lit(1)).alias("c"))
+    )
+    bracket = Window.partitionBy("fraction")
+    early = F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).over(bracket)
+    ranked = (
+        inside.withColumn("last", F.col("below") - early + F.sum("c").over(bracket.orderBy("v")) - 1)
         .withColumn("first", F.col("last") - F.col("c") + 1)
     )
+    position = (F.col("n") - 1) * F.col("fraction")
 
     def at(rank: Column) -> Column:
         hit = F.min(F.when(rank.between(F.col("first"), F.col("last")), F.col("v")))
         return F.coalesce(hit, F.raise_error(F.lit("quantile rank left its bracket")).cast("double"))
 
     floor, ceil = F.floor(position), F.ceil(position)
-    return inside.groupBy("fraction").agg(
+    return ranked.groupBy("fraction").agg(
         at(floor).alias("_a"), at(ceil).alias("_b"), F.max(position - floor).alias("_t"),
     ).select("fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("value"))
 
