@@ -84,7 +84,10 @@ def pipeline(name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), param
 def fit(train: DataFrame, name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), params: dict | None = None) -> PipelineModel:
     """Fit on the annotated rows. The learners pass over the rows many times, so the narrow feature
     table is persisted (memory, then local disk; lost blocks are recomputed) while they run."""
-    narrow = spread(train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)).persist()
+    narrow = train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)
+    # A forest does much work per row in each pass, so even a small table is worth all cores. Boosting
+    # makes many light passes: there the partitions that adaptive execution sizes by bytes are better.
+    narrow = (spread(narrow) if name == "rf" else narrow).persist()
     try:
         return pipeline(name, columns, params).fit(narrow)
     finally:
