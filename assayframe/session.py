@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,8 @@ def get_session(app: str = "assayframe", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session
-    that names none gets a folder of its own. The copy outlives any executor.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a session that names none gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,9 +35,22 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="assayframe-checkpoint-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy, which outlives any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like :func:`materialize`, as a compressed Parquet table: for wide rows, and where later steps prune columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Hash-partition a small-in-bytes, heavy-to-process table over all cores.
 
