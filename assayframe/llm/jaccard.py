@@ -1,19 +1,21 @@
 """N-gram Jaccard join by vertical partitioning.
 
 All n-grams stand in one global order, from rare to common; the order is cut into fragments. A document is its set of
-n-grams; documents that can be similar share an n-gram among the first few of both (prefix filter). For
-such pairs the n-grams that both have are counted fragment by fragment and the counts summed: first the rarest
-fragment alone, whose differences already rule out pairs that share little, then the others for what is left.
+n-grams. Two documents can link only if they share an n-gram among the first few of both (the first fragment: a
+prefix of each document), and at places that leave room for the needed overlap. For such pairs the prefixes alone give a bound
+that rules out most; for the rest the n-grams that both have are counted fragment by fragment and summed per pair.
 
-The order comes from counts of all n-grams of all documents in a fixed number of hash buckets (a table of
-``2 ** BUCKET_BITS`` numbers, whatever the input), then from the n-gram's hash. It steers only the work: any order
-gives the same links. Documents of equal words are one node, so copies are never compared.
+The order comes from all words and n-grams of all documents, counted in tables of ``2 ** BUCKET_BITS`` hash buckets:
+an n-gram is as common as the least of its own count and its words' counts, ties go by hash. The tables have one size
+whatever the input, and steer only the work: any order gives the same links. Documents of equal words are one node.
 
-Instead of all pairs of a group that shares an n-gram, each member is first compared to the group's least member; pairs
-are then only needed where members are still in different components.
+No group emits all its pairs: each member of a group that shares an n-gram is first compared to the group's most
+common member (the least changed copy), and afterwards only members still in different components are paired, in
+the places that can still link.
 
 Edge cases: a null text and one without words have no n-grams and link with nothing. A text shorter than an n-gram is one
-n-gram. Repeated rows are copies. An empty table gives an empty result. Nodes and n-grams are 64-bit hashes.
+n-gram. Repeated rows are copies. An empty table gives an empty result. Nodes are 64-bit hashes; n-grams are 64-bit
+hashes within a document and 52 bits with their level in the join.
 """
 
 from __future__ import annotations
@@ -24,158 +26,204 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayframe.llm.common import let, text_of, words_of
+from assayframe.llm import ngrams
 from assayframe.llm.graph import components
 from assayframe.session import store
 
 GRAM_WORDS = 3
 PERCENT = 90
-BUCKET_BITS = 16
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
+#: Buckets of one row of a counts table, and levels of one doubling of a count.
+PART_BUCKETS = 1 << 14
+LEVEL_STEPS = 32
+LEVEL_SHIFT = 52
 FRAGMENTS = 8
-#: Fixed values.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MASK = np.uint64(BUCKETS - 1)
 
 
-def grams(words: Column, n: int) -> Column:
-    """The distinct n-grams of a text, as hashes of their words in order."""
-    def cut(w: Column) -> Column:
-        last = F.size(w) - (n - 1)
-        full = F.transform(F.slice(w, 1, F.greatest(last, F.lit(0))),
-                           lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, n)]))
-        return F.when(last >= 1, full).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
-            F.array().cast("array<long>"))
+def counted(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, node, n`` of every document; and of every task its counts of words and n-grams, as rows ``part, counts``."""
+    kind = dict(docs.dtypes)["doc_id"]
 
-    return F.array_distinct(let(words, cut))
-
-
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, node, grams``: the node is the same for documents of equal words."""
-    lowered = docs.select("doc_id", words_of(F.translate(text_of(), UPPER, LOWER)).alias("words"))
-    return lowered.select("doc_id", F.xxhash64(F.sha2(F.array_join("words", " "), 256)).alias("node"), grams(F.col("words"), n).alias("grams"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, id_type = [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)], None
+        for batch in batches:
+            id_type = batch.column("doc_id").type
+            for row, rows, words, n_words in ngrams.slices(batch.column("text")):
+                grams, node, size = ngrams.Grams(words, n_words, n), [], []
+                ends, at = np.cumsum(n_words), np.cumsum(grams.sizes)
+                distinct = []
+                for i in range(rows):
+                    node.append(ngrams.identity(words[ends[i] - n_words[i]:ends[i]]))
+                    own = np.unique(grams.hashes[at[i] - grams.sizes[i]:at[i]])
+                    size.append(len(own))
+                    distinct.append(own)
+                for table, found in zip(tables, (words, np.concatenate(distinct))):
+                    table += np.bincount((found & MASK).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+                yield made(batch.column("doc_id").slice(row, rows), node, size, [None] * rows, [None] * rows)
+        if id_type is not None:
+            parts = [t[i:i + PART_BUCKETS].tobytes() for t in tables for i in range(0, BUCKETS, PART_BUCKETS)]
+            none = [None] * len(parts)
+            yield made(pa.nulls(len(parts), id_type), none, none, list(range(len(parts))), parts)
+
+    def made(ids, node, size, part, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(part, pa.int32()),
+                                           pa.array(counts, pa.binary())], names=["doc_id", "node", "n", "part", "counts"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(count, f"doc_id {kind}, node long, n long, part int, counts binary")
+
+
+def levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of each bucket's count, of words and of n-grams. The driver gets two tables of fixed size."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(data, np.int32).astype(np.int64)
+        found = [np.floor(np.log2(s + 1.0) * LEVEL_STEPS).astype(np.uint16).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(found, pa.binary())], names=["part", "counts"])
+
+    added = counts.select("part", "counts").where("part IS NOT NULL").repartition("part").mapInArrow(add, "part int, counts binary")
+    both = np.zeros(2 * BUCKETS, np.uint16)
+    for part, data in added.collect():
+        both[part * PART_BUCKETS:(part + 1) * PART_BUCKETS] = np.frombuffer(data, np.uint16)
+    return both[:BUCKETS], both[BUCKETS:]
+
+
+class Order:
+    """The global order: an n-gram's place is its level, then its hash."""
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray):
+        self.words, self.grams = words, grams
+        mass = np.bincount(grams, weights=np.exp2(grams / LEVEL_STEPS))
+        self.pivots = np.unique(np.searchsorted(np.cumsum(mass), np.arange(1, FRAGMENTS) * mass.sum() / FRAGMENTS))
+
+    def places(self, grams: ngrams.Grams) -> np.ndarray:
+        level = self.grams[(grams.hashes & MASK).astype(np.int64)]
+        of_word = self.words[(grams.words & MASK).astype(np.int64)]
+        for member in grams.members:
+            level = np.minimum(level, of_word[member])
+        return ((level.astype(np.uint64) << np.uint64(LEVEL_SHIFT)) | (grams.hashes >> np.uint64(64 - LEVEL_SHIFT))).view(np.int64)
+
+    def sets(self, column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row, node, distinct n-grams in order) of every text."""
+        for row, rows, words, n_words in ngrams.slices(column):
+            grams = ngrams.Grams(words, n_words, n)
+            places, ends, at = self.places(grams), np.cumsum(n_words), np.cumsum(grams.sizes)
+            for i in range(rows):
+                yield row + i, ngrams.identity(words[ends[i] - n_words[i]:ends[i]]), np.unique(places[at[i] - grams.sizes[i]:at[i]])
+
+
+def prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
+    """``node, n, prefix``: the first n-grams of each document, one of which any partner must share."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size, prefix = [], [], []
+            for _, own, grams in order.sets(batch.column("text"), n):
+                if len(grams):
+                    node.append(own)
+                    size.append(len(grams))
+                    prefix.append(grams[:len(grams) - (percent * len(grams) + 99) // 100 + 1])
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], names=["node", "n", "prefix"])
 
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(first, "node long, n long, prefix array<long>")
 
-def order(all_sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of each hash bucket: how many n-grams of all documents it has, and the fragment it lies in."""
-    mask = (1 << BUCKET_BITS) - 1
-    counted = all_sets.select(F.explode("grams").alias("g")).groupBy(
-        F.col("g").bitwiseAND(F.lit(mask)).cast("int").alias("bucket")).count()
-    counts = np.zeros(mask + 1, np.int64)
-    for bucket, n in counted.collect():  # at most 2 ** BUCKET_BITS rows
-        counts[bucket] = n
-    by_count = np.argsort(counts, kind="stable")
-    mass = np.cumsum(counts[by_count])
-    fragment = np.empty(mask + 1, np.int32)
-    fragment[by_count] = np.minimum(FRAGMENTS - 1, (mass - 1) * FRAGMENTS // max(int(mass[-1]), 1))
-    return counts, np.maximum(fragment, 0)
 
+def segments(docs: DataFrame, order: Order, n: int) -> DataFrame:
+    """``node, fragment, part``: the n-grams of each document, cut where the fragments of the global order begin."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = order.pivots.astype(np.int64) << LEVEL_SHIFT
+        for batch in batches:
+            node, fragment, parts = [], [], []
+            for _, own, grams in order.sets(batch.column("text"), n):
+                for i, part in enumerate(np.split(grams, np.searchsorted(grams, pivots))):
+                    if len(part):
+                        node.append(own)
+                        fragment.append(i)
+                        parts.append(part)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), lists], names=["node", "fragment", "part"])
 
-def placed(all_sets: DataFrame, counts: np.ndarray, fragment: np.ndarray, percent: int) -> DataFrame:
-    """Per document: ``node, n, prefix`` (its first n-grams in the order) and ``rare`` (those of the first fragment)."""
-    mask = np.int64((1 << BUCKET_BITS) - 1)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(cut, "node long, fragment int, part array<long>")
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("grams")
-            sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            hashes = column.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            bucket = hashes & mask
-            by_order = np.lexsort((hashes, counts[bucket], doc))
-            hashes, bucket = hashes[by_order], bucket[by_order]
-            rank = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            needed = (percent * sizes + 99) // 100
-            first, rare = rank < (sizes - needed + 1)[doc], fragment[bucket] == 0
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(sizes)))]).astype(np.int32),
-                                              pa.array(hashes[keep])) for keep in (first, rare)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), *lists], names=["node", "n", "prefix", "rare"])
-
-    return all_sets.where(F.size("grams") > 0).select("node", "grams").mapInArrow(
-        select, "node long, n long, prefix array<long>, rare array<long>")
-
-
-def segments(all_sets: DataFrame, nodes: DataFrame, fragment: np.ndarray) -> DataFrame:
-    """``node, fragment, part`` for the given nodes: their n-grams but for those of the first fragment."""
-    mask = np.int64((1 << BUCKET_BITS) - 1)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("grams")
-            sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            hashes = column.flatten().to_numpy(zero_copy_only=False)
-            doc, where = np.repeat(np.arange(len(sizes)), sizes), fragment[hashes & mask]
-            key = doc * FRAGMENTS + where
-            by_key = np.argsort(key, kind="stable")
-            by_key = by_key[where[by_key] > 0]
-            found, counts = np.unique(key[by_key], return_counts=True)
-            parts = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(hashes[by_key]))
-            node = batch.column("node").to_numpy()[found // FRAGMENTS]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array((found % FRAGMENTS).astype(np.int32)), parts],
-                                             names=["node", "fragment", "part"])
-
-    return all_sets.join(nodes, "node", "left_semi").select("node", "grams").mapInArrow(
-        cut, "node long, fragment int, part array<long>").dropDuplicates(["node", "fragment"])
-
-
-def least_shared(a: Column, b: Column, percent: int) -> Column:
+def needed(a: Column, b: Column, percent: int) -> Column:
     """The fewest n-grams that two sets of these sizes share when they link."""
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
-def links_of(pairs: DataFrame, rare: DataFrame, all_sets: DataFrame, fragment: np.ndarray, percent: int) -> DataFrame:
-    """The pairs ``u, v, n_u, n_v`` that link. Overlaps are counted per fragment and summed per pair."""
-    side = lambda s: rare.select(F.col("node").alias(s), F.col("rare").alias(f"rare_{s}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    shared = F.size(F.array_intersect("rare_u", "rare_v"))
-    others = F.least(F.col("n_u") - F.size("rare_u"), F.col("n_v") - F.size("rare_v"))
-    close = store(both.select("u", "v", "n_u", "n_v", shared.alias("shared"), others.alias("others")).where(
-        F.col("shared") + F.col("others") >= least_shared(F.col("n_u"), F.col("n_v"), percent)).drop("others"))
-    nodes = close.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    parts = store(segments(all_sets, nodes, fragment))
-    left = close.select("u", "v").join(parts.select(F.col("node").alias("u"), "fragment", F.col("part").alias("part_u")), "u")
-    counted = left.join(parts.select(F.col("node").alias("v"), "fragment", F.col("part").alias("part_v")), ["v", "fragment"]).select(
-        "u", "v", F.size(F.array_intersect("part_u", "part_v")).alias("shared"))
-    total = close.select("u", "v", "shared").unionByName(counted).groupBy("u", "v").agg(F.sum("shared").alias("total"))
-    return close.join(total, ["u", "v"]).where(
-        F.lit(100) * F.col("total") >= F.lit(percent) * (F.col("n_u") + F.col("n_v") - F.col("total"))).select("u", "v")
-
-
-def classes(all_sets: DataFrame, percent: int) -> DataFrame:
+def room(percent: int) -> Column:
+    """Whether sizes and places of a shared n-gram leave room for the overlap that a link needs."""
+    least = needed(F.col("n_u"), F.col("n_v"), percent)
+    return (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (
+        F.col("n_u") - F.col("pos_u") >= least) & (F.col("n_v") - F.col("pos_v") >= least)
+
+
+def as_side(members: DataFrame, side: str, *more: str) -> DataFrame:
+    return members.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "pos", *more)])
+
+
+def links_of(pairs: DataFrame, prefix: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``node_u, node_v, n_u, n_v`` that link: bounded by their prefixes, then counted fragment by fragment."""
+    side = lambda s: prefix.select(F.col("node").alias(f"node_{s}"), F.col("prefix").alias(f"prefix_{s}"))
+    both = pairs.join(side("u"), "node_u").join(side("v"), "node_v")
+    known = F.least(F.element_at("prefix_u", -1), F.element_at("prefix_v", -1))  # both sets are known up to here
+    upto = lambda s: F.size(F.filter(f"prefix_{s}", lambda x: x <= F.col("known")))
+    shared = F.size(F.array_intersect("prefix_u", "prefix_v"))
+    bound = shared + F.least(F.col("n_u") - upto("u"), F.col("n_v") - upto("v"))
+    close = store(both.withColumn("known", known).where(bound >= needed(F.col("n_u"), F.col("n_v"), percent)).select(
+        "node_u", "node_v", "n_u", "n_v"))
+    part = lambda s: parts.select(F.col("node").alias(f"node_{s}"), "fragment", F.col("part").alias(f"part_{s}"))
+    counted = close.join(part("u"), "node_u").join(part("v"), ["node_v", "fragment"]).groupBy("node_u", "node_v", "n_u", "n_v").agg(
+        F.sum(F.size(F.array_intersect("part_u", "part_v"))).alias("total"))
+    return counted.where(F.lit(100) * F.col("total") >= F.lit(percent) * (F.col("n_u") + F.col("n_v") - F.col("total"))).select("node_u", "node_v")
+
+
+def classes(docs: DataFrame, members_of: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     """``node, component`` for every node that links with another."""
-    counts, fragment = order(all_sets)
-    chosen = store(placed(all_sets, counts, fragment, percent))
-    postings = chosen.select(F.explode("prefix").alias("gram"), "node", "n").distinct()
-    groups = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
-    members = store(postings.join(groups, "gram"))
-    size_of = members.select(F.col("node").alias("hub"), F.col("n").alias("n_v")).distinct()
-    fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    first = members.where("node <> hub").select(F.col("node").alias("u"), F.col("n").alias("n_u"), "hub").distinct().join(
-        size_of, "hub").withColumnRenamed("hub", "v").where(fits)
-    rare = chosen.select("node", "rare")
-    rare = rare.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("rare").alias("rare"))
-    rare = store(rare)
-    links = store(links_of(store(first), rare, all_sets, fragment, percent))
-    known = store(components(links, "u", "v"))
-
-    labelled = members.join(known, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("component"))
+    chosen = store(prefixes(docs, order, n, percent))
+    rank = F.shiftleft(F.shiftright(F.element_at("prefix", 1), LEVEL_SHIFT), LEVEL_SHIFT).bitwiseOR(
+        F.shiftrightunsigned("node", 64 - LEVEL_SHIFT))  # the most common first n-gram, then any order
+    postings = chosen.select("node", "n", rank.alias("rank"), F.posexplode("prefix").alias("pos", "gram"))
+    groups = store(postings.groupBy("gram").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.max("rank").alias("top")).where(
+        "_a < _b").select("gram", "top"))
+    members = store(postings.join(groups, "gram").distinct())
+    hubs = members.where("rank = top")
+    first = store(as_side(members, "u").join(as_side(hubs, "v"), "gram").where(
+        (F.col("node_u") != F.col("node_v")) & room(percent)).select("node_u", "node_v", "n_u", "n_v").distinct())
+    nodes = store(members.select("node").distinct())
+    prefix = store(chosen.join(nodes, "node", "left_semi").select("node", "prefix").dropDuplicates(["node"]))
+    wanted = members_of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_doc")).select(F.col("_doc")).distinct()
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]), "left_semi")
+    parts = store(segments(texts, order, n).dropDuplicates(["node", "fragment"]))
+    links = store(links_of(first, prefix, parts, percent))
+    known = store(components(links, "node_u", "node_v"))
+
+    labelled = members.join(known, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     open_groups = labelled.groupBy("gram").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("gram")
-    still = store(labelled.join(open_groups, "gram"))
-    one = still.select("gram", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
-    two = still.select("gram", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-    cross = one.join(two, "gram").where((F.col("u") > F.col("v")) & (F.col("c_u") != F.col("c_v")) & fits).select("u", "v", "n_u", "n_v").distinct()
-    cross = cross.join(first.select("u", "v"), ["u", "v"], "left_anti")
-    more = links_of(store(cross), rare, all_sets, fragment, percent)
-    return components(links.unionByName(more), "u", "v")
+    still = store(labelled.join(store(open_groups), "gram"))
+    smaller = still.where(F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n"), percent))  # as the smaller of a pair
+    ordered = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("node_u") > F.col("node_v")))
+    cross = as_side(still, "u", "component").join(as_side(smaller, "v", "component"), "gram").where(
+        ordered & (F.col("component_u") != F.col("component_v")) & room(percent)).select("node_u", "node_v", "n_u", "n_v").distinct()
+    more = links_of(store(cross), prefix, parts, percent)
+    return components(links.unionByName(more), "node_u", "node_v")
 
 
 def near_duplicates(docs: DataFrame, gram_words: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (the least ``doc_id`` reachable by links)."""
-    all_sets = sets(docs, gram_words)
-    members = store(all_sets.select("doc_id", "node", F.size("grams").cast("long").alias("n_shingles")))
-    found = store(classes(all_sets, percent))
-    label = members.where("n_shingles > 0").select("doc_id", "node").join(found, "node", "left").select(
+    found = store(counted(docs, gram_words))
+    members = found.where("part IS NULL").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    linked = store(classes(docs, members.where("n_shingles > 0"), Order(*levels(found)), gram_words, percent))
+    label = members.where("n_shingles > 0").select("doc_id", "node").join(linked, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_node = label.select("node", "component").distinct().join(least, "component").select("node", "least")
+    of_node = store(label.select("node", "component").distinct().join(least, "component").select("node", "least"))
     return members.join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

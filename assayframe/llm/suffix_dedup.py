@@ -267,7 +267,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
         "row", "content", "run.*")
     spot = F.xxhash64("content", "place")
     shared = every.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a < b").select("anchor")
-    wanted = every.select("row", "anchor", "place", "start", "n").join(shared, "anchor", "left_semi")
+    # stored, so that both sides of the join are plain exchanges and a hot anchor's rows can be split
+    wanted = every.select("row", "anchor", "place", "start", "n").join(store(shared), "anchor", "left_semi")
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "place")).alias("runs"))
     first = members.groupBy("content").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(
         "content", "first.row", F.xxhash64("first.doc_id").alias("id"))
