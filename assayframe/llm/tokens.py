@@ -6,6 +6,7 @@ words, one after the other. A worker encodes each new word once and keeps it.
 
 from __future__ import annotations
 
+import array
 import os
 
 import numpy as np
@@ -14,8 +15,12 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of the words a worker keeps: memory only, never results.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 1_000_000
 KEEP_BYTES = 48
+#: Words encoded in one call.
+CALL_WORDS = 256
+#: Letters below are lower-cased one by one and have no decomposed form in composed text.
+LATIN_END = "\u0250"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -25,23 +30,59 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: others follow from 256 on
+        others = [b for b in range(256) if b not in printable]
+        self.byte_names = {b: 256 + i for i, b in enumerate(others)}
+        self.point = {t: self._one(t) for t in (b".", b",")}
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Add words to ``known``. Case of ASCII letters does not matter, and a full stop or comma after
+        ASCII letters and digits is encoded by itself, so such words share one entry's work."""
+        known, point, rest = self.known, self.point, []
+        stems = {}
+        for word in missing:
+            low = word.lower()
+            stems[word] = (low[:-1], low[-1:]) if low[-1:] in point and low[:-1].isalnum() else (low, b"")
+        for stem in {s for s, _ in stems.values()}:
+            if stem not in known:
+                text = stem.decode()
+                if text.isalpha() and max(text) < LATIN_END and "\u0130" not in text:
+                    known[stem] = self._letters(text)
+                else:
+                    rest.append(text)
+        for at in range(0, len(rest), CALL_WORDS):
+            some = rest[at:at + CALL_WORDS]
+            for text, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[text.encode()] = np.array(found.ids, self.dtype).tobytes()
+        for word, (stem, tail) in stems.items():
+            known[word] = known[stem] + point[tail] if tail else known[stem]
+
+    def _letters(self, text: str) -> bytes:
+        """A word of Latin letters only is one piece for the tokenizer's model, composed as it is; the model reads it
+        as one character for each byte."""
+        piece = text.lower() if text.isascii() else text.lower().encode().decode("latin-1").translate(self.byte_names)
+        return array.array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, text: bytes, last: int) -> bytes:
         """Ids of ``text`` and then the id ``last``."""
         if len(self.known) > KEEP_WORDS:
             self.known = {}
         words = text.split()
-        missing = list(set(words) - self.known.keys())
+        missing = {w for w in set(words) if w not in self.known}
         if missing:
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)
-            for word, ids in zip(missing, encoded):
-                self.known[word] = np.array(ids.ids, self.dtype).tobytes()
+            self._learn(missing)
         out = b"".join(map(self.known.__getitem__, words)) + np.array([last], self.dtype).tobytes()
         for word in missing:
             if len(word) > KEEP_BYTES:
-                del self.known[word]
+                self.known.pop(word, None)
+                self.known.pop(word.lower(), None)
         return out
 
 
