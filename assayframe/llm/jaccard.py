@@ -179,28 +179,28 @@ def links_of(pairs: DataFrame, prefix: DataFrame, parts: DataFrame, percent: int
     close = store(both.withColumn("known", known).where(bound >= needed(F.col("n_u"), F.col("n_v"), percent)).select(
         "node_u", "node_v", "n_u", "n_v"))
     part = lambda s: parts.select(F.col("node").alias(f"node_{s}"), "fragment", F.col("part").alias(f"part_{s}"))
-    counted = close.join(part("u"), "node_u").join(part("v"), ["node_v", "fragment"]).groupBy("node_u", "node_v", "n_u", "n_v").agg(
-        F.sum(F.size(F.array_intersect("part_u", "part_v"))).alias("total"))
+    counted = close.join(part("u"), "node_u").join(part("v"), ["node_v", "fragment"]).groupBy("node_u", "node_v", "n_u", "n_v", "fragment").agg(
+        F.max(F.size(F.array_intersect("part_u", "part_v"))).alias("shared")).groupBy("node_u", "node_v", "n_u", "n_v").agg(
+        F.sum("shared").alias("total"))
     return counted.where(F.lit(100) * F.col("total") >= F.lit(percent) * (F.col("n_u") + F.col("n_v") - F.col("total"))).select("node_u", "node_v")
 
 
 def classes(docs: DataFrame, members_of: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     """``node, component`` for every node that links with another."""
     chosen = store(prefixes(docs, order, n, percent))
-    rank = F.shiftleft(F.shiftright(F.element_at("prefix", 1), LEVEL_SHIFT), LEVEL_SHIFT).bitwiseOR(
-        F.shiftrightunsigned("node", 64 - LEVEL_SHIFT))  # the most common first n-gram, then any order
-    postings = chosen.select("node", "n", rank.alias("rank"), F.posexplode("prefix").alias("pos", "gram"))
-    groups = store(postings.groupBy("gram").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.max("rank").alias("top")).where(
+    level = F.shiftright(F.element_at("prefix", 1), LEVEL_SHIFT)  # of the rarest n-gram: changed copies have rarer ones
+    postings = chosen.select("node", "n", level.alias("level"), F.posexplode("prefix").alias("pos", "gram"))
+    groups = store(postings.groupBy("gram").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.max("level").alias("top")).where(
         "_a < _b").select("gram", "top"))
-    members = store(postings.join(groups, "gram").distinct())
-    hubs = members.where("rank = top")
+    members = store(postings.join(groups.hint("merge"), "gram").distinct())
+    hubs = members.where("level = top").groupBy("gram").agg(F.min(F.struct("node", "n", "pos")).alias("hub")).select("gram", "hub.*")
     first = store(as_side(members, "u").join(as_side(hubs, "v"), "gram").where(
         (F.col("node_u") != F.col("node_v")) & room(percent)).select("node_u", "node_v", "n_u", "n_v").distinct())
     nodes = store(members.select("node").distinct())
     prefix = store(chosen.join(nodes, "node", "left_semi").select("node", "prefix").dropDuplicates(["node"]))
-    wanted = members_of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_doc")).select(F.col("_doc")).distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]), "left_semi")
-    parts = store(segments(texts, order, n).dropDuplicates(["node", "fragment"]))
+    wanted = members_of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_doc")).select(F.xxhash64("_doc").alias("key")).distinct()
+    texts = docs.select(F.xxhash64("doc_id").alias("key"), "text").join(wanted.hint("merge"), "key", "left_semi").distinct()
+    parts = store(segments(texts, order, n))
     links = store(links_of(first, prefix, parts, percent))
     known = store(components(links, "node_u", "node_v"))
 

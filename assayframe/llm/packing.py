@@ -36,10 +36,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
                 texts = piece.column("text").cast(pa.binary()).to_pylist()
-                ids = [encoder.encode(t or b"", end_id) for t in texts]
+                ids = encoder.encode_all(texts, end_id)
                 counts = [len(i) // encoder.dtype.itemsize for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("row"), piece.column("doc_id"), piece.column("source"),
@@ -94,7 +94,8 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE_TOKENS, window: int = WINDOW_
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    placed = rows.select("row", "doc_id", "n_tokens", "ids").join(layout(rows.drop("ids", "doc_id"), sequence, window), "row")
+    placed = rows.select("row", "doc_id", "n_tokens", "ids").join(
+        layout(rows.drop("ids", "doc_id"), sequence, window).hint("merge"), "row")
     schema = f"doc_id {kind}, " + ", ".join(f"`{n}` long" for n in names[1:7]) + ", ids binary" * with_ids
     return placed.select(F.col("doc_id"), "n_tokens", "at", "ids").mapInPandas(cut, schema)
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of the words a worker keeps: memory only, never results.
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 500_000
 KEEP_BYTES = 48
 #: Words encoded in one call.
 CALL_WORDS = 256
@@ -33,7 +33,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # words met lately, and before that
+        self.older: dict[bytes, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: others follow from 256 on
         others = [b for b in range(256) if b not in printable]
         self.byte_names = {b: 256 + i for i, b in enumerate(others)}
@@ -51,7 +52,13 @@ class WordEncoder:
             low = word.lower()
             stems[word] = (low[:-1], low[-1:]) if low[-1:] in point and low[:-1].isalnum() else (low, b"")
         for stem in {s for s, _ in stems.values()}:
-            if stem not in known:
+            if stem in known:
+                continue
+            if stem in self.older:
+                known[stem] = self.older[stem]
+            elif stem.isalpha():
+                known[stem] = self._letters(stem.decode())
+            else:
                 text = stem.decode()
                 if text.isalpha() and max(text) < LATIN_END and "\u0130" not in text:
                     known[stem] = self._letters(text)
@@ -70,21 +77,25 @@ class WordEncoder:
         piece = text.lower() if text.isascii() else text.lower().encode().decode("latin-1").translate(self.byte_names)
         return array.array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def encode(self, text: bytes, last: int) -> bytes:
-        """Ids of ``text`` and then the id ``last``."""
+    def encode_all(self, texts: list[bytes | None], last: int) -> list[bytes]:
+        """Ids of each text and then the id ``last``; null is empty."""
         if len(self.known) > KEEP_WORDS:
-            self.known = {}
-        words = text.split()
-        missing = {w for w in set(words) if w not in self.known}
+            self.known, self.older = {}, self.known
+        split = [t.split() if t else [] for t in texts]
+        missing = {w for w in set().union(*split) if w not in self.known}
         if missing:
             self._learn(missing)
-        out = b"".join(map(self.known.__getitem__, words)) + np.array([last], self.dtype).tobytes()
+        tail = np.array([last], self.dtype).tobytes()
+        out = [b"".join(map(self.known.__getitem__, words)) + tail for words in split]
         for word in missing:
             if len(word) > KEEP_BYTES:
                 self.known.pop(word, None)
                 self.known.pop(word.lower(), None)
         return out
 
+    def encode(self, text: bytes, last: int) -> bytes:
+        return self.encode_all([text], last)[0]
+
 
 def encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker."""
