@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayframe.llm.common import let, text_of, words_of
+from assayframe.llm.common import SPACE, WORD, let, text_of, words_of
 from assayframe.session import store
 
 MIN_WORDS = 5
@@ -32,6 +32,11 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def at_least(n: int) -> Column:
+    """Whether a line has ``n`` words; the pattern stops at the last one it needs."""
+    return F.col("line").rlike(rf"^{SPACE[:-1]}*+(?:{WORD[:-1]}++(?:{SPACE}+|$)){{{n}}}")
+
+
 def content(line: Column) -> Column:
     """A 128-bit name of a line."""
     return F.unhex(F.md5(line))
@@ -59,7 +64,7 @@ def one_edit(a: Column, b: Column, place: Column) -> Column:
 def near(lines: DataFrame) -> DataFrame:
     """From distinct ``id, first, line`` (``first``: a sortable first place) each line with its earliest near line:
     ``id, near_id``, where there is an earlier one."""
-    keyed = lines.select("id", F.explode(halves(F.col("line"))).alias("half"))
+    keyed = store(lines.select("id", halves(F.col("line")).alias("halves"))).select("id", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").count().where("count > 1").select("half")
     able = store(lines.join(keyed.join(shared, "half").select("id").distinct(), "id", "left_semi").select(
         "id", "first", words_of(F.col("line")).alias("words")))
@@ -101,12 +106,11 @@ def near(lines: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame) -> DataFrame:
     """The lines to remove from ``row, doc_id, text``: ``row, doc_id, line_no, keep_doc_id, keep_line_no, edits``."""
-    every = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).withColumn(
-        "n_words", F.size(words_of(F.col("line")))).where(F.col("n_words") >= MIN_WORDS)
+    every = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).where(at_least(MIN_WORDS))
     places = store(every.select("row", "doc_id", "line_no", content(F.col("line")).alias("id")))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line_no")
     firsts = store(places.groupBy("id").agg(F.min(place).alias("first")))
-    texts = every.where(F.col("n_words") >= MIN_NEAR_WORDS).select("line").distinct().select(content(F.col("line")).alias("id"), "line")
+    texts = every.where(at_least(MIN_NEAR_WORDS)).select("line").distinct().select(content(F.col("line")).alias("id"), "line")
     nearest = near(texts.join(firsts, "id"))
     kept = firsts.join(nearest, "id", "left").select("id", "first", F.coalesce("near_id", "id").alias("keep"), F.col("near_id").isNotNull().alias("is_near"))
     kept = kept.join(firsts.select(F.col("id").alias("keep"), F.col("first").alias("kept_first")), "keep")
