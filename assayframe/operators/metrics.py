@@ -67,7 +67,7 @@ def moments(df: DataFrame, vector: str, weight: str | None = None) -> DataFrame:
     """Weighted count, sums and cross products of a vector column: rows (i, j, n, si, sj, sij), i <= j.
 
     Each task folds its rows into one Gram matrix, so the shuffle carries d * d / 2 rows per task,
-    whatever the number of rows.
+    whatever the number of rows. A null or infinite entry fails the job: impute before.
     """
     source = df.select(F.col(vector).alias("x"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
 
@@ -78,6 +78,8 @@ def moments(df: DataFrame, vector: str, weight: str | None = None) -> DataFrame:
             if batch.empty:
                 continue
             x = np.stack(batch["x"].to_numpy()).astype(float)
+            if not np.isfinite(x).all():
+                raise ValueError("a vector has a missing or infinite entry; impute it first")
             w = batch["w"].to_numpy(dtype=float)
             xw = x * w[:, None]
             gram = xw.T @ x if gram is None else gram + xw.T @ x

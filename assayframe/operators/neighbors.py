@@ -260,8 +260,8 @@ def knn_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def collapse_rows(train: DataFrame, *, row_id: str, target: str, by: Sequence[str] = (), k: int = 5) -> DataFrame:
-    """Training rows that can ever be chosen: the ``k`` lowest ids of each distinct feature point."""
-    base = knn_features(train, [F.col(row_id).alias("row_id"), *by, F.col(target).alias("y")])
+    """Training rows that can ever be chosen: of those with a target, the ``k`` lowest ids of each distinct feature point."""
+    base = knn_features(train.where(N.finite_or(F.col(target), None).isNotNull()), [F.col(row_id).alias("row_id"), *by, F.col(target).alias("y")])
     return lowest(base, [*by, "carbons", "temp", "additive", "conc"], "row_id", k)
 
 

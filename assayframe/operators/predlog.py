@@ -45,14 +45,18 @@ def valid_edit(feedback: str = "feedback", actual: str = "actual_pcmc") -> F.Col
     return domain & (F.col(actual).isNull() | F.col(actual).between(low, high))
 
 
-def merge_feedback(log: DataFrame, edits: DataFrame, log_id: str = "id") -> DataFrame:
-    """Feedback columns from the valid edits; every other column of the log stays as it is."""
-    good = edits.where(valid_edit()).select(
-        log_id, F.col("feedback").alias("_feedback"), F.col("actual_pcmc").alias("_actual"))
+def merge_feedback(log: DataFrame, edits: DataFrame, log_id: str = "id", edited_at: str | None = None) -> DataFrame:
+    """Feedback columns from the valid edits; every other column of the log stays as it is.
+
+    Of several edits of one row the latest by ``edited_at`` counts; without that column, the greatest by value.
+    """
+    values = F.struct("feedback", "actual_pcmc")
+    latest = F.max_by(values, F.struct(*[edited_at] * bool(edited_at), values))
+    good = edits.where(valid_edit()).groupBy(log_id).agg(latest.alias("_edit"))
     return log.join(good, log_id, "left").withColumns({
-        "feedback": F.coalesce("_feedback", "feedback"),
-        "actual_pcmc": F.coalesce("_actual", "actual_pcmc"),
-    }).drop("_feedback", "_actual")
+        "feedback": F.coalesce("_edit.feedback", "feedback"),
+        "actual_pcmc": F.coalesce("_edit.actual_pcmc", "actual_pcmc"),
+    }).drop("_edit")
 
 
 def drift(log: DataFrame, inputs: list[str], prediction: str = "predicted_pcmc") -> DataFrame:

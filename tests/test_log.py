@@ -48,3 +48,11 @@ def test_drift_needs_a_repeat(spark):
     log = spark.createDataFrame([("a", 0.3722), ("a", 0.4295), ("b", 1.0)], "k string, predicted_pcmc double")
     rows = predlog.drift(log, ["k"]).collect()
     assert len(rows) == 1 and rows[0]["spread"] == pytest.approx(0.0573)
+
+
+def test_latest_of_several_edits_counts_once(spark):
+    log = spark.createDataFrame([("1", "", None), ("2", "", None)], "id string, feedback string, actual_pcmc double")
+    edits = spark.createDataFrame([("1", "Good", 9.0, 1), ("1", "Bad", 2.0, 2), ("1", "Bad", 2.0, 2)],
+                                  "id string, feedback string, actual_pcmc double, at int")
+    rows = [tuple(r) for r in predlog.merge_feedback(log, edits, edited_at="at").orderBy("id").collect()]
+    assert rows == [("1", "Bad", 2.0), ("2", "", None)]

@@ -88,3 +88,10 @@ def test_rows_without_a_temperature_get_no_prediction(spark):
     asked = spark.createDataFrame([("q", "CC", None, "x", 0.1, None), ("r", "CC", 20.0, "x", float("nan"), None)], schema)
     out = NB.knn_predict(train, asked, keep=["sample_id"], k=1).collect()
     assert {r["sample_id"]: r["predicted_pcmc"] for r in out} == {"q": None, "r": 1.0}
+
+
+def test_rows_without_a_target_are_never_chosen(spark):
+    schema = "sample_id string, surfactant_smiles string, temperature double, additive_smiles string, additive_concentration double, pcmc double"
+    train = spark.createDataFrame([("a", "CCC", 20.0, None, None, None), ("b", "CCCC", 20.0, None, None, 2.0)], schema)
+    asked = spark.createDataFrame([("q", "CCC", 20.0, None, None, None)], schema)
+    assert [r.predicted_pcmc for r in NB.knn_predict(train, asked, keep=["sample_id"], k=1).collect()] == [2.0]
