@@ -26,6 +26,8 @@ from assayframe.session import store
 
 MIN_WORDS = 5
 MIN_NEAR_WORDS = 10
+#: Columns of a line's keys: first and last half, as it is and as the longer line of a pair.
+HALVES = ["half_1", "half_2", "half_3", "half_4"]
 
 
 def lines_of(text: Column) -> Column:
@@ -61,62 +63,89 @@ def one_edit(a: Column, b: Column, place: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).otherwise(without == a)
 
 
-def near(lines: DataFrame) -> DataFrame:
-    """From distinct ``id, first, line`` (``first``: a sortable first place) each line with its earliest near line:
-    ``id, near_id``, where there is an earlier one."""
-    keyed = store(lines.select("id", halves(F.col("line")).alias("halves"))).select("id", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").count().where("count > 1").select("half")
-    able = store(lines.join(keyed.join(shared, "half").select("id").distinct(), "id", "left_semi").select(
-        "id", "first", words_of(F.col("line")).alias("words")))
+def shared_halves(lines: DataFrame) -> DataFrame:
+    """The ``id`` of each line of the distinct ``id, halves`` that has a half in common with another line."""
+    keyed = lines.select("id", F.xxhash64("id").alias("name"), F.explode(F.array(*HALVES)).alias("half"))
+    shared = keyed.groupBy("half").agg(F.min("name").alias("_a"), F.max("name").alias("_b")).where("_a < _b").select("half")
+    return keyed.join(shared, "half", "left_semi").select("id").distinct()
 
+
+def variants_of(able: DataFrame) -> DataFrame:
+    """Hashed keys of the distinct ``id, words``: ``id, key, place``, one for each deleted word (its place, from 0) and one
+    for the line itself (place -1)."""
     word = able.select("id", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
-    here = word.withColumns({"kept": F.xxhash64("word", "place"), "moved": F.xxhash64("word", F.col("place") - 1)})
+    here = word.select("id", "n", "place", F.xxhash64("word", "place").alias("kept"), F.xxhash64("word", F.col("place") - 1).alias("moved"))
     in_line = Window.partitionBy("id").orderBy("place")
-    before = in_line.rowsBetween(Window.unboundedPreceding, -1)
-    after = in_line.rowsBetween(1, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
+    whole = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     hashed = here.select(
-        "id", "n", "place", "kept", F.coalesce(F.bit_xor("kept").over(before), zero).alias("_before"),
-        F.coalesce(F.bit_xor("moved").over(Window.partitionBy("id").orderBy(F.desc("place")).rowsBetween(
-            Window.unboundedPreceding, -1)), zero).alias("_after"))
-    deleted = hashed.select("id", F.xxhash64(F.col("_before").bitwiseXOR(F.col("_after")), F.col("n") - 1).alias("key"), "place")
-    itself = hashed.where(F.col("place") == F.col("n") - 1).select(
-        "id", F.xxhash64(F.col("_before").bitwiseXOR(F.col("kept")), "n").alias("key"), F.lit(-1).alias("place"))
-    variants = store(deleted.unionByName(itself).join(able.select("id", "first"), "id"))
-
-    entry = F.struct("first", "id", "place")
-    by_key = variants.groupBy("key").agg(
-        F.min(F.when(F.col("place") < 0, entry)).alias("whole"), F.min(F.when(F.col("place") >= 0, entry)).alias("part"))
-    by_place = variants.where("place >= 0").groupBy("key", "place").agg(F.min(entry).alias("same"), F.count(F.lit(1)).alias("n"))
-    to_whole = by_key.where("whole IS NOT NULL AND part IS NOT NULL").select("key", "whole", "part")
-    found = variants.join(to_whole, "key").select(
-        "id", "first", F.when(F.col("place") < 0, F.col("part")).otherwise(F.col("whole")).alias("other"),
-        F.when(F.col("place") < 0, F.col("part.place")).otherwise(F.col("place")).alias("place"))
-    alike = variants.join(by_place.where("n > 1").select("key", "place", "same"), ["key", "place"]).select(
-        "id", "first", F.col("same").alias("other"), "place")
-    pairs = found.unionByName(alike).where("other.first < first").select("id", F.col("other.id").alias("near_id"), "other.first", "place")
+        "id", "n", "place", F.bit_xor("kept").over(in_line.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), "kept",
+        F.bit_xor("moved").over(in_line.rowsBetween(Window.unboundedPreceding, 0)).alias("_moved"),
+        F.bit_xor("moved").over(whole).alias("_all"))
+    without = F.col("_upto").bitwiseXOR(F.col("kept")).bitwiseXOR(F.col("_moved")).bitwiseXOR(F.col("_all"))
+    deleted = F.struct(F.xxhash64(without, F.col("n") - 1).alias("key"), F.col("place").alias("place"))
+    itself = F.struct(F.xxhash64("_upto", "n").alias("key"), F.lit(-1).alias("place"))
+    made = F.when(F.col("place") == F.col("n") - 1, F.array(deleted, itself)).otherwise(F.array(deleted))
+    return hashed.select("id", F.explode(made).alias("made")).select("id", "made.key", "made.place")
+
+
+def near(able: DataFrame) -> DataFrame:
+    """From distinct ``id, words``, where ids are in the order of the lines' first places, each line with its earliest near
+    line: ``id, near_id``, where there is an earlier one."""
+    variants = store(variants_of(able))
+    part = F.when(F.col("place") >= 0, F.col("id"))
+    keys = variants.groupBy("key").agg(
+        F.min("id").alias("_a"), F.max("id").alias("_b"), F.min(F.when(F.col("place") < 0, F.col("id"))).alias("whole"),
+        F.min(part).alias("part"), F.min_by(F.col("place"), part).alias("part_place")).where("_a < _b").drop("_a", "_b")
+    met = store(variants.join(keys, "key"))
+    is_whole = F.col("place") < 0
+    found = met.select(
+        "id", F.when(is_whole, F.col("part")).otherwise(F.col("whole")).alias("near_id"),
+        F.when(is_whole, F.col("part_place")).otherwise(F.col("place")).alias("place"))
+    parts = met.where("place >= 0").select("key", "place", "id")
+    least = parts.groupBy("key", "place").agg(F.min("id").alias("near_id"), F.max("id").alias("_b")).where("near_id < _b").drop("_b")
+    alike = parts.join(least, ["key", "place"]).select("id", "near_id", "place")
+    pairs = found.unionByName(alike).where("near_id < id").distinct()
 
     mine = able.select("id", F.col("words").alias("mine"))
     theirs = able.select(F.col("id").alias("near_id"), F.col("words").alias("theirs"))
-    checked = pairs.distinct().join(mine, "id").join(theirs, "near_id").where(
+    checked = pairs.join(mine, "id").join(theirs, "near_id").where(
         F.when(F.size("mine") <= F.size("theirs"), one_edit(F.col("mine"), F.col("theirs"), F.col("place")))
         .otherwise(one_edit(F.col("theirs"), F.col("mine"), F.col("place"))))
-    return checked.groupBy("id").agg(F.min(F.struct("first", "near_id"))["near_id"].alias("near_id"))
+    return checked.groupBy("id").agg(F.min("near_id").alias("near_id"))
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """The lines to remove from ``row, doc_id, text``: ``row, doc_id, line_no, keep_doc_id, keep_line_no, edits``."""
+    """The lines to remove from ``row, doc_id, text``: ``row, doc_id, line_no, keep_doc_id, keep_line_no, edits``.
+
+    Only names of lines are shuffled at first. Lines met once that share no half with another one are left
+    alone from there on, and texts are fetched for the first places of the lines that may have a near one.
+    """
     every = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).where(at_least(MIN_WORDS))
-    places = store(every.select("row", "doc_id", "line_no", content(F.col("line")).alias("id")))
+    half = F.when(at_least(MIN_NEAR_WORDS), halves(F.col("line")))
+    places = store(every.select("row", "doc_id", "line_no", content(F.col("line")).alias("id"), half.alias("half")).select(
+        "row", "doc_id", "line_no", "id", *[F.col("half")[i].alias(h) for i, h in enumerate(HALVES)]))
+    distinct = store(places.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.min(h).alias(h) for h in HALVES]))
+    able = store(shared_halves(distinct.where(F.col(HALVES[0]).isNotNull())).withColumn("able", F.lit(True)))
+    some = distinct.select("id", "n").join(able, "id", "left").where("n > 1 OR able").select("id", "able")
+    chosen = store(places.select("row", "doc_id", "line_no", "id").join(some, "id"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line_no")
-    firsts = store(places.groupBy("id").agg(F.min(place).alias("first")))
-    texts = every.where(at_least(MIN_NEAR_WORDS)).select("line").distinct().select(content(F.col("line")).alias("id"), "line")
-    nearest = near(texts.join(firsts, "id"))
-    kept = firsts.join(nearest, "id", "left").select("id", "first", F.coalesce("near_id", "id").alias("keep"), F.col("near_id").isNotNull().alias("is_near"))
-    kept = kept.join(firsts.select(F.col("id").alias("keep"), F.col("first").alias("kept_first")), "keep")
-    return places.join(kept, "id").where(F.col("is_near") | (place != F.col("first"))).select(
-        "row", "doc_id", "line_no", F.col("kept_first.doc_id").alias("keep_doc_id"), F.col("kept_first.line_no").alias("keep_line_no"),
-        F.col("is_near").cast("int").alias("edits"))
+    firsts = store(chosen.groupBy("id").agg(F.min(place).alias("first"), F.max("able").alias("able")))
+
+    wanted = firsts.where("able").select("first.row", "first.line_no", "first")
+    texts = every.where(at_least(MIN_NEAR_WORDS)).select("row", "line_no", "line").join(wanted, ["row", "line_no"])
+    ordered = store(texts.select("first", "line").orderBy("first").select(
+        F.monotonically_increasing_id().alias("id"), "first", words_of(F.col("line")).alias("words")))
+    found = near(ordered.select("id", "words"))
+    first = ordered.select("id", "first")
+    nearest = found.join(first, "id").join(first.select(F.col("id").alias("near_id"), F.col("first").alias("near_first")), "near_id").select(
+        F.col("first.row").alias("_row"), F.col("first.line_no").alias("_line_no"), "near_first")
+    kept = firsts.join(nearest, (F.col("first.row") == F.col("_row")) & (F.col("first.line_no") == F.col("_line_no")), "left").select(
+        "id", "first", "near_first")
+    is_near = F.col("near_first").isNotNull()
+    kept_first = F.coalesce("near_first", "first")
+    return chosen.join(kept, "id").where(is_near | (place != F.col("first"))).select(
+        "row", "doc_id", "line_no", kept_first["doc_id"].alias("keep_doc_id"), kept_first["line_no"].alias("keep_line_no"),
+        is_near.cast("int").alias("edits"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
