@@ -168,16 +168,39 @@ def as_side(members: DataFrame, side: str, *more: str) -> DataFrame:
     return members.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "pos", *more)])
 
 
-def links_of(pairs: DataFrame, prefix: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``node_u, node_v, n_u, n_v`` that link: bounded by their prefixes, then counted fragment by fragment."""
+def larger_first() -> list[Column]:
+    """``node_u, node_v, n_u, n_v`` of a pair, so that the larger set is ``u`` (of equal ones, the larger node)."""
+    u, v = (F.struct(F.col(f"n_{s}").alias("n"), F.col(f"node_{s}").alias("node")) for s in "uv")
+    large, small = F.greatest(u, v), F.least(u, v)
+    return [large["node"].alias("node_u"), small["node"].alias("node_v"), large["n"].alias("n_u"), small["n"].alias("n_v")]
+
+
+def close_pairs(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``node_u, node_v, n_u, n_v`` that may link by the bound that their prefixes give, stored."""
     side = lambda s: prefix.select(F.col("node").alias(f"node_{s}"), F.col("prefix").alias(f"prefix_{s}"))
     both = pairs.join(side("u"), "node_u").join(side("v"), "node_v")
     known = F.least(F.element_at("prefix_u", -1), F.element_at("prefix_v", -1))  # both sets are known up to here
     upto = lambda s: F.size(F.filter(f"prefix_{s}", lambda x: x <= F.col("known")))
     shared = F.size(F.array_intersect("prefix_u", "prefix_v"))
     bound = shared + F.least(F.col("n_u") - upto("u"), F.col("n_v") - upto("v"))
-    close = store(both.withColumn("known", known).where(bound >= needed(F.col("n_u"), F.col("n_v"), percent)).select(
+    return store(both.withColumn("known", known).where(bound >= needed(F.col("n_u"), F.col("n_v"), percent)).select(
         "node_u", "node_v", "n_u", "n_v"))
+
+
+def one_document(close: DataFrame, members_of: DataFrame) -> DataFrame:
+    """The hashed ``doc_id`` of one document of each node in ``close``, as ``key``."""
+    nodes = close.select(F.explode(F.array("node_u", "node_v")).alias("node")).distinct()
+    return members_of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_doc")).select(F.xxhash64("_doc").alias("key")).distinct()
+
+
+def parts_of(docs: DataFrame, wanted: DataFrame, order: Order, n: int) -> DataFrame:
+    """The :func:`segments` of the documents with a key in ``wanted``, stored."""
+    texts = docs.select(F.xxhash64("doc_id").alias("key"), "text").join(wanted, "key", "left_semi").distinct()
+    return store(segments(texts, order, n))
+
+
+def links_of(close: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``close`` that link, counted fragment by fragment."""
     part = lambda s: parts.select(F.col("node").alias(f"node_{s}"), "fragment", F.col("part").alias(f"part_{s}"))
     counted = close.join(part("u"), "node_u").join(part("v"), ["node_v", "fragment"]).groupBy("node_u", "node_v", "n_u", "n_v", "fragment").agg(
         F.max(F.size(F.array_intersect("part_u", "part_v"))).alias("shared")).groupBy("node_u", "node_v", "n_u", "n_v").agg(
@@ -195,13 +218,12 @@ def classes(docs: DataFrame, members_of: DataFrame, order: Order, n: int, percen
     members = store(postings.join(groups.hint("merge"), "gram").distinct())
     hubs = members.where("level = top").groupBy("gram").agg(F.min(F.struct("node", "n", "pos")).alias("hub")).select("gram", "hub.*")
     first = store(as_side(members, "u").join(as_side(hubs, "v"), "gram").where(
-        (F.col("node_u") != F.col("node_v")) & room(percent)).select("node_u", "node_v", "n_u", "n_v").distinct())
+        (F.col("node_u") != F.col("node_v")) & room(percent)).select(*larger_first()).distinct())
     nodes = store(members.select("node").distinct())
     prefix = store(chosen.join(nodes, "node", "left_semi").select("node", "prefix").dropDuplicates(["node"]))
-    wanted = members_of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_doc")).select(F.xxhash64("_doc").alias("key")).distinct()
-    texts = docs.select(F.xxhash64("doc_id").alias("key"), "text").join(wanted.hint("merge"), "key", "left_semi").distinct()
-    parts = store(segments(texts, order, n))
-    links = store(links_of(first, prefix, parts, percent))
+    close = close_pairs(first, prefix, percent)
+    parts = parts_of(docs, one_document(close, members_of).hint("merge"), order, n)
+    links = store(links_of(close, parts, percent))
     known = store(components(links, "node_u", "node_v"))
 
     labelled = members.join(known, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
@@ -211,7 +233,9 @@ def classes(docs: DataFrame, members_of: DataFrame, order: Order, n: int, percen
     ordered = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("node_u") > F.col("node_v")))
     cross = as_side(still, "u", "component").join(as_side(smaller, "v", "component"), "gram").where(
         ordered & (F.col("component_u") != F.col("component_v")) & room(percent)).select("node_u", "node_v", "n_u", "n_v").distinct()
-    more = links_of(store(cross), prefix, parts, percent)
+    cross = cross.join(first.select("node_u", "node_v"), ["node_u", "node_v"], "left_anti")  # those are decided
+    close = close_pairs(cross, prefix, percent)
+    more = links_of(close, parts_of(docs, one_document(close, members_of), order, n), percent)
     return components(links.unionByName(more), "node_u", "node_v")
 
 
