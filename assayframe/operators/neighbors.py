@@ -1,13 +1,13 @@
 """Exact k-nearest-neighbour estimation.
 
 Rows are first collapsed: of one feature point at most ``k`` rows can ever be chosen, the ones with
-the lowest ids. If the rest fits a checked bound, every task gets it and ranks its share of the
-queries. Otherwise the search works by grouped aggregates and equi-joins on a grid whose cell widths
+the lowest ids. The search works by grouped aggregates and equi-joins on a grid whose cell widths
 are powers of two:
 
-1. every row is counted into its cell at every width, with the bounding box of the cell;
+1. every row is counted into its narrowest cell, with the bounding box of the cell; wider cells are
+   added up from narrower ones;
 2. a query looks up its own cell at every width. Each cell that holds ``k`` rows gives an upper
-   bound on the k-th distance (the farthest corner of the box); the least bound wins;
+   bound on the k-th distance (the farthest corner of the box), and so does the whole group; the least wins;
 3. the query visits the cells that the ball of that radius touches, at the narrowest width not
    below half the radius: at most five cells per dimension, clipped to the extent of the group.
    An equi-join fetches their rows, and the exact distances are ranked.
@@ -19,20 +19,19 @@ holds the k nearest rows, so the result equals brute force. Ties go to the lower
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayframe import schemas as S
 from assayframe.functions import numeric as N, text as X
 from assayframe.session import materialize, spread
 
-ANY = "*"
-MAX_BROADCAST_ROWS = 200_000
-WHOLE = 999  # the level of the one cell that holds a whole group
+#: Share of the rows left out at either end when the bulk of a dimension is measured.
+TAIL = 0.05
+#: Widths between the bulk of the data and its whole extent.
+OUTER_LEVELS = 6
 
 
 def _sum(cols: Sequence[Column]) -> Column:
@@ -49,17 +48,28 @@ def lowest(rows: DataFrame, keys: Sequence[str], row_id: str, k: int) -> DataFra
     return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def cell_levels(queries: DataFrame, rows: DataFrame, dims: Sequence[str]) -> range:
-    """Exponents of the cell widths, from the data extent and size: one aggregate, one row back."""
+def cell_levels(queries: DataFrame, rows: DataFrame, dims: Sequence[str]) -> list[int]:
+    """Exponents of the cell widths, ascending: one aggregate, one row back.
+
+    The narrow ones follow the bulk of the data, so that a far outlier does not widen them; a few wide ones lead up
+    to the whole extent. They steer the work only, never the result.
+    """
     spans = queries.select(*dims).union(rows.select(*dims)).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims],
+        *[F.percentile_approx(d, [TAIL, 1 - TAIL]).alias(f"bulk_{d}") for d in dims],
     ).first()
-    extent = max((spans[f"hi_{d}"] or 0.0) - (spans[f"lo_{d}"] or 0.0) for d in dims)
+    ends = [(spans[f"lo_{d}"] or 0.0, spans[f"hi_{d}"] or 0.0) for d in dims]
+    extent = max(hi - lo for lo, hi in ends)
+    bulk = max(b[1] - b[0] if (b := spans[f"bulk_{d}"]) else 0.0 for d in dims) or extent
     # The widest cells must be wider than any ball inside the extent.
-    top = math.ceil(math.log2(max(extent * math.sqrt(len(dims)), 1.0))) + 1
-    depth = min(24, max(6, math.ceil(math.log2(spans["n"] + 1))))
-    return range(top - depth + 1, top + 1)
+    above = lambda size: math.ceil(math.log2(max(size * math.sqrt(len(dims)), 1.0))) + 1
+    top, middle = above(extent), above(bulk)
+    bottom = middle - max(6, math.ceil(math.log2(spans["n"] + 1)))
+    # Cell numbers must fit 64 bits, however far the data lie from zero.
+    bottom = max(bottom, math.ceil(math.log2(max(max(abs(lo), abs(hi), 1.0) for lo, hi in ends))) - 56)
+    step = max(2, -(-(top - middle) // OUTER_LEVELS))
+    return sorted({*range(bottom, middle, 2), *range(middle, top, step), top})
 
 
 def _cells(dims: Sequence[str], width: Column) -> list[Column]:
@@ -67,40 +77,39 @@ def _cells(dims: Sequence[str], width: Column) -> list[Column]:
 
 
 def candidates(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], k: int,
-               levels: range, query_id: str, carry: Sequence[str]) -> DataFrame:
+               levels: Sequence[int], query_id: str, carry: Sequence[str]) -> DataFrame:
     """Every row that can be among the ``k`` nearest of a query inside its ``by`` group.
 
     Returns query_id, by, d2 and the ``carry`` columns; the k nearest are always among them.
     """
-    level = lambda i, width: F.struct(F.lit(i).alias("level"), F.lit(width).alias("width"))
-    widths = [level(i, 2.0 ** i) for i in levels]
+    widths = [F.struct(F.lit(i).alias("level"), F.lit(2.0 ** i).alias("width")) for i in levels]
     cells = [f"_c{i}" for i in range(len(dims))]
+    edges = [f"_{end}_{d}" for d in dims for end in ("lo", "hi")]
+    far2 = lambda lo, hi: _sum([F.greatest(_square(F.col(d) - F.col(f"{lo}_{d}")), _square(F.col(d) - F.col(f"{hi}_{d}"))) for d in dims])
 
-    # (1) cell summaries. The widest "cell" is the whole group; it bounds queries of small groups.
-    whole = F.col("_w.level") == WHOLE
-    everywhere = F.explode(F.array(*widths, level(WHOLE, 1.0)))
-    placed_everywhere = lambda df, *more: df.withColumn("_w", everywhere).select(
-        *more, *by, *dims, F.col("_w.level").alias("_level"),
-        *[F.when(whole, F.lit(0)).otherwise(c).cast("bigint").alias(n) for c, n in zip(_cells(dims, F.col("_w.width")), cells)])
+    # (1) cell summaries, and the extent of each whole group.
+    narrowest = F.lit(2.0 ** levels[0])
     box = [a for d in dims for a in (F.min(d).alias(f"_lo_{d}"), F.max(d).alias(f"_hi_{d}"))]
-    summary = (
-        placed_everywhere(rows).groupBy(*by, "_level", *cells).agg(F.count(F.lit(1)).alias("_rows"), *box)
-        .where((F.col("_rows") >= k) | (F.col("_level") == WHOLE))
-    )
-
-    # (2) the least upper bound over all widths, and the extent of the group.
-    far2 = _sum([F.greatest(_square(F.col(d) - F.col(f"_lo_{d}")), _square(F.col(d) - F.col(f"_hi_{d}"))) for d in dims])
-    of_group = lambda c: F.max(F.when(F.col("_level") == WHOLE, F.col(c))).alias(c)
-    bounded = (
-        placed_everywhere(queries, query_id).join(summary, [*by, "_level", *cells])
-        .groupBy(query_id, *by, *dims)
-        .agg((F.min(far2) + 1e-6).alias("_far2"), *[of_group(f"_{e}_{d}") for d in dims for e in ("lo", "hi")])
-    )
+    again = [(F.min if e.startswith("_lo_") else F.max)(e).alias(e) for e in edges]
+    finest = rows.select(*by, *dims, *_cells(dims, narrowest)).groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_rows"), *box)
+    wider = finest.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels]))).withColumns({
+        c: F.expr(f"shiftright({c}, _level - ({levels[0]}))") for c in cells})
+    summary = wider.groupBy(*by, "_level", *cells).agg(F.sum("_rows").alias("_rows"), *again).where(F.col("_rows") >= k)
+    whole = finest.groupBy(*by).agg(*again)
+
+    # (2) the least upper bound over all widths.
+    in_cell = summary.select(*by, "_level", *cells, *[F.col(e).alias(f"_in{e}") for e in edges])
+    looked_up = queries.withColumn("_w", F.explode(F.array(*widths))).select(
+        query_id, *by, *dims, F.col("_w.level").alias("_level"), *_cells(dims, F.col("_w.width"))).join(
+        in_cell, [*by, "_level", *cells], "left")
+    least = looked_up.groupBy(query_id, *by, *dims).agg(F.min(far2("_in_lo", "_in_hi")).alias("_in_cell"))
+    bounded = least.join(whole, [*by]).withColumn("_far2", F.least("_in_cell", far2("_lo", "_hi")) + 1e-6)
 
     # (3) visit the touched cells at the narrowest width that is not below half the radius.
     radius = F.sqrt("_far2")
     fitting = F.ceil(F.log2(radius)).cast("int") - 1
-    visits = bounded.withColumn("_level", F.least(F.lit(levels[-1]), F.greatest(F.lit(levels[0]), fitting)))
+    wide_enough = F.filter(F.array(*[F.lit(i) for i in levels]), lambda i: i >= fitting)
+    visits = bounded.withColumn("_level", F.coalesce(F.array_min(wide_enough), F.lit(levels[-1])))
     visits = visits.withColumn("_width", F.pow(F.lit(2.0), F.col("_level")))
     cell_of = lambda x: F.floor(x / F.col("_width")).cast("bigint")
     for d, cell in zip(dims, cells):
@@ -122,24 +131,31 @@ def candidates(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims:
     )
 
 
-def estimate_by_grid(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
-                     value: str, row_id: str, k: int, query_id: str) -> DataFrame:
-    """``estimate`` for any number of rows, by the grid search.
+def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
+             value: str, row_id: str, k: int, query_id: str = "query_id") -> DataFrame:
+    """Mean ``value`` of the ``k`` rows nearest to each query, with a category in the distance.
+
+    The squared distance is Euclidean over ``dims`` plus 0 for the same category and 2 for another
+    one, as after a one-hot encoding. (A category that no row has is 1 from every row; a constant
+    does not change which rows are nearest.) Rows and queries without a position (a null in ``dims``)
+    take no part.
 
     The k nearest rows are always among the k nearest of the same category and the k nearest of any
     category, so each query asks for just those two lists.
     """
-    group = [*by, "_pool"]
-    pools = F.explode(F.array(F.col(category), F.lit(ANY)))
-    points = lowest(rows.withColumn("_pool", pools), [*group, *dims], row_id, k)
-    asks = queries.select(query_id, *by, *dims, F.col(category).alias("_own")).withColumn(
-        "_pool", F.explode(F.array(F.col("_own"), F.lit(ANY))))
+    queries, rows = queries.dropna(subset=list(dims)), rows.dropna(subset=list(dims))
+    group = [*by, "_any", "_pool"]
+    pools = lambda own: F.explode(F.array(
+        F.struct(F.lit(False).alias("any"), F.col(own).alias("pool")), F.struct(F.lit(True).alias("any"), F.lit("").alias("pool"))))
+    pooled = lambda df, own: df.withColumn("_in", pools(own)).withColumns({"_any": F.col("_in.any"), "_pool": F.col("_in.pool")}).drop("_in")
+    points = lowest(pooled(rows, category), [*group, *dims], row_id, k)
+    asks = pooled(queries.select(query_id, *by, *dims, F.col(category).alias("_own")), "_own")
     near = candidates(
         asks.withColumn("_ask", F.struct(query_id, "_own")).select("_ask", *group, *dims), points, by=group, dims=dims,
         k=k, levels=cell_levels(queries, rows, dims), query_id="_ask", carry=[row_id, category, value])
     same = F.col(category) == F.col("_ask._own")
     # In the list over any category, rows of the query's own one are repeats.
-    scored = near.where((F.col("_pool") != ANY) | ~same).select(
+    scored = near.where(~F.col("_any") | ~same).select(
         F.col(f"_ask.{query_id}").alias(query_id), row_id, F.col(value).alias("_value"),
         F.round(F.col("d2") + F.when(same, 0.0).otherwise(2.0), 9).alias("d2"))
     order = Window.partitionBy(query_id).orderBy("d2", row_id)
@@ -150,100 +166,6 @@ def estimate_by_grid(queries: DataFrame, rows: DataFrame, *, by: Sequence[str],
     )
 
 
-def _group_matrices(table: pd.DataFrame, by: Sequence[str], dims: Sequence[str], category: str, value: str, row_id: str) -> dict:
-    """Rows as arrays per group, sorted by the first dimension, with their position in id order."""
-    table = table.sort_values(row_id)
-    out = {}
-    for key, part in table.groupby(list(by), dropna=False) if by else [((), table)]:
-        if part.empty:
-            continue
-        x = part[list(dims)].to_numpy(dtype=float)
-        order = np.argsort(x[:, 0], kind="stable")
-        out[tuple(key)] = (x[order], part[category].to_numpy(dtype=object)[order],
-                           part[value].to_numpy(dtype=float)[order], order)
-    return out
-
-
-def _nearest_means(asked: np.ndarray, own: np.ndarray, matrix: tuple, k: int) -> np.ndarray:
-    """Mean value of the k nearest rows of each asked point.
-
-    Points that share the first coordinate are ranked together against the rows within ``reach`` of
-    it. Rows further out are more than ``reach`` away, so a point is settled once its k-th distance
-    is inside; the others look again with a wider reach, at last at every row.
-    """
-    x, categories, values, position = matrix
-    k = min(k, len(x))
-    means = np.empty(len(asked))
-    for start in np.unique(asked[:, 0]):
-        open_points, reach = np.flatnonzero(asked[:, 0] == start), 2.0
-        while len(open_points):
-            lo, hi = np.searchsorted(x[:, 0], start - reach, "left"), np.searchsorted(x[:, 0], start + reach, "right")
-            whole = hi - lo == len(x)
-            if hi - lo < k and not whole:
-                reach *= 3
-                continue
-            near, block, unsettled = x[lo:hi], max(1, 1_000_000 // (hi - lo)), []
-            for at in range(0, len(open_points), block):
-                points = open_points[at:at + block]
-                d2 = np.zeros((len(points), hi - lo))
-                for j in range(x.shape[1]):
-                    d2 += (asked[points, j, None] - near[None, :, j]) ** 2
-                d2 = np.round(np.round(d2, 9) + np.where(own[points, None] == categories[None, lo:hi], 0.0, 2.0), 9)
-                bounds = np.partition(d2, k - 1, axis=1)[:, k - 1]
-                for i, point in enumerate(points):
-                    if not whole and bounds[i] > reach * reach:
-                        unsettled.append(point)
-                        continue
-                    hits = np.flatnonzero(d2[i] <= bounds[i])
-                    best = hits[np.lexsort((position[lo + hits], d2[i, hits]))[:k]]
-                    means[point] = values[lo + best].mean()
-            open_points, reach = np.array(unsettled, dtype=int), reach * 3
-    return means
-
-
-def estimate_by_broadcast(queries: DataFrame, table: pd.DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
-                          value: str, row_id: str, k: int, query_id: str) -> DataFrame:
-    """``estimate`` for a table of bounded size, handed to every task; queries stay partitioned."""
-    spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(_group_matrices(table, by, dims, category, value, row_id))
-    by, dims = list(by), list(dims)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = shared.value
-        for batch in batches:
-            parts = batch.groupby(by, dropna=False) if by else [((), batch)]
-            for key, part in parts:
-                if tuple(key) not in groups or part.empty:
-                    continue
-                means = _nearest_means(
-                    part[dims].to_numpy(dtype=float), part[category].to_numpy(dtype=object), groups[tuple(key)], k)
-                n = min(k, len(groups[tuple(key)][0]))
-                yield pd.DataFrame({query_id: part[query_id].to_numpy(), "estimate": means, "n_neighbors": n})
-
-    asked = spread(queries.select(query_id, *by, *dims, category), query_id)
-    return asked.mapInPandas(run, f"{query_id} {queries.schema[query_id].dataType.simpleString()}, estimate double, n_neighbors int")
-
-
-def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], category: str,
-             value: str, row_id: str, k: int, query_id: str = "query_id", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mean ``value`` of the ``k`` rows nearest to each query, with a category in the distance.
-
-    The squared distance is Euclidean over ``dims`` plus 0 for the same category and 2 for another
-    one, as after a one-hot encoding. (A category that no row has is 1 from every row; a constant
-    does not change which rows are nearest.) A row table within ``max_broadcast`` rows is handed to
-    every task; a larger one is searched by the grid. Both are exact and give the same rows.
-    Rows and queries without a position (a null in ``dims``) take no part.
-    """
-    queries, rows = queries.dropna(subset=list(dims)), rows.dropna(subset=list(dims))
-    settings = dict(by=by, dims=dims, category=category, value=value, row_id=row_id, k=k, query_id=query_id)
-    columns = [row_id, *by, *dims, category, value]
-    # One row more than the bound tells the two cases apart without fetching a larger table.
-    table = rows.select(*columns).limit(max_broadcast + 1).toPandas() if max_broadcast else None
-    if table is not None and len(table) <= max_broadcast:
-        return estimate_by_broadcast(queries, table, **settings)
-    return estimate_by_grid(queries, rows, **settings)
-
-
 def _point_id(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
 

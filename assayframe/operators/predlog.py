@@ -9,12 +9,11 @@ from assayframe import schemas as S
 from assayframe.functions import numeric as N
 
 
-def log_rows(scored: DataFrame, *, log_id: str, ts: str, prediction: str, carry: list[str]) -> DataFrame:
-    """Scored rows in log form: rounded value, molar value as text, feedback still blank."""
+def log_rows(scored: DataFrame, *, log_id: str, ts: str, prediction: str, carry: list[str] = S.CONDITIONS) -> DataFrame:
+    """Scored rows in log form: time, carried inputs, rounded value, molar value as text, feedback still blank."""
     p = F.col(prediction)
     return scored.select(
-        F.col(log_id).cast("string").alias("id"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("logged_at"),
-        *carry,
+        F.col(log_id).cast("string").alias("id"), F.col(ts).cast("timestamp").alias("ts"), *carry,
         F.round(p, 4).alias("predicted_pcmc"), N.scientific(N.from_neg_log10(p)).alias("predicted_cmc_m"),
         F.lit("").alias("feedback"), F.lit(None).cast("double").alias("actual_pcmc"),
     )
@@ -35,6 +34,12 @@ def read(spark: SparkSession, path: str, schema=S.PREDICTION_LOG_SCHEMA) -> Data
         return spark.createDataFrame([], schema)
 
 
+def formatted(log: DataFrame) -> DataFrame:
+    """The log for display: ``ts`` becomes the text ``logged_at``."""
+    return log.select(*[
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("logged_at") if c == "ts" else F.col(f"`{c}`") for c in log.columns])
+
+
 def newest_first(log: DataFrame, ts: str = "ts", log_id: str = "id") -> DataFrame:
     return log.orderBy(F.desc(ts), log_id)
 

@@ -759,7 +759,7 @@ def event_log(spark, folder):
 
 @query
 def prediction_log(spark, folder):
-    return event_log(spark, folder)
+    return predlog.formatted(event_log(spark, folder))
 
 
 @query
@@ -770,7 +770,7 @@ def merge_feedback(spark, folder):
         F.when(grade == 0, "Good").when(grade == 1, "Overestimated").when(grade == 2, "Wrong")
         .when(grade == 3, "Bad").otherwise("Underestimated").alias("feedback"),
         (F.col("value") / 10).alias("actual_pcmc"))
-    return rounded(predlog.merge_feedback(event_log(spark, folder), edits), "actual_pcmc")
+    return rounded(predlog.formatted(predlog.merge_feedback(event_log(spark, folder), edits)), "actual_pcmc")
 
 
 @query

@@ -54,12 +54,10 @@ def store(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Hash-partition a small-in-bytes, heavy-to-process table over all cores.
 
-    Adaptive execution merges small shuffle partitions by size; an explicit count keeps the tasks that
-    expand such rows in parallel. The count follows the session's own shuffle setting.
+    Adaptive execution merges small shuffle partitions by size; an explicit count, the session's own shuffle
+    setting, keeps the tasks that expand such rows in parallel.
     """
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(wanted, 4 * spark.sparkContext.defaultParallelism), *columns)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
 def widen(scan: DataFrame) -> DataFrame:

@@ -8,9 +8,15 @@ from assayframe import schemas as S
 
 
 def read_measurements_csv(spark: SparkSession, path: str, schema: T.StructType = S.MEASUREMENT_SCHEMA) -> DataFrame:
-    """CSV with a header, bound to the columns of ``schema`` by name; a missing column is read as null."""
+    """CSV with a header, bound to the columns of ``schema`` by name.
+
+    A missing column is read as null if ``schema`` allows nulls in it; otherwise it is an error.
+    """
     header = spark.read.option("header", True).csv(path)
     present = set(header.columns)
+    lacking = [f.name for f in schema.fields if not f.nullable and f.name not in present]
+    if lacking:
+        raise ValueError(f"required columns are missing in {path}: {', '.join(lacking)}")
     return header.select(*[
         (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields

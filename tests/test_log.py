@@ -23,6 +23,18 @@ def test_append_keeps_earlier_rows(spark, folder, tmp_path):
     assert spark.read.parquet(path).count() == 8
 
 
+def test_written_rows_are_read_with_time_and_inputs(spark, tmp_path):
+    scored = spark.createDataFrame(
+        [(1, "2024-05-01 10:00:00", "CCO", 20.0, None, None, 2.0), (2, "2024-05-02 09:30:00", "CCC", 25.0, "[Na+]", 0.1, 3.0)],
+        "k int, at string, surfactant_smiles string, temperature double, additive_smiles string, additive_concentration double, p double")
+    path = str(tmp_path / "log")
+    predlog.append(predlog.log_rows(scored, log_id="k", ts="at", prediction="p"), path)
+    rows = predlog.formatted(predlog.newest_first(predlog.read(spark, path))).collect()
+    assert [(r["id"], r["logged_at"]) for r in rows] == [("2", "2024-05-02 09:30:00"), ("1", "2024-05-01 10:00:00")]
+    assert [tuple(rows[0][c] for c in S.CONDITIONS), tuple(rows[1][c] for c in S.CONDITIONS)] == [
+        ("CCC", 25.0, "[Na+]", 0.1), ("CCO", 20.0, None, None)]
+
+
 def test_stream_equals_batch_and_resumes(spark, folder, tmp_path):
     inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     os.makedirs(inbox)

@@ -26,7 +26,7 @@ def test_no_cross_joins_and_no_row_at_a_time_python(spark, folder, name):
 def test_grid_search_is_an_equi_join(spark):
     df = spark.createDataFrame([(float(i), "", f"{i}", 1.0) for i in range(50)], "a double, cat string, id string, v double")
     asked = df.selectExpr("id AS query_id", "a", "cat")
-    text = plan(NB.estimate(asked, df, by=[], dims=["a"], category="cat", value="v", row_id="id", k=3, max_broadcast=0))
+    text = plan(NB.estimate(asked, df, by=[], dims=["a"], category="cat", value="v", row_id="id", k=3))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "WindowGroupLimit" in text
 

@@ -26,6 +26,13 @@ def test_csv_scan_rejects_malformed_numbers(spark, tmp_path):
         files.read_measurements_csv(spark, str(path)).collect()
 
 
+def test_csv_scan_needs_the_required_columns(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("surfactant_smiles,pcmc\nCCO,1.0\n")
+    with pytest.raises(ValueError, match="temperature"):
+        files.read_measurements_csv(spark, str(path))
+
+
 def test_prediction_sink_round_trip(spark, tmp_path):
     scored = spark.createDataFrame(
         [("CCO", 20.0, None, None, 1.5, "x")], "surfactant_smiles string, temperature double, additive_smiles string, "
