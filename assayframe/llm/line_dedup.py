@@ -9,10 +9,12 @@ Each line emits its variants with one word deleted as hashed keys, with the plac
 so equal keys are exactly the near lines, and within a key only the least line of either kind matters: no pairs are
 formed. The found pairs are verified word by word. A line goes if an earlier line (by ``doc_id``, then place) is equal or near.
 
-Only lines that share their first or last half with another line (one half is untouched by one edit) emit variants. Lines
-of fewer than ``MIN_WORDS`` words are left alone; near lines need ``MIN_NEAR_WORDS``.
+Only lines that share their first or last half with another line (one half is untouched by one edit) emit variants. Each
+character of a script written without blanks is a word. The queries compare every line that has a word (``LEAST_WORDS``)
+and try near lines from ``LEAST_NEAR_WORDS`` on, as one word of fewer is most of what a line says; callers may ask for
+longer lines only, by default ``MIN_WORDS`` and ``MIN_NEAR_WORDS``.
 
-Edge cases: a null text has one empty line, which is left alone. Repeated rows are later copies of the first. A very
+Edge cases: a null text has one empty line, which is left alone, like any line without a word. Repeated rows are later copies of the first. A very
 long line costs its number of words: keys are running exclusive-ors, not one hash per variant text. A null ``doc_id`` comes
 last. An empty table gives an empty result.
 """
@@ -21,11 +23,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayframe.llm.common import SPACE, WORD, let, text_of, words_of
+from assayframe.llm.common import SPACE, WORD, let, words_of
 from assayframe.session import store
 
 MIN_WORDS = 5
 MIN_NEAR_WORDS = 10
+#: What the queries ask for.
+LEAST_WORDS = 1
+LEAST_NEAR_WORDS = 5
+#: Thai, Lao, Burmese, Khmer, kana and Han characters.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 #: Columns of a line's keys: first and last half, as it is and as the longer line of a pair.
 HALVES = ["half_1", "half_2", "half_3", "half_4"]
 
@@ -39,6 +46,11 @@ def at_least(n: int) -> Column:
     return F.col("line").rlike(rf"^{SPACE[:-1]}*+(?:{WORD[:-1]}++(?:{SPACE}+|$)){{{n}}}")
 
 
+def apart(line: Column) -> Column:
+    """A line with blanks around each character of a script without blanks."""
+    return F.when(line.rlike(f"[{UNSPACED}]"), F.regexp_replace(line, f"([{UNSPACED}])", " $1 ")).otherwise(line)
+
+
 def content(line: Column) -> Column:
     """A 128-bit name of a line."""
     return F.unhex(F.md5(line))
@@ -114,14 +126,16 @@ def near(able: DataFrame) -> DataFrame:
     return checked.groupBy("id").agg(F.min("near_id").alias("near_id"))
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """The lines to remove from ``row, doc_id, text``: ``row, doc_id, line_no, keep_doc_id, keep_line_no, edits``.
+def repeats(rows: DataFrame, least: int, near_least: int) -> DataFrame:
+    """The lines to remove from ``row, doc_id, text``: ``row, doc_id, line_no, keep_doc_id, keep_line_no, edits``; lines of
+    ``least`` words may equal another, of ``near_least`` words be near it.
 
     Only names of lines are shuffled at first. Lines met once that share no half with another one are left
     alone from there on, and texts are fetched for the first places of the lines that may have a near one.
     """
-    every = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).where(at_least(MIN_WORDS))
-    half = F.when(at_least(MIN_NEAR_WORDS), halves(F.col("line")))
+    every = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).select(
+        "row", "doc_id", "line_no", apart(F.col("line")).alias("line")).where(at_least(least))
+    half = F.when(at_least(near_least), halves(F.col("line")))
     places = store(every.select("row", "doc_id", "line_no", content(F.col("line")).alias("id"), half.alias("half")).select(
         "row", "doc_id", "line_no", "id", *[F.col("half")[i].alias(h) for i, h in enumerate(HALVES)]))
     distinct = store(places.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.min(h).alias(h) for h in HALVES]))
@@ -132,7 +146,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     firsts = store(chosen.groupBy("id").agg(F.min(place).alias("first"), F.max("able").alias("able")))
 
     wanted = firsts.where("able").select("first.row", "first.line_no", "first")
-    texts = every.where(at_least(MIN_NEAR_WORDS)).select("row", "line_no", "line").join(wanted, ["row", "line_no"])
+    texts = every.where(at_least(near_least)).select("row", "line_no", "line").join(wanted, ["row", "line_no"])
     ordered = store(texts.select("first", "line").orderBy("first").select(
         F.monotonically_increasing_id().alias("id"), "first", words_of(F.col("line")).alias("words")))
     found = near(ordered.select("id", "words"))
@@ -153,17 +167,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return store(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = MIN_WORDS, near_least: int = MIN_NEAR_WORDS) -> DataFrame:
     """One row per line that goes: ``doc_id, line_no, keep_doc_id, keep_line_no, edits`` (0: equal, 1: near)."""
     rows = keyed(docs.select("doc_id", "text")).select("row", "doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text"))
-    return repeats(rows).drop("row")
+    return repeats(rows, least, near_least).drop("row")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = MIN_WORDS, near_least: int = MIN_NEAR_WORDS) -> DataFrame:
     """The documents without the lines that go, in the columns of ``docs``; one that loses all its lines with words goes."""
     rows = keyed(docs)
-    gone = repeats(rows.select("row", "doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text"))).groupBy("row").agg(
-        F.collect_set("line_no").alias("gone"))
+    gone = repeats(rows.select("row", "doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text")), least, near_least).groupBy(
+        "row").agg(F.collect_set("line_no").alias("gone"))
     some = rows.join(gone, "row", "left")
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.filter(
         lines_of(F.col("doc.text")), lambda x, i: ~F.array_contains("gone", i)), "\n"))

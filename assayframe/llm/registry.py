@@ -25,7 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_mixing": over(mixing.mixed_documents),
         "op3_licenses": over(licenses.find_licenses),
         "op4_quality": over(quality.judge),
-        "op5_line_dedup": over(line_dedup.repeated_lines),
+        "op5_line_dedup": over(lambda docs: line_dedup.repeated_lines(docs, line_dedup.LEAST_WORDS, line_dedup.LEAST_NEAR_WORDS)),
         "op6_token_files": over(token_files.token_files),
         "op7_exact_dedup": over(exact_dedup.exact_duplicates),
         "op8_jaccard": over(jaccard.near_duplicates),

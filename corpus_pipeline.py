@@ -24,7 +24,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Line dedup: lines equal or near to an earlier one go, and documents left without words."""
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, line_dedup.LEAST_WORDS, line_dedup.LEAST_NEAR_WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

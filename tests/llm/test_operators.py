@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from assayframe.llm import (
-    common, exact_dedup, graph, jaccard, licenses, line_dedup, mixing, packing, quality, secrets, suffix_dedup, token_files, tokens,
+    common, exact_dedup, graph, jaccard, licenses, line_dedup, mixing, packing, quality, registry, secrets, suffix_dedup, token_files, tokens,
 )
 from tests.llm import plain
 
@@ -149,6 +149,16 @@ def test_line_dedup_finds_each_kind_of_edit(spark):
     assert (1, 0, 1) in rows and (2, 0, 1) in rows and (3, 0, 1) in rows and (6, 0, 0) in rows
 
 
+def test_line_dedup_query_compares_every_line_with_a_word(spark, folder, table_rows):
+    found = got(registry.queries()["op5_line_dedup"](spark, folder), 2)
+    assert found == Counter(plain.repeated_lines(sorted(r[:2] for r in table_rows), 1, 5))
+    texts = ["Yes.", "今天天气很好我们去公园", "a b c d e f", "ไปโรงเรียนวันนี้", "Yes.", "今天天气很好我们去公园", "a b c X e f", "今天天气不好我们去公园",
+             "ไปโรงเรียนวันนี้", "今 天天气很好我们去公园呢", "No.", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {(r.doc_id, r.keep_doc_id, r.edits) for r in line_dedup.repeated_lines(docs, 1, 5).collect()}
+    assert rows == {(4, 0, 0), (5, 1, 0), (6, 2, 1), (7, 1, 1), (8, 3, 0), (9, 1, 1)}
+
+
 def test_without_repeats(table, table_rows):
     gone = defaultdict(set)
     for d, n in plain.repeated_lines(sorted((r[:2] for r in table_rows))):
