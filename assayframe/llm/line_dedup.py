@@ -3,6 +3,7 @@
 Two lines are near when one becomes the other by adding, dropping or replacing one word (edit distance 1 over words).
 Each line emits its variants with one word deleted as hashed keys, with the place of the deletion, and itself:
 
+- lines are named by their words, so lines that differ in white space only are equal,
 - lines whose variants agree in key and place differ in that one word,
 - a line that equals another line's variant lacks that one word,
 
@@ -47,12 +48,13 @@ def at_least(n: int) -> Column:
 
 
 def apart(line: Column) -> Column:
-    """A line with blanks around each character of a script without blanks."""
-    return F.when(line.rlike(f"[{UNSPACED}]"), F.regexp_replace(line, f"([{UNSPACED}])", " $1 ")).otherwise(line)
+    """The words of a line with one blank between them; each character of a script without blanks is a word."""
+    odd = line.rlike(rf"[\x09-\x0D{UNSPACED}]|\x20\x20|^\x20|\x20\z")
+    return F.when(odd, F.array_join(words_of(F.regexp_replace(line, f"([{UNSPACED}])", " $1 ")), " ")).otherwise(line)
 
 
 def content(line: Column) -> Column:
-    """A 128-bit name of a line."""
+    """A 128-bit name of a line, as it comes from :func:`apart`."""
     return F.unhex(F.md5(line))
 
 
@@ -65,7 +67,7 @@ def halves(line: Column) -> Column:
                                                                 (base - F.floor(base / 2)).cast("int"))))
         return F.array(*cut(n), *cut(n - 1))
 
-    return let(words_of(line), keys)
+    return let(F.split(line, " "), keys)
 
 
 def one_edit(a: Column, b: Column, place: Column) -> Column:
@@ -148,7 +150,7 @@ def repeats(rows: DataFrame, least: int, near_least: int) -> DataFrame:
     wanted = firsts.where("able").select("first.row", "first.line_no", "first")
     texts = every.where(at_least(near_least)).select("row", "line_no", "line").join(wanted, ["row", "line_no"])
     ordered = store(texts.select("first", "line").orderBy("first").select(
-        F.monotonically_increasing_id().alias("id"), "first", words_of(F.col("line")).alias("words")))
+        F.monotonically_increasing_id().alias("id"), "first", F.split("line", " ").alias("words")))
     found = near(ordered.select("id", "words"))
     first = ordered.select("id", "first")
     nearest = found.join(first, "id").join(first.select(F.col("id").alias("near_id"), F.col("first").alias("near_first")), "near_id").select(

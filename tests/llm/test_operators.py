@@ -159,6 +159,17 @@ def test_line_dedup_query_compares_every_line_with_a_word(spark, folder, table_r
     assert rows == {(4, 0, 0), (5, 1, 0), (6, 2, 1), (7, 1, 1), (8, 3, 0), (9, 1, 1)}
 
 
+def test_line_dedup_takes_lines_that_differ_in_white_space_as_equal(spark):
+    line = " ".join(f"w{i}" for i in range(12))
+    texts = [line.replace("w4", "new"), line, line + " ", line + "\r", "  " + line, line.replace(" ", "\t"), "Yes.", "Yes.\r", "今天 天气很好", "今天天气很好 "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {d for d, _ in plain.repeated_lines([(i, t) for i, t in enumerate(texts[:6])])} == {1, 2, 3, 4, 5}
+    rows = {(r.doc_id, r.keep_doc_id, r.edits) for r in line_dedup.repeated_lines(docs, 1, 5).collect()}
+    assert rows == {(i, 0, 1) for i in range(1, 6)} | {(7, 6, 0), (9, 8, 0)}
+    rows = {(r.doc_id, r.keep_doc_id, r.edits) for r in line_dedup.repeated_lines(docs.where("doc_id > 0"), 1, 5).collect()}
+    assert rows == {(i, 1, 0) for i in range(2, 6)} | {(7, 6, 0), (9, 8, 0)}
+
+
 def test_without_repeats(table, table_rows):
     gone = defaultdict(set)
     for d, n in plain.repeated_lines(sorted((r[:2] for r in table_rows))):
