@@ -49,7 +49,7 @@ def at_least(n: int) -> Column:
 
 def apart(line: Column) -> Column:
     """The words of a line with one blank between them; each character of a script without blanks is a word."""
-    odd = line.rlike(rf"[\x09-\x0D{UNSPACED}]|\x20\x20|^\x20|\x20\z")
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[^\x20-\u0DFF]")
     return F.when(odd, F.array_join(words_of(F.regexp_replace(line, f"([{UNSPACED}])", " $1 ")), " ")).otherwise(line)
 
 
@@ -135,8 +135,9 @@ def repeats(rows: DataFrame, least: int, near_least: int) -> DataFrame:
     Only names of lines are shuffled at first. Lines met once that share no half with another one are left
     alone from there on, and texts are fetched for the first places of the lines that may have a near one.
     """
-    every = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).select(
-        "row", "doc_id", "line_no", apart(F.col("line")).alias("line")).where(at_least(least))
+    raw = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line")).where(at_least(1))
+    every = raw.withColumn("line", apart(F.col("line")))
+    every = every.where(at_least(least)) if least > 1 else every
     half = F.when(at_least(near_least), halves(F.col("line")))
     places = store(every.select("row", "doc_id", "line_no", content(F.col("line")).alias("id"), half.alias("half")).select(
         "row", "doc_id", "line_no", "id", *[F.col("half")[i].alias(h) for i, h in enumerate(HALVES)]))
@@ -148,9 +149,9 @@ def repeats(rows: DataFrame, least: int, near_least: int) -> DataFrame:
     firsts = store(chosen.groupBy("id").agg(F.min(place).alias("first"), F.max("able").alias("able")))
 
     wanted = firsts.where("able").select("first.row", "first.line_no", "first")
-    texts = every.where(at_least(near_least)).select("row", "line_no", "line").join(wanted, ["row", "line_no"])
+    texts = raw.where(F.length("line") >= near_least).select("row", "line_no", "line").join(wanted, ["row", "line_no"])
     ordered = store(texts.select("first", "line").orderBy("first").select(
-        F.monotonically_increasing_id().alias("id"), "first", F.split("line", " ").alias("words")))
+        F.monotonically_increasing_id().alias("id"), "first", F.split(apart(F.col("line")), " ").alias("words")))
     found = near(ordered.select("id", "words"))
     first = ordered.select("id", "first")
     nearest = found.join(first, "id").join(first.select(F.col("id").alias("near_id"), F.col("first").alias("near_first")), "near_id").select(
