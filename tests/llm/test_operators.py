@@ -116,6 +116,21 @@ def test_license_in_a_very_long_line(spark):
     assert {r.license for r in licenses.find_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()} == {"MIT"}
 
 
+def licenses_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = defaultdict(list)
+    for r in sorted(licenses.find_licenses(docs).collect()):
+        out[r.doc_id].append(r.license)
+    return [out[i] for i in range(len(texts))]
+
+
+def test_every_license_of_a_line(spark):
+    assert licenses_of(spark, [
+        "Licensed under the MIT license.", "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+        "Licensed under CC BY-NC 4.0. All rights reserved. Licensed under CC BY-SA 4.0."]) == [
+        ["MIT"], ["MIT", "Apache-2.0"], ["CC-BY-NC-4.0", "Proprietary", "CC-BY-SA-4.0"]]
+
+
 def test_quality(case):
     docs, rows = case
     out = quality.judge(docs)
