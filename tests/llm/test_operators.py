@@ -131,6 +131,13 @@ def test_every_license_of_a_line(spark):
         ["MIT"], ["MIT", "Apache-2.0"], ["CC-BY-NC-4.0", "Proprietary", "CC-BY-SA-4.0"]]
 
 
+@pytest.mark.parametrize("n", [0, 15, 45, 100, 190, 1000])
+def test_license_inside_real_prose(spark, table_rows, n):
+    words = next(w for r in table_rows if len(w := plain.words(r[1])) > 2100 and "icense" not in r[1])
+    notices = ["Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Released under the MIT License."]
+    assert licenses_of(spark, [" ".join([*words[:n], x, *words[n:2 * n]]) for x in notices]) == [["Apache-2.0"], ["Proprietary"], ["MIT"]]
+
+
 def test_quality(case):
     docs, rows = case
     out = quality.judge(docs)
