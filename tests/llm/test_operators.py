@@ -138,6 +138,22 @@ def test_license_inside_real_prose(spark, table_rows, n):
     assert licenses_of(spark, [" ".join([*words[:n], x, *words[n:2 * n]]) for x in notices]) == [["Apache-2.0"], ["Proprietary"], ["MIT"]]
 
 
+def test_wrapped_notices_headers_and_spdx_ids(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files "
+           "(the \"Software\"), to deal\nin the Software without restriction")
+    bsd = ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following "
+           "conditions\n# are met:")
+    gnu = (" * This program is free software{} you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as "
+           "published by\n * the Free Software Foundation{} either version {} of the License, or\n * (at your option) any later version.")
+    assert licenses_of(spark, [
+        mit, mit.split("\n")[0], bsd, gnu.format(":", "", ",", 3), gnu.format(";", "", ";", 2), gnu.format(":", "Lesser ", ",", 3),
+        "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND Apache-2.0\nimport mit", "Licensed under CC0 1.0.",
+        "Released under the\nMIT License.", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."]) == [
+        ["MIT"], ["MIT"], ["BSD-3-Clause"], ["GPL-3.0"], ["GPL-2.0"], ["LGPL-3.0"], ["MIT"], ["GPL-2.0", "MIT", "Apache-2.0"], ["CC0-1.0"], ["MIT"], ["GPL-3.0"]]
+    found = licenses.find_licenses(spark.createDataFrame([(1, "a b\nx \"Released under\nthe MIT License.")], "doc_id long, text string")).collect()
+    assert [tuple(r)[:4] for r in found] == [(1, 1, 1, "MIT")]
+
+
 def test_quality(case):
     docs, rows = case
     out = quality.judge(docs)
