@@ -1,7 +1,9 @@
 """Quality rules, line first: lines that fail a rule go, then documents that lost too much text go.
 
-A line fails when it has no sentence end or is mostly punctuation marks (punctuation), when it is a row of
-separated items or starts with a menu word (navigation), or when it holds a stock phrase (boilerplate).
+A line fails when no sentence ends in it or in the lines that carry it on, or it is mostly punctuation marks (punctuation), when most
+of it is a row of separated items or it is short and starts with a menu word (navigation), or when most of it is sentences with a
+stock phrase (boilerplate). The next line carries a line on when it starts with a small letter, or when its first word would not have
+fitted on a line as long as the lines around (text wrapped at a width).
 
 Edge cases: a null text has no words and fails the base rules, like an empty one. Lines without a word are neither
 failed nor counted. Repeated rows are judged alike. An empty table gives an empty result. Every measure is
@@ -21,13 +23,19 @@ WINDOW = 3
 MAX_LOST_PERCENT = 50
 #: Marks a line may have for each word.
 MARKS_PER_WORD = 0.5
+#: Share of a line that separated items or stock sentences must cover.
+LEAST_COVER_PERCENT = 50
 
 #: Fixed values.
 SYMBOL = "[#*$%&|<>]"
 MARK = r"[!#*$%&|<>{}\[\]~^_=+@\\]"
 SENTENCE_END = r"""[.!?…。！？:;]["'”’»)\]]*(?:\s|$)"""
+SENTENCE_BREAK = r"(?<=[.!?…。！？])\s+"
+CARRIED_ON = r"""^\s*["'“‘«»(\[]*\s?\p{Ll}"""
+FIRST_WORD = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+QUOTED = "«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹"
 NAVIGATION = (
-    r"(?:[|›»•·→][^|›»•·→]{0,40}){3}"
+    r"(?:[|›»•·→][^|›»•·→]{0,40}){3,}"
     r"|(?i)^\s*(?:home|menu|next|previous|back to top|read more|click here|log ?in|sign (?:in|up)|skip to)\b(?:\W+\w+){0,5}\W*$")
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|(?:accept|use of|uses) cookies|cookie policy|privacy policy|terms of (?:use|service)"
@@ -59,20 +67,47 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return let(words, counted)
 
 
-def failing(line: Column) -> Column:
+def blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def carried(line: Column, following: Column, before: Column) -> Column:
+    """Whether the next line carries a line on; null for a line that is not there."""
+    wrapped = F.length(line) + 1 + F.length(F.regexp_extract(following, FIRST_WORD, 0)) > F.greatest(F.length(following), F.length(before))
+    return F.coalesce(~blank(following) & (following.rlike(CARRIED_ON) | wrapped), F.lit(False))
+
+
+def sentence_ends(lines: Column) -> Column:
+    """For each line whether a sentence ends in it or in the lines that carry it on."""
+    def flags(a: Column) -> Column:
+        kinds = F.transform(a, lambda x, i: F.when(x.rlike(SENTENCE_END), "E").when(
+            ~blank(x) & carried(x, F.get(a, i + 1), F.get(a, i - 1)), "C").otherwise("S"))
+        runs = F.split(F.array_join(kinds, ""), "(?<=[ES])")
+        return F.flatten(F.transform(runs, lambda k: F.array_repeat(k.endswith("E"), F.length(k))))
+
+    return let(lines, flags)
+
+
+def failing(line: Column, ended: Column) -> Column:
     """Whether a line fails the punctuation, navigation or boilerplate rule."""
     n_words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     marks = F.length(line) - F.length(F.regexp_replace(line, MARK, ""))
-    return (~line.rlike(SENTENCE_END) | (marks > MARKS_PER_WORD * n_words)
-            | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
+    unquoted = F.when(line.rlike("[«‹]"), F.regexp_replace(line, QUOTED, "")).otherwise(line)
+    items = F.length(unquoted) - F.length(F.regexp_replace(unquoted, NAVIGATION, ""))
+    stock = F.aggregate(F.filter(F.split(line, SENTENCE_BREAK), lambda x: x.rlike(BOILERPLATE)), F.lit(0), lambda n, x: n + F.length(x))
+    most = lambda n: 100 * n >= LEAST_COVER_PERCENT * F.length(line)
+    return (~ended | (marks > MARKS_PER_WORD * n_words)
+            | F.when(line.rlike(NAVIGATION), most(items)).otherwise(False) | F.when(line.rlike(BOILERPLATE), most(stock)).otherwise(False))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """Every document as a struct ``doc``, its measures, and ``clean_text``: the lines that passed."""
     text = F.col("_text")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    every = F.split(text, "\n")
+    lines = F.filter(every, lambda x: ~blank(x))
+    gone = F.zip_with(every, sentence_ends(every), lambda x, ended: ~blank(x) & failing(x, ended))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    base = docs.select(F.struct(*docs.columns).alias("doc"), text_of().alias("_text")).withColumns({"_words": words_of(text), "_lines": lines})
+    base = docs.select(F.struct(*docs.columns).alias("doc"), text_of().alias("_text")).withColumns({"_words": words_of(text), "_lines": lines, "_gone": gone})
     out = base.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": total(F.col("_words")).cast("long"),
@@ -80,15 +115,14 @@ def measured(docs: DataFrame) -> DataFrame:
         .otherwise(0).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeat_words(F.col("_words")).cast("long"),
-        "_lost": total(F.filter("_lines", failing)),
+        "_lost": total(F.filter(every, lambda x, i: F.get("_gone", i))),
         "_all": total(F.col("_lines")),
-        "clean_text": F.array_join(F.filter(
-            F.split(text, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & failing(x))), "\n"),
+        "clean_text": F.array_join(F.filter(every, lambda x, i: ~F.get("_gone", i)), "\n"),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("_lost") <= MAX_LOST_PERCENT * F.col("_all"))).drop(
-        "_text", "_words", "_lines", "_lost", "_all")
+        "_text", "_words", "_lines", "_gone", "_lost", "_all")
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -1,5 +1,6 @@
 """Every operator against its plain version, on hard rows and on the smallest tables; empty tables; reruns."""
 
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -172,6 +173,23 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kept == [(1, mixed.replace("All rights reserved.\n", ""), "a", len(mixed) - len("All rights reserved.\n"))]
 
 
+def test_quality_keeps_wrapped_and_one_line_prose(spark):
+    rng = plain.random.Random(3)
+    prose = " ".join(plain.prose(rng, 400).replace("\n", " ").replace(".", ",", 7).split(" "))
+    wrapped = ["\n".join(textwrap.wrap(prose, width)) for width in (40, 72, 100)]
+    other = plain.prose(rng, 300).replace("\n", " ")
+    single = [f"{prose} {x} {other}" for x in (
+        "See the privacy policy.", "It was licensed under the old law.", "Er rief »ja«, »nein«, »doch« und ging.", "Il dit « oui », « non », « si ».")]
+    short = ["Er rief »ja«, »nein«, »doch« und ging."]
+    docs = [(i, t) for i, t in enumerate(wrapped + single + [prose + "\n" + short[0]])]
+    out = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == dict(docs)
+    junk = ["Products and services", "Home | About | News | Contact | Help", "© 2020 Firm. All rights reserved.", "Our privacy policy has changed."]
+    mixed = junk[0] + "\n\n" + wrapped[1] + "\n\n" + "\n".join(junk[1:])
+    out = quality.clean(spark.createDataFrame([(1, mixed)], "doc_id long, text string")).first().text
+    assert out.strip() == wrapped[1]
+
+
 def test_line_dedup(case):
     docs, rows = case
     rows = sorted((r[:2] for r in rows), key=lambda r: (r[0] is None, r[0]))
