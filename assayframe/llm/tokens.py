@@ -38,18 +38,23 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: others follow from 256 on
         others = [b for b in range(256) if b not in printable]
         self.byte_names = {b: 256 + i for i, b in enumerate(others)}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.point = {t: self._one(t) for t in (b".", b",")}
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, missing: set[bytes]) -> None:
-        """Add words to ``known``. Case of ASCII letters does not matter, and a full stop or comma after
+        """Add words to ``known``. Case of ASCII letters does not matter, but in words with a special token in any case, which
+        the tokenizer looks for before it lower-cases: these are encoded as they are. A full stop or comma after
         ASCII letters and digits is encoded by itself, so such words share one entry's work."""
         known, point, rest = self.known, self.point, []
         stems = {}
         for word in missing:
             low = word.lower()
+            if any(t in low for t in self.special):
+                stems[word] = word, b""
+                continue
             stems[word] = (low[:-1], low[-1:]) if low[-1:] in point and low[:-1].isalnum() else (low, b"")
         for stem in {s for s, _ in stems.values()}:
             if stem in known:

@@ -394,6 +394,16 @@ def test_word_encoder_agrees_with_the_tokenizer(table_rows):
         assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_special_tokens_in_other_cases(spark):
+    encoder = tokens.encoder(tokens.vocabulary_path())
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|endoftext|>Y <|STARTOFTEXT|>.", "<|endoftext|> <|ENDOFTEXT|> <|endoftext|>", "HEY <|END|> Écu,"]
+    for text in [*texts, *reversed(texts)]:
+        ids = np.frombuffer(encoder.encode(text.encode(), 1), encoder.dtype).tolist()
+        assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    rows = list(enumerate(texts))
+    assert got(token_files.token_files(spark.createDataFrame(rows, "doc_id long, text string"))) == Counter(plain.token_files(rows))
+
+
 def test_pipeline_stages(spark, folder, hard):
     docs = common.documents(spark, folder)
     columns, names = docs.columns, [n for n, _ in corpus_pipeline.STAGES]
