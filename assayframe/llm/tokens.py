@@ -49,10 +49,11 @@ class WordEncoder:
         the tokenizer looks for before it lower-cases: these are encoded as they are. A full stop or comma after
         ASCII letters and digits is encoded by itself, so such words share one entry's work."""
         known, point, rest = self.known, self.point, []
-        stems = {}
+        stems, every = {}, b" ".join(missing).lower()
+        special = [t for t in self.special if t in every]
         for word in missing:
             low = word.lower()
-            if any(t in low for t in self.special):
+            if special and any(t in low for t in special):
                 stems[word] = word, b""
                 continue
             stems[word] = (low[:-1], low[-1:]) if low[-1:] in point and low[:-1].isalnum() else (low, b"")
