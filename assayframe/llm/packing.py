@@ -36,14 +36,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                texts = piece.column("text").cast(pa.binary()).to_pylist()
-                ids = encoder.encode_all(texts, end_id)
-                counts = [len(i) // encoder.dtype.itemsize for i in ids]
+            for row, ids, counts in encoder.encoded(batch.column("text"), end_id):
+                piece = batch.slice(row, len(counts))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("row"), piece.column("doc_id"), piece.column("source"),
-                     pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                     pa.array(counts, pa.int64()), tokens.binary_rows(ids, counts)],
                     names=["row", "doc_id", "source", "n_tokens", "ids"])
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"),

@@ -85,12 +85,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, length:
                 sink = fs.open_output_stream(f"{own}.ids")
                 out = SequenceFile(sink, encoder.dtype, length)
             ids_of.append(batch.column("doc_id"))
-            for at in range(0, batch.num_rows, 64):
-                for data in encoder.encode_all(batch.column("text").slice(at, 64).cast(pa.binary()).to_pylist(), end_id):
-                    ids = np.frombuffer(data, encoder.dtype)
-                    out.add(ids)
-                    counts.append(len(ids))
-                    total += len(ids)
+            for _, ids, sizes in encoder.encoded(batch.column("text"), end_id):
+                out.add(ids)
+                counts += sizes.tolist()
+                total += len(ids)
         if out is None:
             return
         out.close()

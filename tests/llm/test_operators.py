@@ -1,6 +1,8 @@
 """Every operator against its plain version, on hard rows and on the smallest tables; empty tables; reruns."""
 
+import random
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,6 +164,25 @@ def test_quality(case):
     assert not out.where("kept and base_failed").count()
 
 
+def test_cleaning_is_linear_in_lines_and_judges_once(spark):
+    """A document of 20,000 lines; the plan judges a text in one place, and no filter repeats it."""
+    rng = random.Random(4)
+    lines = [" ".join("".join(rng.choices("aeioulmnrst", k=5)) for _ in range(12)) + "." for _ in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines), 5)], "doc_id long, text string, n_chars long")
+    plan = quality.clean(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1 and "Filter" not in plan
+    start = time.time()
+    row = quality.clean(docs).first()
+    assert time.time() - start < 60
+    assert row["text"].count("\n") == 19_999 and row["n_chars"] == len(row["text"])
+
+
+def test_cleaning_keeps_what_the_judge_keeps(case):
+    docs, _ = case
+    kept = Counter(r[0] for r in quality.judge(docs).where("kept").collect())
+    assert Counter(r[0] for r in quality.clean(docs).select("doc_id").collect()) == kept
+
+
 def test_quality_keeps_prose_and_drops_junk(spark):
     rng = plain.random.Random(1)
     clean = [plain.prose(rng, n) for n in (60, 200, 2000)]
@@ -394,6 +415,25 @@ def test_word_encoder_agrees_with_the_tokenizer(table_rows):
         assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_encoder_on_random_characters():
+    """Contractions, composed and combining letters, letters whose lower case is longer, other scripts, long words, marks."""
+    encoder, rng = tokens.encoder(tokens.vocabulary_path()), random.Random(5)
+    letters = "abcXYZ éÉçßİıŉǅΣςσ'’.,;!?-_()[]#$5٣½\u00a0\u3000 \u0338\u0301\u0302<=>你好한ǄȺ×÷\n\t\x1c\x00\x7f"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 24))) for _ in range(3000)]
+    texts += ["don't 'rest l'eau. ('s a.'s ΑΣ.b ΑΣ it's 5's 5'5 5.5,3", "a" * 20 + "." + "é" * 30 + "B" * 60, "x " * 700_000 + "End."]
+    made = encoder.encode_all([x.encode() for x in texts], 1)
+    for text, ids in zip(texts, made):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1], text[:50]
+
+
+def test_encoder_forgets_without_changing_results(monkeypatch, table_rows):
+    encoder, texts = tokens.PieceEncoder(tokens.vocabulary_path()), [(r[1] or "").encode() for r in table_rows]
+    whole = encoder.encode_all(texts, 1)
+    monkeypatch.setattr(tokens, "KEEP_PIECES", 50)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 700)
+    assert tokens.PieceEncoder(tokens.vocabulary_path()).encode_all(texts, 1) == whole
+
+
 def test_special_tokens_in_other_cases(spark):
     encoder = tokens.encoder(tokens.vocabulary_path())
     texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|endoftext|>Y <|STARTOFTEXT|>.", "<|endoftext|> <|ENDOFTEXT|> <|endoftext|>", "HEY <|END|> Écu,"]
