@@ -100,29 +100,37 @@ def failing(line: Column, ended: Column) -> Column:
             | F.when(line.rlike(NAVIGATION), most(items)).otherwise(False) | F.when(line.rlike(BOILERPLATE), most(stock)).otherwise(False))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Every document as a struct ``doc``, its measures, and ``clean_text``: the lines that passed."""
-    text = F.col("_text")
-    every = F.split(text, "\n")
-    lines = F.filter(every, lambda x: ~blank(x))
-    gone = F.zip_with(every, sentence_ends(every), lambda x, ended: ~blank(x) & failing(x, ended))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    base = docs.select(F.struct(*docs.columns).alias("doc"), text_of().alias("_text")).withColumns({"_words": words_of(text), "_lines": lines, "_gone": gone})
-    out = base.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": total(F.col("_words")).cast("long"),
-        "n_symbols": F.when(text.rlike(SYMBOL), F.length(text) - F.length(F.regexp_replace(text, SYMBOL, "")))
-        .otherwise(0).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")).cast("long"),
-        "_lost": total(F.filter(every, lambda x, i: F.get("_gone", i))),
-        "_all": total(F.col("_lines")),
-        "clean_text": F.array_join(F.filter(every, lambda x, i: ~F.get("_gone", i)), "\n"),
-    })
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (100 * F.col("_lost") <= MAX_LOST_PERCENT * F.col("_all"))).drop(
-        "_text", "_words", "_lines", "_gone", "_lost", "_all")
+def judged_lines(text: Column) -> Column:
+    """Every line as a struct: ``line, worded`` (it has a word) and ``gone`` (it fails a rule)."""
+    return let(F.split(text, "\n"), lambda lines: F.zip_with(lines, sentence_ends(lines), lambda x, ended: F.struct(
+        x.alias("line"), (~blank(x)).alias("worded"), (~blank(x) & failing(x, ended)).alias("gone"))))
+
+
+def total(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x["line"]))
+
+
+def measures(text: Column) -> Column:
+    """All that is measured of a text, as one struct: each text is split and judged once, whatever is read from it."""
+    def of_words(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias(
+            "word_chars"), repeat_words(w).cast("long").alias("n_repeat_words"))
+
+    def of_lines(a: Column) -> Column:
+        worded = F.filter(a, lambda x: x["worded"])
+        return F.struct((F.size(worded) - F.size(F.array_distinct(F.transform(worded, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
+                        total(F.filter(a, lambda x: x["gone"])).alias("lost"), total(worded).alias("all"),
+                        F.array_join(F.transform(F.filter(a, lambda x: ~x["gone"]), lambda x: x["line"]), "\n").alias("clean_text"))
+
+    def verdict(w: Column, lines: Column) -> Column:
+        failed = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEAT_PERCENT * w["n_words"])
+        symbols = F.when(text.rlike(SYMBOL), F.length(text) - F.length(F.regexp_replace(text, SYMBOL, ""))).otherwise(0).cast("long")
+        return F.struct(
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), symbols.alias("n_symbols"),
+            lines["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
+            (~failed & (100 * lines["lost"] <= MAX_LOST_PERCENT * lines["all"])).alias("kept"), lines["clean_text"].alias("clean_text"))
+
+    return let(let(words_of(text), of_words), lambda w: let(let(judged_lines(text), of_lines), lambda lines: verdict(w, lines)))
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -130,11 +138,15 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: its measures, whether it fails the base rules, and whether it is kept."""
-    return measured(docs).select("doc.doc_id", *MEASURES)
+    return docs.select("doc_id", F.inline(F.array(measures(text_of())))).select("doc_id", *MEASURES)
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents without their failing lines, in the columns of ``docs``."""
-    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    kept = measured(docs).where("kept")
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns])
+    """The kept documents without their failing lines, in the columns of ``docs``.
+
+    A document is judged in one expression that yields its clean row or none: a filter after it would be pushed below and
+    judge the text again.
+    """
+    changed = {"text": lambda m: m["clean_text"], "n_chars": lambda m: F.length(m["clean_text"]).cast("long")}
+    row = lambda m: F.struct(*[changed[c](m).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.inline(let(measures(text_of()), lambda m: F.when(m["kept"], F.array(row(m))).otherwise(F.array()))))
