@@ -328,6 +328,58 @@ FROM (SELECT {key}, unnest(list_transform(range(1, len(ch) - 2), lambda i: conca
 GROUP BY 1, 2"""
 
 
+ENTRY_VIEWS: dict[str, str] = {
+    "weight_of": "SELECT smiles AS key, arg_min(molecular_weight, mol_id) AS w FROM mol GROUP BY 1",
+    "vector_of": f"""
+SELECT smiles AS key, arg_min(fp, mol_id) AS v FROM mol JOIN descr USING (mol_id) GROUP BY 1
+UNION ALL SELECT '{Q.KNOWN_ADDITIVE}', arg_min(fp, mol_id) FROM mol JOIN descr USING (mol_id)""",
+    "set_conditions": """
+SELECT sample_id, 'temperature' AS feature, temperature AS value FROM lab
+UNION ALL SELECT sample_id, 'concentration', additive_concentration FROM lab
+UNION ALL SELECT sample_id, 'concentration_mask', 1.0 FROM lab WHERE additive_concentration IS NOT NULL
+UNION ALL SELECT sample_id, 'additive_mask', 1.0 FROM lab WHERE trim(additive_smiles) <> ''""",
+}
+
+
+def _entries(body: str) -> str:
+    return with_views(f"""SELECT sample_id, feature, {r6('value')} AS value FROM (
+SELECT * FROM set_conditions
+{body}) WHERE value <> 0""", ENTRY_VIEWS)
+
+
+def _expert_lingo() -> str:
+    tail = "length(regexp_extract(surfactant_smiles, '^(C+)', 1))"
+    grams = " ".join(f"""
+UNION ALL SELECT sample_id, concat('lingo_{role}_', CAST(bucket AS VARCHAR)), n FROM ({_grams('lab', 'sample_id', column)})"""
+                     for role, column in (("all", "surfactant_smiles"), ("additive", "additive_smiles")))
+    return _entries(f"""UNION ALL SELECT sample_id, 'tail_c_number', {tail} FROM lab
+UNION ALL SELECT sample_id, concat('type_', {subject_class()}), 1.0 FROM lab
+UNION ALL SELECT sample_id, 'molecular_weight', w FROM lab JOIN weight_of ON key = surfactant_smiles
+UNION ALL SELECT sample_id, 'molecular_weight_mask', 1.0 FROM lab JOIN weight_of ON key = surfactant_smiles{grams}""")
+
+
+def _descr_chen() -> str:
+    """Rows without a vector of the subject have no entries at all, as the inner join drops them."""
+    having = "lab JOIN vector_of a ON a.key = surfactant_smiles"
+    return with_views(f"""SELECT sample_id, feature, {r6('value')} AS value FROM (
+SELECT c.* FROM set_conditions c JOIN {having} USING (sample_id)
+UNION ALL SELECT sample_id, concat('descr_all_', CAST(i AS VARCHAR)), v[i + 1] FROM {having}, range(64) t(i)
+UNION ALL SELECT sample_id, concat('descr_additive_', CAST(i AS VARCHAR)), b.v[i + 1] FROM {having} JOIN vector_of b ON b.key = additive_smiles, range(64) t(i)
+UNION ALL SELECT sample_id, 'descr_additive_mask', 1.0 FROM {having} JOIN vector_of b ON b.key = additive_smiles
+UNION ALL SELECT sample_id, concat('chen_all_', CAST(i AS VARCHAR)), v[i + 1] FROM {having}, range(19) t(i)) WHERE value <> 0""", ENTRY_VIEWS)
+
+
+def _train_test_modes() -> str:
+    rows = """
+SELECT 'split' AS mode, split AS side, k.pcmc, (SELECT avg(x.pcmc) FROM known x JOIN cut y USING (sample_id) WHERE y.split = 'train') AS p
+FROM known k JOIN cut USING (sample_id)
+UNION ALL SELECT 'two', side, pcmc, (SELECT avg(pcmc) FROM known) FROM pool
+UNION ALL SELECT 'saved', 'test', pcmc, (SELECT avg(pcmc) FROM known) FROM lab_ok"""
+    return with_views(f"""SELECT mode, side, count(*) AS n, {r6('avg(abs(pcmc - p))')} AS mae, {r6('avg((pcmc - p) ** 2)')} AS mse,
+  {r6('sqrt(avg((pcmc - p) ** 2))')} AS rmse, {r6('1 - avg((pcmc - p) ** 2) / var_pop(pcmc)')} AS r2 FROM ({rows}) GROUP BY 1, 2""",
+                      {"cut": _ranked("known", "0.2", "floor")})
+
+
 def build() -> dict[str, str]:
     cls = subject_class()
     grid = " UNION ALL ".join(
@@ -496,6 +548,9 @@ FROM events e LEFT JOIN (
         {"unknown": "SELECT * FROM merged WHERE pcmc IS NULL", **knn_views("known", "unknown")})
     out["external_validation_knn"] = with_views(f"SELECT side, {METRIC_COLUMNS} FROM scored GROUP BY 1", knn_views("known", "pool"))
     out["experiment_table"] = _experiment()
+    out["features_expert_lingo"] = _expert_lingo()
+    out["features_descr_chen"] = _descr_chen()
+    out["train_test_modes"] = _train_test_modes()
     swept = {"swept": f"SELECT p.*, CAST(v.step AS INT) AS step, v.temperature FROM profiles p, {values('v', Q.PROFILE_TEMPERATURES)}"}
     out["profile_knn"] = with_views(
         f"SELECT {COND}, step, {r6('predicted_pcmc')} AS predicted_pcmc FROM scored", {**swept, **knn_views("known", "swept")})

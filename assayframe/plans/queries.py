@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
 from assayframe.operators import (
-    clean, combine, evaluate, metrics as M, models, neighbors, pca, predlog, profile, selection, splits, validate,
+    clean, combine, evaluate, features as FT, fitted, metrics as M, models, neighbors, pca, predlog, profile, selection, splits, validate,
 )
-from assayframe.session import materialize, spread
+from assayframe.session import materialize, shared_folder, spread
 from assayframe.sources import catalog, conform, standins as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,6 +550,35 @@ def descriptor_set(spark, folder):
     return E.expand_vector(rows.select("sample_id", F.transform(F.slice("fp", 1, 19), N.r6).alias("fp")), "fp", 19, "descr")
 
 
+KNOWN_ADDITIVE = "[Na+].[Cl-]"
+
+
+def molecule_tables(spark, folder):
+    """Weight and vector of each molecule text, of the lowest molecule number that has them; one additive has a vector too."""
+    mols = V.mol(spark, folder).select(F.col("smiles").alias("key"), "mol_id", F.col("molecular_weight").alias("value"))
+    vectors = mols.select("key", "mol_id").join(V.descr(spark, folder).withColumnRenamed("fp", "value"), "mol_id")
+    first = lambda df: df.join(df.groupBy("key").agg(F.min("mol_id").alias("mol_id")), ["key", "mol_id"])
+    of_additive = vectors.groupBy(F.lit(KNOWN_ADDITIVE).alias("key")).agg(F.min("mol_id").alias("mol_id")).join(
+        vectors.select("mol_id", "value"), "mol_id")
+    return {"weights": first(mols).select("key", "value"), "vectors": first(vectors).select("key", "value").unionByName(of_additive.select("key", "value"))}
+
+
+def feature_entries(spark, folder, names):
+    tables = molecule_tables(spark, folder)
+    featured = FT.with_features(V.lab(spark, folder), names, tables)
+    return rounded(FT.entries(featured, names, ["sample_id"], tables), "value")
+
+
+@query
+def features_expert_lingo(spark, folder):
+    return feature_entries(spark, folder, ["expert", "lingo"])
+
+
+@query
+def features_descr_chen(spark, folder):
+    return feature_entries(spark, folder, ["descr", "chen"])
+
+
 IMPUTED = [S.TEMPERATURE, S.CONCENTRATION, S.TARGET]
 
 
@@ -651,6 +681,32 @@ def external_validation_rf(spark, folder):
     return evaluate.side_metrics(train, pool, "rf")
 
 
+@query
+def train_test_modes(spark, folder):
+    """The same table split, two tables, and a model that was saved by a training alone and is loaded by a test alone."""
+    everything = merged_annotated(spark, folder).select("sample_id", *S.CANONICAL)
+    lab = materialize(lab_samples(spark, folder).select("sample_id", *S.CANONICAL))
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    evaluate.train_test("mean", everything, path=path)
+    modes = {"split": evaluate.train_test("mean", everything, everything), "two": evaluate.train_test("mean", everything, lab),
+             "saved": evaluate.train_test("mean", test=lab, path=path)}
+    parts = [df.select(F.lit(name).alias("mode"), "side", "n", *METRICS) for name, df in modes.items()]
+    return rounded(combine.union_sources(parts), *METRICS)
+
+
+RF_SETS = ([], ["expert"], ["chen"])
+RF_SMALL = {"numTrees": 5, "maxDepth": 8}
+
+
+@query
+def rf_feature_sets(spark, folder):
+    """Errors of a small forest on the conditions alone and with named feature sets."""
+    train, pool = validation_pool(spark, folder)
+    tables = {k: materialize(t) for k, t in molecule_tables(spark, folder).items()}
+    rows = [evaluate.experiment_row(train, pool, "rf", RF_SMALL, features=f, train_set="everything", test_set="lab", tables=tables) for f in RF_SETS]
+    return rounded(combine.union_sources(rows), *CV_METRICS)
+
+
 @query
 def profile_knn(spark, folder):
     swept = profile.grid(lab_profiles(spark, folder), PROFILE_TEMPERATURES)

@@ -14,7 +14,7 @@ from assayframe.plans.queries import QUERIES  # noqa: E402
 
 CHECKS = oracles.build()
 ROWS_ONLY = {"cv_rf", "predict_rf", "predict_gbt", "predict_embedding_head", "predict_missing", "external_validation_rf",
-             "pca_scores", "pca_loadings", "pca_variance", "top_loadings"}
+             "rf_feature_sets", "pca_scores", "pca_loadings", "pca_variance", "top_loadings"}
 
 
 @pytest.fixture(scope="module")
