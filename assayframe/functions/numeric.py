@@ -80,9 +80,12 @@ def gated_vector(vector: Column, temperature: Column, other: Column, concentrati
     )
 
 
-def fixed6(c: Column) -> Column:
-    """A double as text with six decimals, the same on every engine; used inside row keys."""
-    return c.cast("decimal(18,6)").cast("string")
+def key_text(c: Column) -> Column:
+    """A double as text inside a row key, another one for each value: six decimals, the same on every engine, where they say it
+    all; otherwise the shortest text that names the value stands behind them."""
+    six = c.try_cast("decimal(18,6)")
+    rest = F.when(six.isNull() | (six.cast("double") != c), F.concat(F.lit("~"), c.cast("string"))).otherwise("")
+    return F.when(c.isNotNull(), F.concat(F.coalesce(six.cast("string"), F.lit("")), rest))
 
 
 def r6(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayframe import schemas as S
 from assayframe.functions import text as X
+from assayframe.operators.skew import skew_join
 
 REPLICATE_KEYS = [S.SUBJECT, "counterion", S.ADDITIVE, S.CONCENTRATION, S.TEMPERATURE]
 
@@ -79,30 +80,37 @@ def leakage_report(test: DataFrame, train: DataFrame, key: str = S.SUBJECT, trai
     return counts.join(known, counts[key].eqNullSafe(known["_known"]), "left_semi")
 
 
-def attach(samples: DataFrame, features: DataFrame, on: str | list[str]) -> DataFrame:
-    """Feature columns by key; samples without a feature row disappear."""
-    return samples.join(features, on, "inner")
+def attach(samples: DataFrame, features: DataFrame, on: str | list[str], salt_by: Sequence[str] | None = None) -> DataFrame:
+    """Feature columns by key; samples without a feature row disappear. One key may hold most samples."""
+    return skew_join(samples, features, [on] if isinstance(on, str) else list(on), "inner", _row_id(samples, salt_by))
+
+
+def _row_id(samples: DataFrame, salt_by: Sequence[str] | None) -> list[str] | None:
+    """Columns that tell rows of one key apart: those given, the row id where there is one, or all."""
+    return list(salt_by) if salt_by else ["sample_id"] if "sample_id" in samples.columns else None
 
 
 def attach_two_roles(samples: DataFrame, features: DataFrame, main_key: str, other_key: str,
-                     feature_key: str, vector: str) -> DataFrame:
-    """The same feature table for two keys: required for the main one, optional for the other."""
+                     feature_key: str, vector: str, salt_by: Sequence[str] | None = None) -> DataFrame:
+    """The same feature table for two keys: required for the main one, optional for the other.
+
+    The other key is often null or one of few values: its rows are dealt over many tasks, and a null key is joined with nothing.
+    """
     main = features.select(F.col(feature_key).alias(main_key), F.col(vector).alias(f"{vector}_all"))
     other = features.select(F.col(feature_key).alias(other_key), F.col(vector).alias(f"{vector}_additive"))
-    return samples.join(main, main_key, "inner").join(other, other_key, "left")
+    by = _row_id(samples, salt_by)
+    return skew_join(skew_join(samples, main, [main_key], "inner", by), other, [other_key], "left", by)
 
 
-def features_by_distinct(df: DataFrame, key: str, features: dict[str, F.Column]) -> DataFrame:
+def features_by_distinct(df: DataFrame, key: str, features: dict[str, F.Column], salt_by: Sequence[str] | None = None) -> DataFrame:
     """Evaluate features once per distinct key, then join them back."""
     table = df.select(key).distinct().withColumns(features)
-    return df.join(table, key, "inner")
+    return skew_join(df, table, [key], "inner", _row_id(df, salt_by))
 
 
 def observed_points(grid: DataFrame, measured: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Measured rows for each requested key; a null key part matches only null."""
-    left, right = grid.alias("g"), measured.alias("m")
-    same = reduce(lambda a, b: a & b, [F.col(f"g.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
-    return left.join(right, same, "inner").select(
-        *[F.col(f"g.{c}") for c in grid.columns],
-        *[F.col(f"m.{c}").alias(f"observed_{c}") for c in measured.columns if c not in keys],
-    )
+    """Measured rows for each requested key; a null key part matches only null. Measured rows of a hot key are spread, its few
+    requests repeated."""
+    seen = measured.select(*keys, *[F.col(c).alias(f"observed_{c}") for c in measured.columns if c not in keys])
+    return skew_join(seen, grid, list(keys), "inner", null_safe=True).select(
+        *grid.columns, *[c for c in seen.columns if c not in keys])

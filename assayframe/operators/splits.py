@@ -8,11 +8,15 @@ has at most 16 ** HEX_DIGITS rows per group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayframe import schemas as S
+from assayframe.session import store
 
 HEX_DIGITS = 4
 
@@ -53,51 +57,74 @@ def kfold(df: DataFrame, key: str, k: int = 5, *, seed: int = S.SEED) -> DataFra
     return shuffled_rank(df, key, seed=seed).withColumn("fold", (F.col("rank") % k).cast("int")).drop("rank", "n_total")
 
 
-def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
-    """One row (fraction, value): linear-interpolated quantiles, exact without a global sort.
+#: Bits of a value's order code that one pass of the selection settles.
+DIGIT_BITS = 16
+#: Values that are fetched at the end; more are cut down by another pass.
+LAST_VALUES = 1 << 16
+CODE = "code long, n long"
+
+
+def order_codes(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles; -0.0 counts as 0.0, and NaN is above all."""
+    bits = (np.asarray(values, np.float64) + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def code_value(code: int) -> float:
+    bits = np.int64(code)
+    return float((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
+
+
+def _histogram(values: DataFrame, shift: int, kept: np.ndarray | None, kept_shift: int) -> DataFrame:
+    """Rows for each code without its last ``shift`` bits, of codes that begin with one of ``kept``. Each task adds up its own."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            new = order_codes(batch.column(0).to_numpy(zero_copy_only=False))
+            if kept is not None:
+                new = new[np.isin(new >> kept_shift, kept)]
+            found, n = np.unique(new >> shift, return_counts=True)
+            codes, where = np.unique(np.concatenate([codes, found]), return_inverse=True)
+            sums = np.bincount(where, np.concatenate([sums, n]).astype(np.float64), len(codes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], names=["code", "n"])
 
-    Three passes without a join: a bounded sketch brackets each wanted rank; an aggregate counts the
-    rows below each bracket; the rows inside the brackets, collapsed to distinct values, are ranked.
+    return values.mapInArrow(count, CODE).groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def at_ranks(df: DataFrame, column: str, ranks: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, float]]:
+    """The number of values of a column, and those at the 0-based ``ranks`` of that number, exact: a radix selection.
+
+    A pass counts the rows by the leading bits of their order codes and keeps the few beginnings that hold a wanted rank; the
+    next one looks at the next bits of rows with these beginnings only. At most ``2 ** DIGIT_BITS`` counts for each wanted rank
+    travel, whatever the values are; four passes settle all bits, and fewer do where few values are left.
     """
-    accuracy = 10000
-    margin = 5.0 / accuracy
-    low = [max(0.0, q - margin) for q in fractions]
-    high = [min(1.0, q + margin) for q in fractions]
-    n = len(fractions)
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    sketch = values.select(F.percentile_approx("v", [*low, *high], accuracy)).scalar()
-    brackets = F.array(*[
-        F.struct(F.lit(float(q)).alias("fraction"), F.get("_s", F.lit(i)).alias("lo"), F.get("_s", F.lit(n + i)).alias("hi"))
-        for i, q in enumerate(fractions)])
-    # One value more on either side, as the interpolation may need the neighbour of the bracket.
-    below, above = F.col("v") < F.col("lo"), F.col("v") > F.col("hi")
-    totals = (
-        values.withColumn("_s", sketch).select("v", F.inline(brackets)).groupBy("fraction").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(below).alias("below"), F.min("lo").alias("lo"),
-            F.coalesce(F.max(F.when(below, F.col("v"))), F.min("lo")).alias("from"),
-            F.coalesce(F.min(F.when(above, F.col("v"))), F.max("hi")).alias("to"))
-        .agg(F.collect_list(F.struct("fraction", "n", "below", "lo", "from", "to"))).scalar()
-    )
-    inside = (
-        values.withColumn("_t", totals).select("v", F.inline("_t")).where(F.col("v").between(F.col("from"), F.col("to")))
-        .groupBy("fraction", "n", "below", "lo", "v").agg(F.count(F.lit(1)).alias("c"))
-    )
-    bracket = Window.partitionBy("fraction")
-    early = F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).over(bracket)
-    ranked = (
-        inside.withColumn("last", F.col("below") - early + F.sum("c").over(bracket.orderBy("v")) - 1)
-        .withColumn("first", F.col("last") - F.col("c") + 1)
-    )
-    position = (F.col("n") - 1) * F.col("fraction")
+    values = store(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")))
+    kept, kept_shift, shift, total, wanted = None, 64, 64 - DIGIT_BITS, 0, {}
+    while True:
+        rows = _histogram(values, shift, kept, kept_shift).toPandas().sort_values("code")
+        codes, sums = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        if kept is None:
+            total = int(sums.sum())
+            wanted = {r: r for r in ranks(total)} if total else {}  # rank, and rank among the rows that are looked at
+        if not wanted:
+            return total, {}
+        ends = np.cumsum(sums)
+        held = {r: int(np.searchsorted(ends, at, "right")) for r, at in wanted.items()}
+        if shift == 0:
+            return total, {r: code_value(codes[i]) for r, i in held.items()}
+        places = sorted(set(held.values()))
+        before = dict(zip(places, np.cumsum([0, *sums[places][:-1]]).tolist()))  # rows of kept beginnings that come earlier
+        wanted = {r: before[i] + wanted[r] - int(ends[i] - sums[i]) for r, i in held.items()}
+        kept, kept_shift = codes[places], shift
+        shift = 0 if sums[places].sum() <= LAST_VALUES else shift - DIGIT_BITS
 
-    def at(rank: Column) -> Column:
-        hit = F.min(F.when(rank.between(F.col("first"), F.col("last")), F.col("v")))
-        return F.coalesce(hit, F.raise_error(F.lit("quantile rank left its bracket")).cast("double"))
 
-    floor, ceil = F.floor(position), F.ceil(position)
-    return ranked.groupBy("fraction").agg(
-        at(floor).alias("_a"), at(ceil).alias("_b"), F.max(position - floor).alias("_t"),
-    ).select("fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("value"))
+def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
+    """One row (fraction, value): linear-interpolated quantiles, exact without a sort; see :func:`at_ranks`."""
+    ends = lambda n: {q: (math.floor((n - 1) * q), math.ceil((n - 1) * q)) for q in fractions}
+    n, found = at_ranks(df, column, lambda n: {r for pair in ends(n).values() for r in pair})
+    rows = [(float(q), found[a] + (found[b] - found[a]) * ((n - 1) * q - a)) for q, (a, b) in ends(n).items()] if n else []
+    return df.sparkSession.createDataFrame(rows, "fraction double, value double")
 
 
 def quantile_edges(df: DataFrame, column: str = S.TARGET, bins: int = 4, digits: int = 9) -> DataFrame:

@@ -424,8 +424,8 @@ UNION ALL SELECT 'target_not_null', count(*) FILTER (pcmc IS NULL) FROM meas""",
         "leakage_report": """SELECT surfactant_smiles, count(*) AS n_rows FROM lab
 WHERE surfactant_smiles IN (SELECT surfactant_smiles FROM meas) GROUP BY 1""",
         "attach_descriptors_inner": f"SELECT sample_id, mol_id, {r6('fp[1]')} AS fp_first, {r6('fp[64]')} AS fp_last, {_vector_sum('fp')} AS fp_sum FROM described",
-        "attach_descriptors_two_role": f"""SELECT sample_id, mol_id, additive_mol_id, {r6('fp_all[1]')} AS fp_all_0,
-  {r6('fp_additive[1]')} AS fp_additive_0, fp_additive IS NULL AS additive_absent FROM roles""",
+        "attach_descriptors_two_role": "SELECT sample_id, mol_id, additive_mol_id, fp_additive IS NULL AS additive_absent, " + ", ".join(
+            f"{r6(f'{c}[{i + 1}]')} AS {c}_{i}" for c in ("fp_all", "fp_additive") for i in range(Q.FP_WIDTH)) + " FROM roles",
         "features_by_distinct_key": f"""SELECT sample_id, surfactant_smiles, CAST(length(regexp_extract(surfactant_smiles, '^(C+)', 1)) AS INT) AS tail_c_number,
   CAST({carbons()} AS INT) AS carbons, {cls} AS surfactant_class FROM meas""",
         "profile_grid": f"SELECT p.*, CAST(v.step AS INT) AS step, v.temperature FROM profiles p, {values('v', Q.PROFILE_TEMPERATURES)}",

@@ -40,8 +40,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 def sample_key() -> F.Column:
     """A text key of a merged row, from its four conditions."""
     return F.concat_ws(
-        "|", S.SUBJECT, N.fixed6(F.col(S.TEMPERATURE)), F.coalesce(S.ADDITIVE, F.lit("-")),
-        F.coalesce(N.fixed6(F.col(S.CONCENTRATION)), F.lit("-")))
+        "|", S.SUBJECT, N.key_text(F.col(S.TEMPERATURE)), F.coalesce(S.ADDITIVE, F.lit("-")),
+        F.coalesce(N.key_text(F.col(S.CONCENTRATION)), F.lit("-")))
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,11 +210,10 @@ def two_roles(spark, folder):
 
 @query
 def attach_descriptors_two_role(spark, folder):
-    return two_roles(spark, folder).select(
-        "sample_id", "mol_id", "additive_mol_id",
-        N.r6(F.get("fp_all", F.lit(0))).alias("fp_all_0"),
-        N.r6(F.get("fp_additive", F.lit(0))).alias("fp_additive_0"),
-        F.col("fp_additive").isNull().alias("additive_absent"))
+    out = two_roles(spark, folder).select(
+        "sample_id", "mol_id", "additive_mol_id", F.col("fp_additive").isNull().alias("additive_absent"),
+        *[F.transform(c, N.r6).alias(c) for c in ("fp_all", "fp_additive")])
+    return E.expand_vector(E.expand_vector(out, "fp_all", FP_WIDTH, "fp_all"), "fp_additive", FP_WIDTH, "fp_additive")
 
 
 @query

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayframe.functions import numeric as N
 from assayframe.operators import metrics as M, selection, splits
 
 
@@ -40,6 +41,44 @@ def test_quantiles_are_exact(spark, values):
     assert got == pytest.approx({q: np.quantile(values, q) for q in (0.25, 0.5, 0.75)})
 
 
+@pytest.mark.parametrize("last", [1, 40, 1 << 16])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_selection_at_any_rank(spark, monkeypatch, last, seed):
+    """Tiny and huge numbers of both signs, both zeros, infinities, and many ties; every pass and the early end."""
+    monkeypatch.setattr(splits, "LAST_VALUES", last)
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([
+        rng.normal(size=200) * 10.0 ** rng.integers(-300, 300, 200), [0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf, 1.7e308], np.full(300, 0.1),
+        np.nextafter(0.1, 1) * np.ones(50), rng.integers(-5, 5, 400).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 3, "y double").repartition(5)
+    ranks = sorted({0, len(values) - 1, *rng.integers(0, len(values), 6).tolist()})
+    n, found = splits.at_ranks(df, "y", lambda n: ranks)
+    assert n == len(values) and found == {r: np.sort(values)[r] for r in ranks}
+
+
+def test_selection_of_nothing(spark):
+    empty = spark.createDataFrame([(None,), (None,)], "y double")
+    assert splits.at_ranks(empty, "y", lambda n: [0]) == (0, {})
+    assert splits.exact_quantiles(empty, "y", [0.5]).collect() == []
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),)], "y double")
+    n, found = splits.at_ranks(nan, "y", lambda n: range(n))
+    assert (found[0], found[1]) == (1.0, np.inf) and np.isnan(found[2])
+
+
+def test_order_codes_keep_the_order_and_name_the_value():
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [np.inf, -np.inf, 0.0, 1e-320]]))
+    codes = splits.order_codes(values)
+    assert (np.diff(codes) > 0).all() and [splits.code_value(c) for c in codes] == values.tolist()
+
+
+def test_row_keys_differ_wherever_values_do(spark):
+    values = [1e-7, 2e-7, 0.0, 0.01, 0.010000000000000002, 1e12, 1e12 + 1, 1e300, 25.0, 37.483921, None, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    keys = [r[0] for r in df.select(N.key_text(F.col("v"))).collect()]
+    assert len(set(keys)) == len(values) and keys[8] == "25.000000" and keys[9] == "37.483921" and keys[10] is None
+
+
 def test_bins_are_right_closed_and_drop_duplicate_edges(spark):
     values = [1.0] * 6 + [2.0, 3.0, 4.0, 5.0]
     df = spark.createDataFrame([(v,) for v in values], "pcmc double")
