@@ -1,8 +1,13 @@
 """Secret scans with an incremental ledger of blobs.
 
-Every version of a text is a blob, named by its content. A ledger lists the (blob, rule version) pairs that
-were scanned; a run scans the pairs that are not in it, and joins the findings back to all documents (paths)
-that hold the blob. The text of a blob moves and is scanned once, however many documents repeat it.
+Every version of a text is a blob, named by its content. A ledger keeps the (blob, rule version) pairs that
+were scanned, and what was found in them. A run scans the pairs that are not in it, appends both under the run's own name, and
+the report joins the findings of the current rule versions, of whatever run, back to all documents (paths) that hold the blob. The text
+of a blob moves and is scanned once, however many documents repeat it. A run that is repeated writes its part of the ledger anew,
+findings first: pairs without findings are scanned again, but findings are never lost.
+
+The query takes the documents as a history of two pushes (by source) into an empty ledger: the second run goes over the whole table
+and scans what the first has not.
 
 Edge cases: a null text is the empty blob. Equal texts share one scan and get the same findings, repeated rows
 included. An empty table gives empty findings and an empty report. Other columns are ignored.
@@ -10,12 +15,13 @@ included. An empty table gives empty findings and an empty report. Other columns
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayframe.llm.common import text_of
-from assayframe.session import store
+from assayframe.session import shared_folder, store
 
 
 @dataclass(frozen=True)
@@ -42,31 +48,58 @@ BASE = (
 )
 #: Further kinds of this method.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"\bxox[baprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"\bAIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("login", r"://[^\s/:@]{1,64}:[^\s/@]{3,64}@"),
+    Rule("login", r"://[^\s/:@]++:[^\s/@]{3,}+@"),
 )
 RULES = BASE + MORE
-FINDING = "blob string, rule string, kind string, kind_order int, start long, end long"
+FINDING = "blob string, rule string, start long, end long"
+PAIR = "blob string, rule string"
+
+
+class Ledger:
+    """Scanned pairs and findings in two Parquet tables under a shared folder, one folder for each run."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        # An empty table of the same columns stands for a ledger without runs.
+        empty = self.spark.createDataFrame([], f"{schema}, run string")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return empty
+        return self.spark.read.schema(empty.schema).parquet(f"{self.folder}/{name}")
+
+    def pairs(self) -> DataFrame:
+        return self._table("pairs", PAIR)
+
+    def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """What any run found by these rule versions, each place once, with the kind and its place among the rules."""
+        order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.struct(F.lit(r.kind).alias("kind"), F.lit(i).alias("i")))])
+        known = self._table("findings", FINDING).where(F.col("rule").isin([r.name for r in rules])).drop("run").distinct()
+        return known.withColumn("_r", order[F.col("rule")]).select("*", "_r.kind", F.col("_r.i").alias("kind_order")).drop("_r")
+
+    def append(self, run: str, findings: DataFrame, pairs: DataFrame) -> None:
+        findings.write.mode("overwrite").parquet(f"{self.folder}/findings/run={run}")
+        pairs.write.mode("overwrite").parquet(f"{self.folder}/pairs/run={run}")
 
 
 def blob_of() -> Column:
     return F.sha2(text_of(), 256)
 
 
-def unseen(docs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
-    """Blobs with the rules still to be applied: ``blob, text, todo``. A ledger is read by name only."""
+def unseen(docs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame) -> DataFrame:
+    """Blobs with the rules still to be applied: ``blob, text, todo``. The ledger is compared by names only."""
     names = F.array(*[F.lit(r.name) for r in rules])
     texts = docs.select(blob_of().alias("blob"), text_of().alias("text"))
-    if ledger is None:
-        return texts.distinct().withColumn("todo", names)
-    pairs = texts.select("blob").distinct().select("blob", F.explode(names).alias("rule"))
-    todo = pairs.join(ledger.select("blob", "rule").distinct(), ["blob", "rule"], "left_anti").groupBy("blob").agg(
-        F.collect_set("rule").alias("todo"))
-    return texts.join(todo, "blob").distinct()
+    done = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("_done"))
+    return texts.join(done, "blob", "left").select(
+        "blob", "text", F.when(F.col("_done").isNull(), names).otherwise(F.array_except(names, "_done")).alias("todo")).where(
+        F.size("todo") > 0).distinct()
 
 
 def hits(blobs: DataFrame, rule: Rule) -> DataFrame:
@@ -80,11 +113,11 @@ def hits(blobs: DataFrame, rule: Rule) -> DataFrame:
     so_far = Window.partitionBy("blob").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("m.skip") + F.coalesce(F.col("m.size"), F.lit(0))).over(so_far)
     return found.select("blob", "m", end.alias("end")).where(F.col("m.held") >= rule.least).select(
-        "blob", F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), (F.col("end") - F.col("m.size")).alias("start"), "end")
+        "blob", F.lit(rule.name).alias("rule"), (F.col("end") - F.col("m.size")).alias("start"), "end")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scan what ``ledger`` does not list: the findings, and the pairs to append to the ledger.
+def scan(docs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scan what the pairs of ``ledger`` do not list: the findings, and the pairs scanned.
 
     Only blobs that match some rule are written down for the exact scan; places are summed by window on
     the matches of a blob, so nothing larger than one document meets in a task.
@@ -95,11 +128,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
         some = some | F.col("text").rlike(rule.pattern)
     marked = store(blobs.select("blob", "todo", F.when(some, F.col("text")).alias("text")))
     suspects, parts = marked.where("text IS NOT NULL"), None
-    for order, rule in enumerate(rules):
-        part = hits(suspects, rule).withColumn("kind_order", F.lit(order))
+    for rule in rules:
+        part = hits(suspects, rule)
         parts = part if parts is None else parts.unionByName(part)
-    findings = parts.select("blob", "rule", "kind", "kind_order", F.col("start").cast("long"), F.col("end").cast("long"))
-    return store(findings), marked.select("blob", F.explode("todo").alias("rule"))
+    return parts.select("blob", "rule", F.col("start").cast("long"), F.col("end").cast("long")), marked.select("blob", F.explode("todo").alias("rule"))
+
+
+def run(docs: DataFrame, ledger: Ledger, name: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger has not seen, append to it, and report on all of ``docs``."""
+    findings, pairs = scan(docs, rules, ledger.pairs())
+    ledger.append(name, findings, pairs)
+    return report(docs, ledger.findings(rules))
 
 
 def summaries(findings: DataFrame) -> DataFrame:
@@ -122,7 +161,11 @@ def report(docs: DataFrame, findings: DataFrame) -> DataFrame:
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """Scan all blobs with all rules against an empty ledger and report per document."""
-    findings, _ = scan(docs)
-    return report(docs, findings)
+def find_secrets(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Two pushes into an empty ledger, the second one of all documents, and the report after it."""
+    spark = docs.sparkSession
+    ledger = Ledger(spark, folder or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    push = F.pmod(F.xxhash64("source"), F.lit(2)) == 0 if "source" in docs.columns else F.lit(False)
+    findings, pairs = scan(docs.where(push), RULES, ledger.pairs())
+    ledger.append("push-1", findings, pairs)
+    return run(docs, ledger, "push-2")

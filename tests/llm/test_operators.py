@@ -386,17 +386,40 @@ def test_secret_spans_of_further_kinds(spark):
     assert text[int(start):int(end)] == "-----BEGIN RSA PRIVATE KEY-----"
 
 
-def test_secret_ledger_scans_only_unseen_pairs(spark):
-    docs = spark.createDataFrame([(1, "password=abcdef12"), (2, "nothing"), (3, "password=abcdef12")], "doc_id long, text string")
-    findings, scanned = secrets.scan(docs)
-    assert findings.count() == 1 and scanned.count() == 2 * len(secrets.RULES)
-    later = docs.unionByName(spark.createDataFrame([(4, "token: zyxwvut1")], docs.schema))
-    new, pairs = secrets.scan(later, ledger=scanned)
-    assert pairs.select("blob").distinct().count() == 1 and new.count() == 1
-    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, 2) if r.kind == "assign" else r for r in secrets.RULES)
-    again, pairs = secrets.scan(docs, newer, scanned)
-    assert {r.rule for r in pairs.collect()} == {"assign@2"} and again.count() == 1
-    assert [r.n_assign for r in secrets.report(later, findings.unionByName(new)).orderBy("doc_id").collect()] == [1, 0, 1, 1]
+def test_secret_ledger_keeps_what_was_found(spark, tmp_path):
+    """A second run over the same table scans nothing and reports the same; a new rule version scans only its own pairs."""
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, "password=abcdef12"), (2, "nothing"), (3, "password=abcdef12"), (4, "AKIA" + "A1" * 10)], schema)
+    ledger = secrets.Ledger(spark, str(tmp_path))
+    first = sorted(map(tuple, secrets.run(docs, ledger, "1").collect()))
+    assert [r[1:4] for r in first] == [(1, 0, 0), (0, 0, 0), (1, 0, 0), (0, 1, 0)]
+    assert ledger.pairs().count() == 3 * len(secrets.RULES)
+    findings, pairs = secrets.scan(docs, secrets.RULES, ledger.pairs())
+    assert findings.count() == pairs.count() == 0
+    assert sorted(map(tuple, secrets.run(docs, ledger, "2").collect())) == first
+    later = docs.unionByName(spark.createDataFrame([(5, "token: zyxwvut1")], schema))
+    _, pairs = secrets.scan(later, secrets.RULES, ledger.pairs())
+    assert pairs.select("blob").distinct().count() == 1
+    assert sorted(map(tuple, secrets.run(later, ledger, "3").collect()))[:4] == first
+    newer = tuple(secrets.Rule(r.kind, "passw[a-z]*", 0, 1, 2) if r.kind == "assign" else r for r in secrets.RULES)
+    _, pairs = secrets.scan(later, newer, ledger.pairs())
+    assert {r.rule for r in pairs.collect()} == {"assign@2"} and pairs.count() == 4
+    changed = {r.doc_id: r.spans for r in secrets.run(later, ledger, "4", newer).collect()}
+    assert changed == {1: "assign:0:8", 2: "", 3: "assign:0:8", 4: "access:0:24", 5: ""}
+    # the old rules still have theirs, and a run that is repeated changes nothing
+    assert sorted(map(tuple, secrets.run(docs, ledger, "3").collect())) == first
+
+
+def test_secret_report_does_not_depend_on_the_pushes(spark, case, tmp_path):
+    docs, _ = case
+    at_once = got(secrets.run(docs, secrets.Ledger(spark, str(tmp_path)), "all"))
+    assert got(secrets.find_secrets(docs)) == at_once
+
+
+def test_secrets_of_any_length(spark):
+    texts = ["https://" + "u" * 90 + ":" + "p" * 80 + "@host", "x://a:" + "b" * 70_000 + "@c", "-----BEGIN " + "VERY " * 20 + "PRIVATE KEY-----", "://a:pw@h ://ab:pwd@h"]
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {0: f"login:5:{len(texts[0]) - 4}", 1: f"login:1:{len(texts[1]) - 1}", 2: f"pem:0:{len(texts[2])}", 3: "login:10:19"}
 
 
 @pytest.mark.parametrize("operator", [
