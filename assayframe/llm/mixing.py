@@ -102,8 +102,9 @@ def slots(spark, plan: pd.DataFrame, seed: int = SEED, shard_slots: int = SHARD_
             yield pd.DataFrame({"rank": rank, "shard": shards[at], "n": drawn[at, rank]})
 
     draws = store(spark.range(n_shards).mapInPandas(draw, "rank long, shard long, n long"))
-    runs = running_start(draws, ["rank"], F.shiftleft(F.col("shard"), 24), "shard", "n", "first").select(
-        "rank", "shard", "n", "first")
+    # The shards of a source are spread over all buckets of the running sum, in their order.
+    in_order = F.shiftleft(F.col("shard"), 63 - max(n_shards, 1).bit_length())
+    runs = running_start(draws, ["rank"], in_order, "shard", "n", "first").select("rank", "shard", "n", "first")
     wanted_rows = spark.createDataFrame(plan[["rank", "slots"]], "rank long, slots long")
     missed = draws.groupBy("rank").agg(F.sum("n").alias("drawn")).join(wanted_rows, "rank", "right").select(
         "rank", F.coalesce("drawn", F.lit(0)).alias("drawn"), "slots").where("slots > drawn")
@@ -129,7 +130,7 @@ def slots(spark, plan: pd.DataFrame, seed: int = SEED, shard_slots: int = SHARD_
 def mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """From stored ``row, doc_id, source, size``: the documents with their targets, and their pieces.
 
-    A piece is the part of a document inside one block: ``row, block, words, times`` (``times``: how often it is taken).
+    A piece is the part of a document inside one block: ``row, block, words, times`` (``times``: how often it is taken, also 0).
     """
     sources = store(targets(rows))
     plan = plan_of(sources.collect(), block)
@@ -143,7 +144,8 @@ def mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> tuple[Da
         F.explode(F.sequence(block_of(F.col("start")), block_of(end - 1))).alias("block"))
     pieces = pieces.select("row", "rank", "block", "start", (
         F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)).alias("words"))
-    return placed, pieces.join(taken, ["rank", "block"]).select("row", "block", "start", "words", "times")
+    return placed, pieces.join(taken, ["rank", "block"], "left").select(
+        "row", "block", "start", "words", F.coalesce("times", F.lit(0)).alias("times"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -162,14 +164,15 @@ def mixture(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
         F.col("_row").alias("row"), "_doc.doc_id", "_doc.source",
         F.regexp_count(F.coalesce("_doc.text", F.lit("")), F.lit(WORD)).cast("long").alias("size")))
     _, pieces = mix(rows, block)
+    # All blocks of a document are in a row, so a word finds its block by place.
     times = pieces.groupBy("row").agg(
-        F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("times"), F.first("start").alias("start"),
-        F.max("times").alias("most"))
+        F.transform(F.array_sort(F.collect_list(F.struct("block", "times"))), lambda b: b["times"]).alias("times"),
+        F.first("start").alias("start"), F.max("times").alias("most")).where("most > 0")
     words = F.regexp_extract_all(F.col("_doc.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     copies = kept.join(times, kept["_row"] == times["row"]).select(
         "_doc", "times", "start", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1)).alias("copy"))
-    text = F.array_join(F.filter("words", lambda w, i: F.coalesce(F.try_element_at(
-        "times", F.floor((F.col("start") + i) / block).cast("long")), F.lit(0)) > F.col("copy")), "")
+    place = lambda i: (F.floor((F.col("start") + i) / block) - F.floor(F.col("start") / block)).cast("int")
+    text = F.array_join(F.filter("words", lambda w, i: F.get("times", place(i)) > F.col("copy")), "")
     out = copies.select("_doc", text.alias("text")).where("text <> ''")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"_doc.`{c}`") for c in docs.columns])

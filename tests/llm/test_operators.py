@@ -95,6 +95,24 @@ def test_mixture_has_the_words_taken(table):
     assert words == +Counter({r.doc_id: r.taken for r in mixing.mixed_documents(table).collect()})
 
 
+def test_draws_of_a_source_are_spread_over_buckets(spark, monkeypatch):
+    """The running sum over the draws of one source meets in many small windows, not in one."""
+    sizes = []
+    inner = mixing.running_start
+
+    def seen(df, groups, order, tie, value, into):
+        if groups == ["rank"] and tie == "shard":
+            bucket = mixing.F.shiftrightunsigned(order, 64 - common.BUCKET_BITS)
+            sizes.extend(r["count"] for r in df.groupBy("rank", bucket.alias("b")).count().collect())
+        return inner(df, groups, order, tie, value, into)
+
+    monkeypatch.setattr(mixing, "running_start", seen)
+    plan = mixing.pd.DataFrame({"rank": [0, 1], "size": [64_000, 6_400], "blocks": [1000, 100], "slots": [3000, 300]})
+    made = mixing.slots(spark, plan, shard_slots=4).groupBy("rank").count().collect()
+    assert {r["rank"]: r["count"] for r in made} == {0: 3000, 1: 300}
+    assert len(sizes) > 700 and max(sizes) <= 2
+
+
 def test_permutations_are_one_to_one():
     for n in (1, 2, 3, 100, 1025):
         size = np.full(n, n, np.int64)
@@ -417,7 +435,7 @@ def test_secret_report_does_not_depend_on_the_pushes(spark, case, tmp_path):
 
 
 def test_secrets_of_any_length(spark):
-    texts = ["https://" + "u" * 90 + ":" + "p" * 80 + "@host", "x://a:" + "b" * 70_000 + "@c", "-----BEGIN " + "VERY " * 20 + "PRIVATE KEY-----", "://a:pw@h ://ab:pwd@h"]
+    texts = ["https://" + "u" * 90 + ":" + "p" * 80 + "@host", "x://a:" + "z" * 70_000 + "@c", "-----BEGIN " + "VERY " * 20 + "PRIVATE KEY-----", "://a:pw@h ://ab:pwd@h"]
     rows = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert rows == {0: f"login:5:{len(texts[0]) - 4}", 1: f"login:1:{len(texts[1]) - 1}", 2: f"pem:0:{len(texts[2])}", 3: "login:10:20"}
 
