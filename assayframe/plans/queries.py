@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
 from assayframe.operators import (
-    clean, combine, evaluate, features as FT, fitted, metrics as M, models, neighbors, pca, predlog, profile, selection, splits, validate,
+    clean, combine, evaluate, features as FT, fitted, metrics as M, models, neighbors, pca, predlog, profile, robust, selection, splits, validate,
 )
 from assayframe.session import materialize, shared_folder, spread
 from assayframe.sources import catalog, conform, standins as V
@@ -627,15 +628,33 @@ def predict_gbt(spark, folder):
     return models.score(fitted(spark, folder, "gbt"), models.condition_features(lab_samples(spark, folder)), ["sample_id"])
 
 
-@query
-def predict_embedding_head(spark, folder):
+def head_rows(samples, folder, scalers):
+    """Samples with the gated vector of both roles: an additive without a vector is gated off."""
+    spark = samples.sparkSession
+    other = F.when(F.col(S.ADDITIVE).isNotNull(), F.col("mol_id") % 97)
+    both = combine.attach_two_roles(samples.withColumn("additive_mol_id", other), V.descr(spark, folder), "mol_id", "additive_mol_id", "mol_id", "fp")
+    return models.gated_features(both, scalers, "fp_all", "fp_additive", FP_WIDTH)
+
+
+def fitted_head(spark, folder):
     train = clean.annotated(V.meas(spark, folder))
     scalers = materialize(M.fit_scalers(train))
-    vectors = V.descr(spark, folder)
-    model = models.linear_head().fit(
-        models.embedding_features(train, vectors, scalers).select("features", S.TARGET))
-    return model.transform(models.embedding_features(lab_samples(spark, folder), vectors, scalers)).select(
-        "sample_id", "predicted_pcmc")
+    rows = materialize(head_rows(train, folder, scalers))
+    return rows, robust.fit(rows, "features"), scalers
+
+
+@query
+def predict_embedding_head(spark, folder):
+    _, head, scalers = fitted_head(spark, folder)
+    return head_rows(lab_samples(spark, folder), folder, scalers).select("sample_id", head.predicted("features").alias("predicted_pcmc"))
+
+
+@query
+def embedding_head_optimum(spark, folder):
+    """The mean gradient of the loss at the fitted head, entry by entry: zero, up to what the ridge holds back."""
+    rows, head, _ = fitted_head(spark, folder)
+    flat = robust.gradient(rows, "features", head) + np.append(robust.RIDGE * head.weights, 0.0)
+    return spark.createDataFrame([(i, round(float(g), 6) + 0.0) for i, g in enumerate(flat)], "entry int, gradient double")
 
 
 @query
@@ -753,55 +772,78 @@ def ablation_table(spark, folder):
 # Principal components
 
 
-STANDARD = [S.TEMPERATURE, S.CONCENTRATION, "carbons", *[f"fp_{i}" for i in range(8)]]
+PCA_COLUMNS = [S.TEMPERATURE, S.CONCENTRATION, "carbons", *[f"fp_{i}" for i in range(FP_WIDTH)]]
 
 
-def feature_rows(spark, folder, width: int = FP_WIDTH):
+def feature_rows(spark, folder):
     """Described rows with one feature array: the two conditions, the carbon count, the descriptors."""
     return described(spark, folder).select(
         "sample_id", *S.CANONICAL, F.concat(
-            F.array(S.TEMPERATURE, S.CONCENTRATION, X.count_char(F.col(S.SUBJECT)).cast("double")),
-            F.slice("fp", 1, width)).alias("features"))
+            F.array(S.TEMPERATURE, S.CONCENTRATION, X.count_char(F.col(S.SUBJECT)).cast("double")), "fp").alias("features"))
 
 
 @query
 def standardize_features(spark, folder):
-    out = pca.standardize(feature_rows(spark, folder, 8).select("sample_id", "features"), "features")
-    return out.select("sample_id", *[N.r6(F.get("features", F.lit(i))).alias(c) for i, c in enumerate(STANDARD)])
+    out = pca.standardize(materialize(feature_rows(spark, folder).select("sample_id", "features")), "features")
+    return out.select("sample_id", *[N.r6(F.get("features", F.lit(i))).alias(c) for i, c in enumerate(PCA_COLUMNS)])
 
 
-PCA_COLUMNS = [S.TEMPERATURE, S.CONCENTRATION, "carbons", *[f"fp_{i}" for i in range(FP_WIDTH)]]
+PCA_KEEP = ["sample_id", S.TARGET, S.TEMPERATURE, S.CONCENTRATION]
 
 
-def fitted_pca(spark, folder):
+def fitted_pca(spark, folder, **options):
+    """Rows with a target, and the components fitted on them."""
     rows = materialize(spread(clean.annotated(feature_rows(spark, folder))))
-    columns = pca.usable_names(rows, "features", PCA_COLUMNS)
-    table, model = pca.fit(pca.standardize(rows, "features"), "features")
-    return table, model, columns
+    return rows, pca.fit(rows, "features", PCA_COLUMNS, **options)
+
+
+def checked_pca(spark, folder, **options):
+    rows, fitted_ = fitted_pca(spark, folder, **options)
+    out = pca.checks(pca.scores(rows, "features", fitted_, ["sample_id"]), fitted_)
+    return out.select("component", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "other", "variance_gap", "residual")])
 
 
 @query
 def pca_scores(spark, folder):
-    table, model, _ = fitted_pca(spark, folder)
-    return pca.scores(table, model, ["sample_id", S.TARGET, S.TEMPERATURE, S.CONCENTRATION])
+    rows, fitted_ = fitted_pca(spark, folder)
+    return pca.scores(rows, "features", fitted_, PCA_KEEP)
+
+
+@query
+def pca_checks(spark, folder):
+    return checked_pca(spark, folder)
+
+
+@query
+def pca_checks_excluded_unscaled(spark, folder):
+    """The two conditions left out, positions centred only."""
+    return checked_pca(spark, folder, exclude=[S.TEMPERATURE, S.CONCENTRATION], scale=False)
+
+
+@query
+def pca_total_variance(spark, folder):
+    """The whole variance of the centred features, and how many take part, with and without the conditions."""
+    rows = materialize(spread(clean.annotated(feature_rows(spark, folder))))
+    out = []
+    for name, exclude in (("all", []), ("descriptors", PCA_COLUMNS[:3])):
+        fitted_ = pca.fit(rows, "features", PCA_COLUMNS, 2, exclude=exclude, scale=False)
+        out.append((name, len(fitted_.names), round(fitted_.total, 5)))
+    return spark.createDataFrame(out, "features string, n_features int, variance double")
 
 
 @query
 def pca_loadings(spark, folder):
-    table, model, columns = fitted_pca(spark, folder)
-    return pca.loadings(table, model, columns)
+    return pca.loadings(*fitted_pca(spark, folder))
 
 
 @query
 def pca_variance(spark, folder):
-    table, model, _ = fitted_pca(spark, folder)
-    return pca.variance(table, model)
+    return pca.variance(*fitted_pca(spark, folder))
 
 
 @query
 def top_loadings(spark, folder):
-    table, model, columns = fitted_pca(spark, folder)
-    return pca.top_loadings(pca.loadings(table, model, columns))
+    return pca.top_loadings(pca.loadings(*fitted_pca(spark, folder)))
 
 
 # Prediction log
