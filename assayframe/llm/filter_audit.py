@@ -151,7 +151,7 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
-worded AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM docs),
+worded AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM docs),
 marked AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
 judged AS (
   SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
@@ -164,16 +164,16 @@ f AS (SELECT unnest(range(1, 6)) AS i),
 orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e
   WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
 played AS (
-  SELECT c.*, o, coalesce(list_position(list_transform(o, i -> fails[i]), true), 6) AS gone
+  SELECT c.*, o, coalesce(list_position(list_transform(o, lambda i: fails[i]), true), 6) AS gone
   FROM counts c, orders),
 steps AS (
   SELECT part, o, s.i AS step, o[s.i] AS filter,
     coalesce(sum(n) FILTER (gone > s.i), 0) AS kept, coalesce(sum(n) FILTER (gone = s.i), 0) AS removed,
     coalesce(sum(n) FILTER (gone < s.i AND fails[o[s.i]]), 0) AS redundant,
-    coalesce(sum(n) FILTER (fails[o[s.i]] AND len(list_filter(fails, x -> x)) = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (fails[o[s.i]] AND len(list_filter(fails, lambda x: x)) = 1), 0) AS unique_fails,
     coalesce(sum(good) FILTER (gone = s.i), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone = s.i), 0) AS toxic_lost
   FROM played, f s GROUP BY part, o, s.i)
-SELECT part, array_to_string(list_transform(o, i -> substr('ABCDE', i, 1)), '') AS filter_order, step::INT AS step,
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INT AS step,
   kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
   (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
