@@ -152,6 +152,56 @@ def test_every_license_of_a_line(spark):
         ["MIT"], ["MIT", "Apache-2.0"], ["CC-BY-NC-4.0", "Proprietary", "CC-BY-SA-4.0"]]
 
 
+def test_names_and_versions_decide(spark):
+    texts = ["GNU General Public License, version 4", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under the Apache License, Version 2.",
+             "Creative Commons Attribution 3.0 International Public License", "Licensed under the Apache License, Version 1.1.",
+             "Licensed under the Eclipse Public License, Version 2.0.", "Permision is herby granted, free of charge, to any person obtaining a copy",
+             "This is free and unencumbered software released into the public domain.", licenses.TEMPLATES["ISC"][0],
+             licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["BSD-2-Clause"][0] + "\n" + licenses.TEMPLATES["BSD-3-Clause"][0],
+             "GNU Lesser General Public License, version 3", "the license of the driver expired in may", "an apache of the public domain"]
+    assert licenses_of(spark, texts) == [
+        ["GPL (version unresolved)"], ["CC-BY-SA (version unresolved)"], ["CC-BY-ND-4.0"], ["Apache-2.0"], ["CC-BY (version unresolved)"],
+        ["Apache (version unresolved)"], ["EPL-2.0"], ["MIT"], ["Unlicense"], ["ISC"], ["BSD-2-Clause"], ["BSD-3-Clause", "BSD-3-Clause"], ["LGPL-3.0"], [], []]
+
+
+def changed_template(rng, template):
+    words = template.split()
+    for _ in range(rng.randint(0, int(0.3 * len(words)))):
+        at = rng.randrange(len(words))
+        words[at:at + 1] = rng.choice([[], ["blue"], [words[at], "blue"]])
+        words = words or ["blue"]
+    return " ".join(words)
+
+
+def test_license_blocks_lose_nothing():
+    """Every template with words dropped, added and replaced, inside prose: the blocks around cues give what the whole text gives,
+    and the aligned differences are those of the plain edit distance."""
+    rng, found = random.Random(5), 0
+    filler = ["alpha", "beta", "gamma", "license", "public", "version", "2.0", "software", "the", "of"]
+    for t in [t for t in licenses.ALL] * 2:
+        text = " ".join(rng.choices(filler, k=rng.randint(0, 90))) + " " + changed_template(rng, t.text) + " " + " ".join(rng.choices(filler, k=rng.randint(0, 90)))
+        words = licenses.wording(text)
+        in_blocks = sorted((begin + m[0], begin + m[1], m[2]) for begin, end in licenses.blocks(words) for m in licenses.matches(words[begin:end]))
+        assert in_blocks == sorted(m[:3] for m in licenses.matches(words)), text
+        found += len(in_blocks)
+        block = np.array([licenses.CODES.get(w, -1) for w in words])
+        differing, _ = licenses.ends(block, t.words)
+        row = [0] * (len(words) + 1)  # fewest edits of a template's beginning against a part that ends here
+        for i, w in enumerate(t.words, 1):
+            new = [i]
+            for j, x in enumerate(words, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != x)))
+            row = new
+        assert differing.tolist() == row
+    assert found > len(licenses.ALL)
+
+
+def test_license_ranks_by_what_compression_saves():
+    text = " ".join(licenses.wording("Licensed under CC BY-NC 4.0."))
+    ranks = sorted(licenses.ALL, key=lambda t: -licenses.saved(text, t.text))
+    assert ranks[0].license == "CC-BY-NC-4.0"
+
+
 @pytest.mark.parametrize("n", [0, 15, 45, 100, 190, 1000])
 def test_license_inside_real_prose(spark, table_rows, n):
     words = next(w for r in table_rows if len(w := plain.words(r[1])) > 2100 and "icense" not in r[1])
