@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -76,25 +75,30 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE_TOKENS, window: int = WINDOW_
     """One row per piece of a document: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``;
     with ``with_ids`` also the piece's ids as little-endian 32-bit bytes."""
     kind, wide = dict(rows.dtypes)["doc_id"], np.dtype(tokens.encoder(tokens.vocabulary_path()).dtype)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for doc_id, n, at, ids in zip(part["doc_id"], part["n_tokens"], part["at"], part["ids"]):
-                ids, start = np.frombuffer(ids, wide).astype("<u4"), 0
-                while start < n:
-                    number, offset = divmod(at + start, sequence)
-                    length = min(n - start, sequence - offset)
-                    piece = ids[start:start + length].tobytes()
-                    out.append((doc_id, start, length, zlib.crc32(piece), n, number, offset, *[piece] * with_ids))
-                    start += length
-            yield pd.DataFrame(out, columns=names)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at = (batch.column(c).to_numpy() for c in ("n_tokens", "at"))
+            pieces = (at + n - 1) // sequence - at // sequence + 1
+            row = np.repeat(np.arange(len(n)), pieces)
+            number = at[row] // sequence + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = np.maximum(at[row], number * sequence)
+            start, length = begin - at[row], np.minimum(at[row] + n[row], (number + 1) * sequence) - begin
+            ids = batch.column("ids").cast(pa.large_binary())
+            offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids)] // wide.itemsize
+            held = np.frombuffer(ids.buffers()[2], wide, count=ids.buffers()[2].size // wide.itemsize) if len(ids) else np.empty(0, wide)
+            first = offsets[row] + start
+            parts = (held[a:a + size].astype("<u4").tobytes() for a, size in zip(first.tolist(), length.tolist()))
+            kept = list(parts) if with_ids else parts
+            numbers = [start, length, [zlib.crc32(p) for p in kept], n[row], number, begin - number * sequence]
+            arrays = [batch.column("doc_id").take(pa.array(row)), *[pa.array(c, pa.int64()) for c in numbers]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.binary())] if with_ids else arrays, names=names)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     placed = rows.select("row", "doc_id", "n_tokens", "ids").join(
         layout(rows.drop("ids", "doc_id"), sequence, window).hint("merge"), "row")
     schema = f"doc_id {kind}, " + ", ".join(f"`{n}` long" for n in names[1:7]) + ", ids binary" * with_ids
-    return placed.select(F.col("doc_id"), "n_tokens", "at", "ids").mapInPandas(cut, schema)
+    return placed.select(F.col("doc_id"), "n_tokens", "at", "ids").mapInArrow(cut, schema)
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -17,9 +17,9 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of what a worker keeps: memory only, never results.
-KEEP_PIECES = 2_000_000
+KEEP_PIECES = 600_000
 #: Bytes of text cut at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Pieces encoded in one call.
 CALL_PIECES = 256
 #: Widths of the tables in words of eight bytes; longer pieces are encoded each time.
@@ -75,9 +75,9 @@ class PieceTable:
 
     def clear(self) -> None:
         self.n, self.n_ids = 0, 0
-        self.slots = np.full(1 << 16, -1, np.int64)
+        self.slots = np.full(1 << 16, -1, np.int32)
         self.keys = np.empty((1 << 14, self.lanes), np.uint64)
-        self.at, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.at, self.count = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
         self.ids = np.empty(1 << 16, self.dtype)
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
@@ -89,14 +89,15 @@ class PieceTable:
 
     def _room(self, more: int) -> None:
         if self.n + more > len(self.keys):
-            wide = 2 * (self.n + more)
-            self.keys = np.concatenate([self.keys[:self.n], np.empty((wide - self.n, self.lanes), np.uint64)])
+            wide = self.n + self.n // 2 + more
+            keys, self.keys = self.keys, np.empty((wide, self.lanes), np.uint64)
+            self.keys[:self.n] = keys[:self.n]
             self.at, self.count = np.resize(self.at, wide), np.resize(self.count, wide)
         if 2 * (self.n + more) > len(self.slots):
             size = len(self.slots)
             while 2 * (self.n + more) > size:
                 size *= 2
-            self.slots = np.full(size, -1, np.int64)
+            self.slots = np.full(size, -1, np.int32)
             self._place(self.keys[:self.n], np.arange(self.n))
 
     def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
@@ -206,7 +207,7 @@ class PieceEncoder:
             numbers, fresh = table.find(keys)
             if len(fresh):
                 table.learn(self._learned([low[a:a + n] for a, n in zip(at[fresh].tolist(), size[fresh].tolist())], letters[mine[fresh]].tolist()))
-            sources[mine], counts[mine] = table.at[numbers] + base, table.count[numbers]
+            sources[mine], counts[mine] = table.at[numbers].astype(np.int64) + base, table.count[numbers]
             flats.append(table.ids[:table.n_ids])
             base += table.n_ids
         long = np.flatnonzero(lengths > least)
