@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from itertools import product
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from assayframe import schemas as S
 from assayframe.operators import metrics as M, models, neighbors, splits
 from assayframe.session import materialize
 
+T = TypeVar("T")
+
 
 def expand_grid(grid: dict[str, Sequence]) -> list[dict]:
     """Cartesian product of the value lists; an empty grid is one empty candidate."""
@@ -93,28 +99,58 @@ def cv_knn(folded: DataFrame, key: str, ks: Sequence[int] = (5,), n_folds: int =
     return folds.join(chosen_k, "fold")
 
 
+#: Fits that run side by side.
+PARALLEL_FITS = 5
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], parallel: int = PARALLEL_FITS) -> list[T]:
+    """Run driver-side jobs at once, each in a thread with the caller's session and local properties; results in the jobs' order.
+
+    A small fit leaves most cores idle between its many short stages, so several share them. At the first error the
+    jobs that have not begun are dropped, and the error is raised.
+    """
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        made = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        try:
+            return [f.result() for f in made]
+        except BaseException:
+            for f in made:
+                f.cancel()
+            raise
+
+
 def cv_learner(featured: DataFrame, name: str, columns: Sequence[str], grid: dict[str, Sequence] | None = None,
-               key: str = "sample_id", n_folds: int = 5, target: str = S.TARGET) -> DataFrame:
-    """Nested cross-validation of a Spark learner. ``featured`` carries bin and fold. The loop is over
-    folds and candidates only; every fit and every score is a distributed job."""
+               key: str = "sample_id", n_folds: int = 5, target: str = S.TARGET, parallel: int = PARALLEL_FITS) -> DataFrame:
+    """Nested cross-validation of a Spark learner. ``featured`` carries bin and fold. With more than one candidate each fold
+    chooses its own by the error on its inner validation rows; then the fold's outer training rows are used whole.
+
+    Every fit and every score is a distributed job; the fits of all folds and candidates run side by side.
+    """
     spark = featured.sparkSession
     rows = materialize(featured.select(key, target, "bin", "fold", *columns))
     candidates = expand_grid(grid or {})
-    inner = materialize(splits.nested_split(rows, key, n_folds)) if len(candidates) > 1 else None
-    out = []
-    for fold in range(n_folds):
-        best = candidates[0]
-        if inner is not None:
+    chosen = {fold: 0 for fold in range(n_folds)}
+    if len(candidates) > 1:
+        inner = materialize(splits.nested_split(rows, key, n_folds))
+
+        def validate(fold: int, i: int) -> tuple[float, int]:
             here = inner.where(F.col("outer_fold") == fold)
-            errors = []
-            for i, candidate in enumerate(candidates):
-                model = models.fit(here.where(F.col("part") == "train"), name, columns, candidate)
-                scored = models.score(model, here.where(F.col("part") == "val"), [target])
-                errors.append((M.regression_metrics(scored, target).first()["mae"], i))
-            best = candidates[min(errors)[1]]
-        model = models.fit(rows.where(F.col("fold") != fold), name, columns, best)
+            model = models.fit(here.where(F.col("part") == "train"), name, columns, candidates[i])
+            scored = models.score(model, here.where(F.col("part") == "val"), [target])
+            return M.regression_metrics(scored, target).first()["mae"], i
+
+        pairs = [(fold, i) for fold in range(n_folds) for i in range(len(candidates))]
+        errors = side_by_side(spark, [partial(validate, *p) for p in pairs], parallel)
+        for fold in range(n_folds):
+            chosen[fold] = min(e for (f, _), e in zip(pairs, errors) if f == fold)[1]
+
+    def outer(fold: int) -> list[tuple]:
+        model = models.fit(rows.where(F.col("fold") != fold), name, columns, candidates[chosen[fold]])
         side = F.when(F.col("fold") == fold, "test").otherwise("train")
         scored = models.score(model, rows.withColumn("side", side), [target, "side"])
-        for r in M.regression_metrics(scored, target, by=["side"]).collect():
-            out.append((fold, r["side"], r["mae"], r["r2"]))
-    return _sides(spark.createDataFrame(out, "model_fold int, side string, mae double, r2 double"))
+        return [(fold, r["side"], r["mae"], r["r2"]) for r in M.regression_metrics(scored, target, by=["side"]).collect()]
+
+    out = [r for part in side_by_side(spark, [partial(outer, f) for f in range(n_folds)], parallel) for r in part]
+    long = spark.createDataFrame(out, "model_fold int, side string, mae double, r2 double")
+    picked = spark.createDataFrame([(f, i) for f, i in chosen.items()], "fold int, candidate int")
+    return _sides(long).join(picked, "fold")

@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 FP_WIDTH = 64
 KNN_GRID = (3, 5)
+RF_GRID = {"maxDepth": [8, 17], "numTrees": [20]}
 CONSTANT_GRID = (4.0, 4.5, 4.6, 5.0)
 DUMMY_VALUE = 4.5
 LINEAR_WEIGHTS = (0.05, 0.01, 0.5)
@@ -436,7 +437,7 @@ def cv_knn(spark, folder):
 @query
 def cv_rf(spark, folder):
     featured = models.condition_features(folded_merged(spark, folder))
-    return selection.cv_learner(featured, "rf", models.CONDITION_COLUMNS)
+    return selection.cv_learner(featured, "rf", models.CONDITION_COLUMNS, RF_GRID)
 
 
 # Functions and encoders

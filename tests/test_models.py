@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from assayframe import schemas as S
 from assayframe.functions import numeric as N
-from assayframe.operators import clean, metrics as M, models, pca, profile, robust
+from assayframe.operators import clean, metrics as M, models, pca, profile, robust, selection
 from assayframe.plans import queries as Q
 from assayframe.session import materialize
 from assayframe.sources import catalog
@@ -31,6 +31,23 @@ def test_learners_beat_or_match_the_mean_and_survive_saving(train, tmp_path, nam
     assert scored.select("predicted_pcmc").toPandas().equals(again.select("predicted_pcmc").toPandas())
 
 
+def test_nested_selection_of_a_learner_chooses_per_fold(spark, folder):
+    """Side by side or one after the other: the same folds, choices and errors; a hopeless candidate is never chosen."""
+    rows = models.condition_features(selection.assign_folds(clean.annotated(Q.merged(spark, folder)).limit(300), "sample_id"))
+    rows = materialize(rows.withColumn(S.TARGET, F.col("x_carbons") * 0.1))  # a depth of one cannot follow it
+    grid = {"maxDepth": [1, 6], "numTrees": [2]}
+    run = lambda parallel: sorted(map(tuple, selection.cv_learner(rows, "rf", models.CONDITION_COLUMNS, grid, parallel=parallel).collect()))
+    together = run(5)
+    assert len(together) == 5 and {r[-1] for r in together} == {1} and together == run(1)
+
+
+def test_jobs_side_by_side(spark):
+    done = selection.side_by_side(spark, [lambda i=i: spark.range(i).count() for i in range(7)], 3)
+    assert done == list(range(7))
+    with pytest.raises(ZeroDivisionError):
+        selection.side_by_side(spark, [lambda: 1 // 0, lambda: 2], 2)
+
+
 def test_unknown_model():
     with pytest.raises(ValueError, match="unknown model"):
         models.learner("nothing")
