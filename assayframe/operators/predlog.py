@@ -50,6 +50,12 @@ def valid_edit(feedback: str = "feedback", actual: str = "actual_pcmc") -> F.Col
     return domain & (F.col(actual).isNull() | F.col(actual).between(low, high))
 
 
+def latest_edits(edits: DataFrame, log_id: str = "id", edited_at: str = "edited_at") -> DataFrame:
+    """The latest valid edit of each row, by time and then by value."""
+    best = F.max(F.struct(edited_at, "feedback", "actual_pcmc"))
+    return edits.where(valid_edit()).groupBy(log_id).agg(best.alias("_e")).select(log_id, "_e.feedback", "_e.actual_pcmc", f"_e.{edited_at}")
+
+
 def merge_feedback(log: DataFrame, edits: DataFrame, log_id: str = "id", edited_at: str | None = None) -> DataFrame:
     """Feedback columns from the valid edits; every other column of the log stays as it is.
 

@@ -266,6 +266,31 @@ def _total_variance() -> str:
         for name, some in (("all", exprs), ("descriptors", exprs[3:]))))
 
 
+def _csv_round_trip() -> str:
+    null = "CAST(NULL AS VARCHAR)"
+    nothing = "NULL, NULL, NULL, NULL, NULL"
+    return with_views(f"""SELECT rejected, surfactant_smiles, temperature, additive_smiles, additive_concentration, {r6('pcmc')} AS pcmc, count(*) AS n_rows FROM (
+SELECT {null} AS rejected, surfactant_smiles, temperature, additive_smiles, additive_concentration, pcmc FROM lab
+WHERE mol_id % 3 = 0 OR (mol_id % 3 = 1 AND mol_id % 7 <> 0)
+UNION ALL SELECT {null}, surfactant_smiles, temperature, NULL, NULL, pcmc FROM lab WHERE mol_id % 3 = 2 AND mol_id % 7 <> 0 AND mol_id % 11 <> 0
+UNION ALL SELECT 'malformed', {nothing} FROM lab WHERE mol_id % 3 <> 0 AND mol_id % 7 = 0
+UNION ALL SELECT 'incomplete', {nothing} FROM lab WHERE mol_id % 3 = 2 AND mol_id % 7 <> 0 AND mol_id % 11 = 0)
+GROUP BY ALL""")
+
+
+def _load_violations() -> str:
+    checks = {"n_rows": "true", "subject_not_null": "surfactant_smiles IS NULL", "temperature_not_null": "temperature IS NULL",
+              "concentration_with_additive": "additive_smiles IS NOT NULL AND additive_concentration IS NULL", "target_not_null": "pcmc IS NULL"}
+    sources = {"expert": "expert", "everything": "everything", "lab": "lab",
+               "paper1": "(SELECT * FROM papers_1)", "paper4": "(SELECT * FROM papers_4)"}
+    extra = {"papers_1": VIEWS["papers"].split("UNION ALL")[0],
+             "papers_4": """SELECT String AS surfactant_smiles, T_C AS temperature, CAST(NULL AS VARCHAR) AS additive_smiles,
+  CAST(NULL AS DOUBLE) AS additive_concentration, 6.0 - log_cmc_um AS pcmc FROM paper4"""}
+    return with_views(" UNION ALL ".join(
+        f"SELECT '{source}' AS source, '{rule}' AS rule, count(*) FILTER ({bad}) AS n FROM {table}"
+        for source, table in sources.items() for rule, bad in checks.items()), extra)
+
+
 def _impute() -> str:
     outs = [r6(f"coalesce({c}, avg({c}) OVER ())") + f" AS {c}" for c in Q.IMPUTED]
     return f"SELECT sample_id, {', '.join(outs)} FROM meas"
@@ -567,6 +592,8 @@ FROM events e LEFT JOIN (
     out["pca_checks"] = out["pca_checks_excluded_unscaled"] = f"SELECT concat('PC', CAST(i AS VARCHAR)) AS component, {zeros} FROM range(1, 11) t(i)"
     out["embedding_head_optimum"] = f"SELECT CAST(i AS INT) AS entry, CAST(0.0 AS DOUBLE) AS gradient FROM range({2 * Q.FP_WIDTH + 5}) t(i)"
     out["pca_total_variance"] = _total_variance()
+    out["csv_round_trip"] = _csv_round_trip()
+    out["load_violations"] = _load_violations()
     swept = {"swept": f"SELECT p.*, CAST(v.step AS INT) AS step, v.temperature FROM profiles p, {values('v', Q.PROFILE_TEMPERATURES)}"}
     out["profile_knn"] = with_views(
         f"SELECT {COND}, step, {r6('predicted_pcmc')} AS predicted_pcmc FROM scored", {**swept, **knn_views("known", "swept")})

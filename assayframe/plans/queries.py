@@ -14,7 +14,7 @@ from assayframe.operators import (
     clean, combine, evaluate, features as FT, fitted, metrics as M, models, neighbors, pca, predlog, profile, robust, selection, splits, validate,
 )
 from assayframe.session import materialize, shared_folder, spread
-from assayframe.sources import catalog, conform, standins as V
+from assayframe.sources import catalog, conform, files, standins as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +105,38 @@ def canonical_projection(spark, folder):
     return rounded(conform.canonical(raw, {"smiles": S.SUBJECT}), S.TARGET)
 
 
+@query
+def csv_round_trip(spark, folder):
+    """Laboratory rows written as three CSV folders and loaded again: one as it is, one with its columns in another order and some
+    temperatures that are no numbers, one with records that end early or lack the subject. Good rows, and rejected ones by reason."""
+    rows = V.lab(spark, folder).select("mol_id", *S.CANONICAL)
+    base = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    kind, odd = F.col("mol_id") % 3, F.col("mol_id") % 7 == 0
+    files.write_table(rows.where(kind == 0).select(*S.CANONICAL), f"{base}/a", "csv")
+    turned = rows.where(kind == 1).withColumn(S.TEMPERATURE, F.when(odd, F.lit("warm")).otherwise(F.col(S.TEMPERATURE).cast("string")))
+    files.write_table(turned.select(*reversed(S.CANONICAL)), f"{base}/b", "csv")
+    head = f"{S.SUBJECT},{S.TEMPERATURE},{S.TARGET}"
+    text = lambda *c: F.concat_ws(",", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c])
+    ending = rows.where(kind == 2).withColumn(S.SUBJECT, F.when(F.col("mol_id") % 11 != 0, F.col(S.SUBJECT)))
+    lines = ending.select(F.when(odd, text(S.SUBJECT, S.TEMPERATURE)).otherwise(text(S.SUBJECT, S.TEMPERATURE, S.TARGET)).alias(head))
+    lines.write.option("header", True).option("quote", "\u0000").option("escapeQuotes", False).option("sep", "\u0001").csv(f"{base}/c")
+    good, rejected = files.good_and_rejected(files.scan_csv(spark, [f"{base}/a", f"{base}/b", f"{base}/c"]))
+    both = good.withColumn("rejected", F.lit(None).cast("string")).unionByName(
+        rejected.select("rejected"), allowMissingColumns=True)
+    return rounded(both, S.TARGET).groupBy("rejected", *S.CANONICAL).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def load_violations(spark, folder):
+    """Broken constraints of every source, counted while it is read."""
+    out = []
+    for name in sorted(catalog.SOURCES):
+        rows, seen = catalog.load_observed(spark, folder, name)
+        rows.write.format("noop").mode("overwrite").save()
+        out += [(name, rule, n) for rule, n in seen.get.items()]
+    return spark.createDataFrame(out, "source string, rule string, n long")
+
+
 # Cleaning
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from assayframe.operators import combine
+from assayframe.operators import combine, validate
 from assayframe.sources import conform, standins as V
 
 Source = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,17 @@ SOURCES: dict[str, Source] = {
 }
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def load(spark: SparkSession, folder: str, name: str, *, strict: bool = False) -> DataFrame:
+    """A source by name. With ``strict`` reading a row that breaks a constraint fails, in the same pass."""
     if name not in SOURCES:
         raise ValueError(f"unknown source {name!r}; known: {', '.join(sorted(SOURCES))}")
-    return SOURCES[name](spark, folder)
+    rows = SOURCES[name](spark, folder)
+    return validate.enforce(rows) if strict else rows
+
+
+def load_observed(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, Observation]:
+    """A source by name, and the counts of its broken constraints once it has been read."""
+    return validate.observed(load(spark, folder, name), annotated=True)
 
 
 def register(name: str, source: Source) -> None:

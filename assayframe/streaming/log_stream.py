@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from assayframe.operators import predlog
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -28,3 +30,26 @@ def append_log(events: DataFrame, to_log: Callable[[DataFrame], DataFrame], targ
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+EDIT_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("feedback", T.StringType()), T.StructField("actual_pcmc", T.DoubleType()),
+    T.StructField("edited_at", T.TimestampType()),
+])
+
+
+def append_edits(edits: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Feedback as a stream: each micro-batch leaves the latest valid edit of every row it edits, under its batch id.
+
+    The latest by edit time is the greatest of all batches, in whatever order they come, so a late edit never undoes a newer one, and a batch
+    that is repeated replaces its own part. What is kept grows with the edits, not with the log, and no state is held between batches.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        predlog.latest_edits(batch, edited_at="edited_at").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def edited_log(spark: SparkSession, log: DataFrame, target: str) -> DataFrame:
+    """The log with the latest edits of all batches so far."""
+    return predlog.merge_feedback(log, predlog.read(spark, target, EDIT_SCHEMA), edited_at="edited_at")

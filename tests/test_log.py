@@ -68,3 +68,26 @@ def test_latest_of_several_edits_counts_once(spark):
                                   "id string, feedback string, actual_pcmc double, at int")
     rows = [tuple(r) for r in predlog.merge_feedback(log, edits, edited_at="at").orderBy("id").collect()]
     assert rows == [("1", "Bad", 2.0), ("2", "", None)]
+
+
+def test_edits_as_a_stream_equal_the_batch(spark, tmp_path):
+    """Edits out of order, repeated, invalid, and a batch that is written again: the result of one batch over all edits."""
+    log = spark.createDataFrame([(str(i), "", None) for i in range(5)], "id string, feedback string, actual_pcmc double")
+    batches = [[("1", "Good", 9.0, "2024-01-05"), ("2", "Bad", 1.0, "2024-01-02"), ("3", "Awful", 2.0, "2024-01-09")],
+               [("1", "Bad", 2.0, "2024-01-03"), ("2", "Good", 3.0, "2024-01-08"), ("9", "Good", 1.0, "2024-01-01")],
+               [("1", "Bad", 2.0, "2024-01-05"), ("1", "Good", 9.0, "2024-01-05"), ("4", None, 11.0, "2024-01-02")]]
+    inbox, target, state = (str(tmp_path / n) for n in ("in", "edits", "state"))
+    frame = lambda rows: spark.createDataFrame(rows, "id string, feedback string, actual_pcmc double, day string").select(
+        "id", "feedback", "actual_pcmc", F.to_timestamp("day").alias("edited_at"))
+    assert log_stream.edited_log(spark, log, target).count() == 5  # before any edit
+    every = None
+    for rows in batches:
+        frame(rows).coalesce(1).write.mode("append").parquet(inbox)
+        every = frame(rows) if every is None else every.unionByName(frame(rows))
+        log_stream.append_edits(log_stream.read_events(spark, inbox, log_stream.EDIT_SCHEMA), target, state).awaitTermination(120)
+        streamed = sorted(map(tuple, log_stream.edited_log(spark, log, target).collect()))
+        assert streamed == sorted(map(tuple, predlog.merge_feedback(log, every, edited_at="edited_at").collect()))
+    assert streamed == [("0", "", None), ("1", "Good", 9.0), ("2", "Good", 3.0), ("3", "", None), ("4", "", None)]
+    shutil.rmtree(state)  # a stream that has lost its place reads all edits again
+    log_stream.append_edits(log_stream.read_events(spark, inbox, log_stream.EDIT_SCHEMA), target, state).awaitTermination(120)
+    assert sorted(map(tuple, log_stream.edited_log(spark, log, target).collect())) == streamed

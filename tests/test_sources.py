@@ -72,3 +72,42 @@ def test_enforce_names_the_broken_rule(spark):
     bad = spark.createDataFrame([("CCO", 20.0, "[Na+]", None, 1.0)], S.MEASUREMENT_SCHEMA)
     with pytest.raises(PySparkException, match="concentration_with_additive"):
         validate.enforce(bad).collect()
+
+
+def test_csv_records_are_good_or_rejected(spark, tmp_path):
+    """Malformed, short, long and incomplete records, columns in another order, further columns; nothing is lost."""
+    (tmp_path / "a.csv").write_text(HEADER + "CCO,20,,,1.5\nCCO,warm,,,1.0\nCC,21\n\"C,C\",22,[Na+],0.5,2.5,extra\n,23,,,1.0\n")
+    (tmp_path / "b.csv").write_text("pcmc,note,temperature,surfactant_smiles\n3.5,x,24,CCC\n,y,25,CCCC\n4.5,z,,CCCCC\n")
+    scanned = files.scan_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    good, rejected = files.good_and_rejected(scanned)
+    assert sorted(map(tuple, good.collect()), key=str) == [
+        ("CCC", 24.0, None, None, 3.5), ("CCCC", 25.0, None, None, None), ("CCO", 20.0, None, None, 1.5)]
+    found = sorted((r["rejected"], r["record"]) for r in rejected.collect())
+    assert [r for r, _ in found] == ["incomplete", "incomplete", "malformed", "malformed", "malformed"]
+    assert "CCO,warm,,,1.0" in [t for _, t in found] and "CC,21" in [t for _, t in found]
+    assert good.columns == S.MEASUREMENT_SCHEMA.fieldNames()
+
+
+def test_csv_scan_of_a_file_without_a_required_column(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("surfactant_smiles,pcmc\nCCO,1.0\n")
+    with pytest.raises(ValueError, match="temperature"):
+        files.scan_csv(spark, str(tmp_path / "a.csv"))
+
+
+def test_observed_load_counts_in_the_same_pass(spark):
+    rows = spark.createDataFrame([("CCO", 20.0, "[Na+]", None, 1.0), ("CC", 21.0, None, None, None)], S.MEASUREMENT_SCHEMA)
+    seen_rows, seen = validate.observed(rows, annotated=True)
+    assert seen_rows._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # no scan of its own
+    assert seen_rows.count() == 2
+    assert validate.broken(seen) == {"concentration_with_additive": 1, "target_not_null": 1}
+    with pytest.raises(ValueError, match=r"concentration_with_additive \(1 rows\)"):
+        validate.check(seen)
+    good_rows, good = validate.observed(rows.where("pcmc IS NULL"))
+    good_rows.collect()
+    validate.check(good)
+
+
+def test_strict_load_fails_where_a_constraint_is_broken(spark, folder):
+    assert catalog.load(spark, folder, "paper1", strict=True).count() > 0
+    with pytest.raises(PySparkException, match="concentration_with_additive"):
+        catalog.load(spark, folder, "lab", strict=True).collect()
