@@ -93,13 +93,14 @@ def blob_of() -> Column:
 
 
 def unseen(docs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame) -> DataFrame:
-    """Blobs with the rules still to be applied: ``blob, text, todo``. The ledger is compared by names only."""
+    """Blobs with the rules still to be applied: ``blob, text, todo``. The ledger is compared by names only, and copies of a text
+    become one blob in their own task before anything is shuffled."""
     names = F.array(*[F.lit(r.name) for r in rules])
-    texts = docs.select(blob_of().alias("blob"), text_of().alias("text"))
+    texts = docs.select(blob_of().alias("blob"), text_of().alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
     done = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("_done"))
     return texts.join(done, "blob", "left").select(
         "blob", "text", F.when(F.col("_done").isNull(), names).otherwise(F.array_except(names, "_done")).alias("todo")).where(
-        F.size("todo") > 0).distinct()
+        F.size("todo") > 0)
 
 
 def hits(blobs: DataFrame, rule: Rule) -> DataFrame:
