@@ -6,10 +6,11 @@ are powers of two:
 
 1. every row is counted into its narrowest cell, with the bounding box of the cell; wider cells are
    added up from narrower ones;
-2. a query looks up its own cell at every width. Each cell that holds ``k`` rows gives an upper
-   bound on the k-th distance (the farthest corner of the box), and so does the whole group; the least wins;
-3. the query visits the cells that the ball of that radius touches, at the narrowest width not
-   below half the radius: at most five cells per dimension, clipped to the extent of the group.
+2. a query looks up its own cell at every width, or outside the extent of its group the cell of the nearest point inside. Each cell
+   that holds ``k`` rows gives an upper bound on the k-th distance (the farthest corner of the box), and so does the whole
+   group; the least wins;
+3. the query visits the cells that the ball of that radius touches inside the extent, at the narrowest width not
+   below half of what is left of the radius there: at most five cells per dimension, for a query far outside too.
    An equi-join fetches their rows, and the exact distances are ranked.
 
 No pair outside the visited cells is formed, and the ball always
@@ -19,7 +20,7 @@ holds the k nearest rows, so the result equals brute force. Ties go to the lower
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,6 +31,8 @@ from assayframe.session import materialize, spread
 
 #: Share of the rows left out at either end when the bulk of a dimension is measured.
 TAIL = 0.05
+#: Squared distance between two categories, as after a one-hot encoding.
+OTHER_CATEGORY = 2.0
 #: Widths between the bulk of the data and its whole extent.
 OUTER_LEVELS = 6
 
@@ -77,10 +80,11 @@ def _cells(dims: Sequence[str], width: Column) -> list[Column]:
 
 
 def candidates(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Sequence[str], k: int,
-               levels: Sequence[int], query_id: str, carry: Sequence[str]) -> DataFrame:
+               levels: Sequence[int], query_id: str, carry: Sequence[str], narrowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every row that can be among the ``k`` nearest of a query inside its ``by`` group.
 
-    Returns query_id, by, d2 and the ``carry`` columns; the k nearest are always among them.
+    Returns query_id, by, d2 and the ``carry`` columns; the k nearest are always among them. ``narrowed`` may drop queries or lessen their
+    bounds (``_far2``, the squared distance; ``_in_cell``, null where no ``k`` rows are known to lie within it) before rows are fetched.
     """
     widths = [F.struct(F.lit(i).alias("level"), F.lit(2.0 ** i).alias("width")) for i in levels]
     cells = [f"_c{i}" for i in range(len(dims))]
@@ -97,30 +101,40 @@ def candidates(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims:
     summary = wider.groupBy(*by, "_level", *cells).agg(F.sum("_rows").alias("_rows"), *again).where(F.col("_rows") >= k)
     whole = finest.groupBy(*by).agg(*again)
 
-    # (2) the least upper bound over all widths.
+    # (2) the least upper bound over all widths. A query outside the extent looks up the cell of the nearest point inside.
     in_cell = summary.select(*by, "_level", *cells, *[F.col(e).alias(f"_in{e}") for e in edges])
-    looked_up = queries.withColumn("_w", F.explode(F.array(*widths))).select(
-        query_id, *by, *dims, F.col("_w.level").alias("_level"), *_cells(dims, F.col("_w.width"))).join(
+    asked = queries.select(query_id, *by, *dims).join(whole, [*by]).withColumns(
+        {f"_at_{d}": F.greatest(f"_lo_{d}", F.least(d, f"_hi_{d}")) for d in dims})
+    looked_up = asked.withColumn("_w", F.explode(F.array(*widths))).select(
+        query_id, *by, *dims, *edges, F.col("_w.level").alias("_level"),
+        *[F.floor(F.col(f"_at_{d}") / F.col("_w.width")).cast("bigint").alias(c) for d, c in zip(dims, cells)]).join(
         in_cell, [*by, "_level", *cells], "left")
-    least = looked_up.groupBy(query_id, *by, *dims).agg(F.min(far2("_in_lo", "_in_hi")).alias("_in_cell"))
-    bounded = least.join(whole, [*by]).withColumn("_far2", F.least("_in_cell", far2("_lo", "_hi")) + 1e-6)
-
-    # (3) visit the touched cells at the narrowest width that is not below half the radius.
-    radius = F.sqrt("_far2")
-    fitting = F.ceil(F.log2(radius)).cast("int") - 1
+    least = looked_up.groupBy(query_id, *by, *dims, *edges).agg(F.min(far2("_in_lo", "_in_hi")).alias("_in_cell"))
+    bounded = least.withColumn("_far2", F.least("_in_cell", far2("_lo", "_hi")) + 1e-6)
+    bounded = narrowed(bounded) if narrowed else bounded
+
+    # (3) visit the touched cells at the narrowest width that is not below half the reach. The part of the distance that a query has
+    # to the extent is spent before any row is met, so the reach inside, and with it the cells, stay small for far queries too.
+    outside = {d: F.greatest(F.col(f"_lo_{d}") - F.col(d), F.col(d) - F.col(f"_hi_{d}"), F.lit(0.0)) for d in dims}
+    spent = bounded.withColumns({f"_out_{d}": gap for d, gap in outside.items()}).withColumn("_spent2", _sum([_square(F.col(f"_out_{d}")) for d in dims]))
+    reach = F.sqrt(F.greatest(F.col("_far2") - F.col("_spent2"), F.lit(1e-6)))
+    fitting = F.ceil(F.log2(reach)).cast("int") - 1
     wide_enough = F.filter(F.array(*[F.lit(i) for i in levels]), lambda i: i >= fitting)
-    visits = bounded.withColumn("_level", F.coalesce(F.array_min(wide_enough), F.lit(levels[-1])))
+    visits = spent.withColumn("_level", F.coalesce(F.array_min(wide_enough), F.lit(levels[-1])))
     visits = visits.withColumn("_width", F.pow(F.lit(2.0), F.col("_level")))
     cell_of = lambda x: F.floor(x / F.col("_width")).cast("bigint")
     for d, cell in zip(dims, cells):
-        first = F.greatest(F.col(d) - radius, F.col(f"_lo_{d}"))
-        last = F.least(F.col(d) + radius, F.col(f"_hi_{d}"))
+        along = F.sqrt(F.greatest(F.col("_far2") - F.col("_spent2") + _square(F.col(f"_out_{d}")), F.lit(0.0)))
+        first = F.greatest(F.col(d) - along, F.col(f"_lo_{d}"))
+        last = F.least(F.col(d) + along, F.col(f"_hi_{d}"))
         gap = F.greatest(F.col(cell) * F.col("_width") - F.col(d), F.col(d) - (F.col(cell) + 1) * F.col("_width"), F.lit(0.0))
         visits = visits.where(first <= last).withColumn(cell, F.explode(F.sequence(cell_of(first), cell_of(last)))).withColumn(f"_gap_{d}", gap)
     # Corner cells outside the ball are left out.
     touched = visits.where(_sum([_square(F.col(f"_gap_{d}")) for d in dims]) <= F.col("_far2"))
-    visits = spread(touched.select(query_id, *by, *dims, "_far2", "_level", *cells), *by, "_level", *cells)
-    placed = rows.withColumn("_w", F.explode(F.array(*widths))).select(
+    visits = materialize(spread(touched.select(query_id, *by, *dims, "_far2", "_level", *cells), *by, "_level", *cells))
+    # Rows are placed at the widths that some query visits: a few numbers, one for each width.
+    used = sorted(r[0] for r in visits.select("_level").distinct().collect())
+    placed = rows.withColumn("_w", F.explode(F.array(*[w for w, i in zip(widths, levels) if i in used] or widths[:1]))).select(
         *by, F.col("_w.level").alias("_level"), *_cells(dims, F.col("_w.width")),
         *[F.col(d).alias(f"_p_{d}") for d in dims], *carry)
     d2 = _sum([_square(F.col(d) - F.col(f"_p_{d}")) for d in dims])
@@ -141,7 +155,8 @@ def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Se
     take no part.
 
     The k nearest rows are always among the k nearest of the same category and the k nearest of any
-    category, so each query asks for just those two lists.
+    category, so each query asks for just those two lists. A row of another category is 2 farther: where the query's own category
+    has ``k`` rows within a bound, the second list reaches only as far as the bound less 2, and mostly not at all.
     """
     queries, rows = queries.dropna(subset=list(dims)), rows.dropna(subset=list(dims))
     group = [*by, "_any", "_pool"]
@@ -150,14 +165,19 @@ def estimate(queries: DataFrame, rows: DataFrame, *, by: Sequence[str], dims: Se
     pooled = lambda df, own: df.withColumn("_in", pools(own)).withColumns({"_any": F.col("_in.any"), "_pool": F.col("_in.pool")}).drop("_in")
     points = lowest(pooled(rows, category), [*group, *dims], row_id, k)
     asks = pooled(queries.select(query_id, *by, *dims, F.col(category).alias("_own")), "_own")
+    def narrowed(bounded: DataFrame) -> DataFrame:
+        own = F.min(F.when(~F.col("_any") & F.col("_in_cell").isNotNull(), F.col("_far2"))).over(Window.partitionBy("_ask", *by))
+        reach = F.when(F.col("_any") & F.col("_own2").isNotNull(), F.least("_far2", F.col("_own2") - OTHER_CATEGORY + 1e-6)).otherwise(F.col("_far2"))
+        return bounded.withColumn("_own2", own).withColumn("_far2", reach).where("_far2 >= 0").drop("_own2")
+
     near = candidates(
         asks.withColumn("_ask", F.struct(query_id, "_own")).select("_ask", *group, *dims), points, by=group, dims=dims,
-        k=k, levels=cell_levels(queries, rows, dims), query_id="_ask", carry=[row_id, category, value])
+        k=k, levels=cell_levels(queries, rows, dims), query_id="_ask", carry=[row_id, category, value], narrowed=narrowed)
     same = F.col(category) == F.col("_ask._own")
     # In the list over any category, rows of the query's own one are repeats.
     scored = near.where(~F.col("_any") | ~same).select(
         F.col(f"_ask.{query_id}").alias(query_id), row_id, F.col(value).alias("_value"),
-        F.round(F.col("d2") + F.when(same, 0.0).otherwise(2.0), 9).alias("d2"))
+        F.round(F.col("d2") + F.when(same, 0.0).otherwise(OTHER_CATEGORY), 9).alias("d2"))
     order = Window.partitionBy(query_id).orderBy("d2", row_id)
     return (
         scored.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that :func:`store` has written inside the innermost :func:`scratch`.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def get_session(app: str = "assayframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; a cluster keeps its own master and partition counts."""
@@ -47,10 +53,28 @@ def materialize(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """Like :func:`materialize`, as a compressed Parquet table: for wide rows, and where later steps prune columns."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Inside, tables written by :func:`store` last until the end: write or collect what is made of them before it.
+
+    >>> with scratch(spark):
+    ...     jaccard.near_duplicates(docs).write.parquet(path)
+    """
+    mark = _written.set([])
+    try:
+        yield
+    finally:
+        paths, _ = _written.get(), _written.reset(mark)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Hash-partition a small-in-bytes, heavy-to-process table over all cores.
 

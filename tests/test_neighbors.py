@@ -117,3 +117,27 @@ def test_rows_without_a_target_are_never_chosen(spark):
     train = spark.createDataFrame([("a", "CCC", 20.0, None, None, None), ("b", "CCCC", 20.0, None, None, 2.0)], schema)
     asked = spark.createDataFrame([("q", "CCC", 20.0, None, None, None)], schema)
     assert [r.predicted_pcmc for r in NB.knn_predict(train, asked, keep=["sample_id"], k=1).collect()] == [2.0]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_queries_far_outside_the_data(spark, seed):
+    """On one or more sides, near and far, against dense and sparse tables: as brute force."""
+    queries, rows = fixture(seed + 20, n=400, m=90)
+    rng = np.random.default_rng(seed)
+    rows.loc[len(rows) - 2:, "b"] = 50.0
+    for d, at in (("a", 40.0), ("b", 500.0), ("c", 3.0)):
+        some = rng.random(len(queries)) < 0.4
+        queries.loc[some, d] = rng.choice([-at, at, 3 * at], some.sum())
+    got, want = run(spark, queries, rows, 5, []), brute(queries, rows, 5)
+    assert got.keys() == want.keys()
+    assert all(got[q] == pytest.approx(want[q], abs=1e-12) for q in want)
+
+
+def test_far_queries_meet_few_rows(spark):
+    """A dense table and queries beyond its end: the pairs formed are few, as for queries inside."""
+    rows = pd.DataFrame([(float(a), float(b), 0.0, "", f"r{a:03d}{b:03d}", 1.0) for a in range(60) for b in range(60)], columns=[*DIMS, "cat", "id", "v"])
+    queries = pd.DataFrame([(float(a), b, 0.0, "", f"q{a}{b}") for a in range(0, 60, 10) for b in (-300.0, 30.0, 90.0, 5000.0)], columns=[*DIMS, "cat", "query_id"])
+    q, r = spark.createDataFrame(queries), spark.createDataFrame(rows)
+    near = NB.candidates(q.select("query_id", "cat", *DIMS), r, by=["cat"], dims=DIMS, k=5, levels=NB.cell_levels(q, r, DIMS), query_id="query_id", carry=["id"])
+    counts = near.groupBy("query_id").count().toPandas()["count"]
+    assert len(counts) == len(queries) and counts.max() < 200
