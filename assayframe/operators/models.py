@@ -18,6 +18,8 @@ from assayframe.operators import metrics as M
 from assayframe.session import spread
 
 PREDICTION = "predicted_pcmc"
+#: Thresholds a tree may try for a feature; the conditions and counts here have fewer values, so none is lost.
+MAX_BINS = 128
 
 
 def predict_constant(df: DataFrame, value: float = 0.0, prediction: str = PREDICTION) -> DataFrame:
@@ -54,12 +56,12 @@ CONDITION_COLUMNS = [
 def forest(params: dict | None = None, prediction: str = PREDICTION) -> RandomForestRegressor:
     # Deep trees: caching each row's node per tree saves walking the trees again at every level.
     settings = {"numTrees": 20, "maxDepth": 17, "seed": S.SEED, "featureSubsetStrategy": "all",
-                "cacheNodeIds": True, "maxMemoryInMB": 1024, **(params or {})}
+                "cacheNodeIds": True, "maxMemoryInMB": 1024, "maxBins": MAX_BINS, **(params or {})}
     return RandomForestRegressor(labelCol=S.TARGET, featuresCol="features", predictionCol=prediction, **settings)
 
 
 def boosting(params: dict | None = None, prediction: str = PREDICTION) -> GBTRegressor:
-    settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "seed": S.SEED, **(params or {})}
+    settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "seed": S.SEED, "maxBins": MAX_BINS, **(params or {})}
     return GBTRegressor(labelCol=S.TARGET, featuresCol="features", predictionCol=prediction, **settings)
 
 

@@ -593,11 +593,21 @@ FROM events e LEFT JOIN (
     out["embedding_head_optimum"] = f"SELECT CAST(i AS INT) AS entry, CAST(0.0 AS DOUBLE) AS gradient FROM range({2 * Q.FP_WIDTH + 5}) t(i)"
     out["pca_total_variance"] = _total_variance()
     out["csv_round_trip"] = _csv_round_trip()
+    out["predictions_sink"] = with_views(f"""SELECT surfactant_smiles, temperature, additive_smiles, additive_concentration,
+  {r6('(SELECT avg(pcmc) FROM everything)')} AS predicted_pcmc FROM everything WHERE pcmc IS NULL""")
+    out["prediction_log_inputs"] = with_views(f"""SELECT sample_id AS id, '{Q.LOGGED_AT}' AS logged_at, surfactant_smiles, temperature, additive_smiles,
+  additive_concentration, round(predicted_pcmc, 4) AS predicted_pcmc, printf('%.6e', pow(10.0, -predicted_pcmc)) AS predicted_cmc_m,
+  '' AS feedback, CAST(NULL AS DOUBLE) AS actual_pcmc FROM lab_scored""")
     out["load_violations"] = _load_violations()
     swept = {"swept": f"SELECT p.*, CAST(v.step AS INT) AS step, v.temperature FROM profiles p, {values('v', Q.PROFILE_TEMPERATURES)}"}
     out["profile_knn"] = with_views(
         f"SELECT {COND}, step, {r6('predicted_pcmc')} AS predicted_pcmc FROM scored", {**swept, **knn_views("known", "swept")})
     sweep = {"swept": f"SELECT p.*, CAST(v.step AS INT) AS step, v.temperature FROM profiles p, {values('v', Q.SWEEP_TEMPERATURES)}"}
+    out["sweep_curve"] = with_views(f"""SELECT surfactant_smiles, additive_smiles, additive_concentration, 'curve' AS kind, temperature,
+  {r6('predicted_pcmc')} AS value, {r6('predicted_pcmc - 0.1')} AS band_low, {r6('predicted_pcmc + 0.1')} AS band_high FROM scored
+UNION ALL SELECT p.surfactant_smiles, p.additive_smiles, p.additive_concentration, 'observed', k.temperature, {r6('k.pcmc')}, NULL, NULL
+FROM profiles p JOIN known k ON k.surfactant_smiles = p.surfactant_smiles AND k.additive_smiles IS NOT DISTINCT FROM p.additive_smiles""",
+                                    {**sweep, **knn_views("known", "swept")})
     out["sweep_with_observed"] = with_views(f"""SELECT s.*, coalesce(o.n_observed, 0) AS n_observed, {r6('o.m')} AS observed_mean FROM (
   SELECT surfactant_smiles, additive_smiles, additive_concentration, count(predicted_pcmc) AS n_points, {r6('min(predicted_pcmc)')} AS min_pcmc,
     {r6('max(predicted_pcmc)')} AS max_pcmc, {r6('avg(predicted_pcmc)')} AS mean_pcmc FROM scored GROUP BY 1, 2, 3) s

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
 from assayframe.operators import (
-    clean, combine, evaluate, features as FT, fitted, metrics as M, models, neighbors, pca, predlog, profile, robust, selection, splits, validate,
+    clean, combine, evaluate, features as FT, metrics as M, models, neighbors, pca, predlog, profile, robust, selection, splits, validate,
 )
 from assayframe.session import materialize, shared_folder, spread
 from assayframe.sources import catalog, conform, files, standins as V
@@ -647,18 +647,18 @@ def predict_knn(spark, folder):
     return rounded(neighbors.knn_predict(train, lab_samples(spark, folder), keep=["sample_id"]), "predicted_pcmc")
 
 
-def fitted(spark, folder, name, params=None):
+def fitted_learner(spark, folder, name, params=None):
     return models.fit(models.condition_features(clean.annotated(catalog.everything(spark, folder))), name, params=params)
 
 
 @query
 def predict_rf(spark, folder):
-    return models.score(fitted(spark, folder, "rf"), models.condition_features(lab_samples(spark, folder)), ["sample_id"])
+    return models.score(fitted_learner(spark, folder, "rf"), models.condition_features(lab_samples(spark, folder)), ["sample_id"])
 
 
 @query
 def predict_gbt(spark, folder):
-    return models.score(fitted(spark, folder, "gbt"), models.condition_features(lab_samples(spark, folder)), ["sample_id"])
+    return models.score(fitted_learner(spark, folder, "gbt"), models.condition_features(lab_samples(spark, folder)), ["sample_id"])
 
 
 def head_rows(samples, folder, scalers):
@@ -699,9 +699,9 @@ def huber_loss(spark, folder):
 
 @query
 def predict_missing(spark, folder):
-    model = fitted(spark, folder, "rf")
-    rows = clean.missing(catalog.everything(spark, folder))
-    return models.score(model, models.condition_features(rows), S.CONDITIONS)
+    rows = materialize(catalog.everything(spark, folder))
+    model = models.fit(models.condition_features(clean.annotated(rows)), "rf")
+    return models.score(model, models.condition_features(clean.missing(rows)), S.CONDITIONS)
 
 
 @query
@@ -783,6 +783,29 @@ def sweep_with_observed(spark, folder):
     return rounded(out, "min_pcmc", "max_pcmc", "mean_pcmc", "observed_mean")
 
 
+@query
+def sweep_curve(spark, folder):
+    """The rows behind a sweep's picture: the predicted curve of each profile with its band, and the measured points of its molecule and
+    additive at their own temperatures."""
+    keys = [S.SUBJECT, S.ADDITIVE, S.CONCENTRATION]
+    train, profiles = merged_annotated(spark, folder), materialize(lab_profiles(spark, folder))
+    scored = neighbors.knn_predict(train, profile.grid(profiles, SWEEP_TEMPERATURES), keep=[*keys, S.TEMPERATURE])
+    curve = scored.withColumns(profile.band(F.col("predicted_pcmc"))).select(
+        *keys, F.lit("curve").alias("kind"), S.TEMPERATURE, F.col("predicted_pcmc").alias("value"), "band_low", "band_high")
+    points = combine.observed_points(profiles, train.select(S.SUBJECT, S.ADDITIVE, S.TEMPERATURE, S.TARGET), [S.SUBJECT, S.ADDITIVE])
+    seen = points.select(*keys, F.lit("observed").alias("kind"), F.col("observed_temperature").alias(S.TEMPERATURE), F.col("observed_pcmc").alias("value"))
+    return rounded(curve.unionByName(seen, allowMissingColumns=True), "value", "band_low", "band_high")
+
+
+@query
+def predictions_sink(spark, folder):
+    """Predictions for the rows without a target, written by the sink and read back."""
+    rows = materialize(catalog.everything(spark, folder))
+    path = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
+    files.write_predictions(models.predict_mean(clean.annotated(rows), clean.missing(rows)), path)
+    return rounded(spark.read.parquet(path), "predicted_pcmc")
+
+
 @query
 def ablation_table(spark, folder):
     rows = merged_annotated(spark, folder).select("sample_id", S.SUBJECT, S.TARGET)
@@ -892,6 +915,21 @@ def prediction_log(spark, folder):
     return predlog.formatted(event_log(spark, folder))
 
 
+LOGGED_AT = "2024-01-01 12:00:00"
+
+
+@query
+def prediction_log_inputs(spark, folder):
+    """Scored samples as log rows with their four inputs, appended in two parts and read as one log."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    scored = lab_by_mean(spark, folder).withColumn("at", F.lit(LOGGED_AT))
+    rows = predlog.log_rows(scored, log_id="sample_id", ts="at", prediction="predicted_pcmc")
+    first = F.col(S.ADDITIVE).isNull()
+    for part in (first, ~first):
+        predlog.append(rows.where(part), path)
+    return predlog.formatted(predlog.read(spark, path))
+
+
 @query
 def merge_feedback(spark, folder):
     grade = F.col("event_id") % 5
