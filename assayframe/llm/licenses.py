@@ -12,8 +12,8 @@ deciding ones, so every part holds a cue word of its template. The cues are such
 reaches as far around each as the longest template can.
 
 Edge cases: null and empty texts have no findings. Repeated rows each get the finding. Case, marks and line ends do not
-matter. Long licenses are known by their title, header and paragraphs. A two or three clause license is told by whether its third clause
-stands in the text. Ids after an SPDX tag are read one by one. Ties go to fewer differing words, then to the first by name. An empty table
+matter. Long licenses are known by their title, header and paragraphs. A two or three clause license is told by which of its clauses
+stand in the text; the opening alone counts as the three-clause one. Ids after an SPDX tag are read one by one. Ties go to fewer differing words, then to the first by name. An empty table
 gives an empty result. Every finding is a function of one row, so the plan has no shuffle and no key that could run hot.
 """
 
@@ -54,8 +54,11 @@ TEMPLATES = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
         "permissions and limitations under the License.",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
-    "BSD-2-Clause": [
+    "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD clause": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."],
     "BSD-3-Clause": [
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
         "this software without specific prior written permission."],
@@ -101,7 +104,7 @@ NAMES = {
 }
 VERSION = re.compile(r"v?(\d{1,2}(?:\.\d+)*?)(?:\.0)*$")
 #: License ids after an SPDX tag, in lower case; a GNU id may end in -only, -or-later or +.
-SPDX = {name.lower(): name for name in TEMPLATES if name != "Proprietary"}
+SPDX = {name.lower(): name for name in [*TEMPLATES, "BSD-2-Clause"] if name not in ("Proprietary", "BSD", "BSD clause")}
 SPDX |= {f"{low}-{end}": name for low, name in list(SPDX.items()) if "GPL" in name for end in ("only", "or-later")}
 TAG = "spdx-license-identifier"
 TOKEN = re.compile(r"\w+(?:[.-]\w+)*")
@@ -253,9 +256,11 @@ def place(text: str, at: int) -> tuple[int, int]:
 
 
 def clauses(found: list[tuple]) -> list[tuple]:
-    """The opening that two licenses share is the three-clause one's where its third clause stands in the text too."""
-    three = any(f[2] == "BSD-3-Clause" for f in found)
-    return [(*f[:2], "BSD-3-Clause", *f[3:]) if three and f[2] == "BSD-2-Clause" else f for f in found]
+    """The opening and the second clause are shared by two licenses: of two clauses where the second stands in the text and the third
+    does not, else of three."""
+    labels = {f[2] for f in found}
+    label = "BSD-2-Clause" if "BSD clause" in labels and "BSD-3-Clause" not in labels else "BSD-3-Clause"
+    return [(*f[:2], label if f[2] in ("BSD", "BSD clause") else f[2], *f[3:]) for f in found]
 
 
 def blocks(words: list[str]) -> Iterator[tuple[int, int]]:

@@ -157,11 +157,12 @@ def test_names_and_versions_decide(spark):
              "Creative Commons Attribution 3.0 International Public License", "Licensed under the Apache License, Version 1.1.",
              "Licensed under the Eclipse Public License, Version 2.0.", "Permision is herby granted, free of charge, to any person obtaining a copy",
              "This is free and unencumbered software released into the public domain.", licenses.TEMPLATES["ISC"][0],
-             licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["BSD-2-Clause"][0] + "\n" + licenses.TEMPLATES["BSD-3-Clause"][0],
+             "\n".join([licenses.TEMPLATES["BSD"][0], licenses.TEMPLATES["BSD clause"][0]]),
+             "\n".join(licenses.TEMPLATES[k][0] for k in ("BSD", "BSD clause", "BSD-3-Clause")), "SPDX-License-Identifier: BSD-2-Clause",
              "GNU Lesser General Public License, version 3", "the license of the driver expired in may", "an apache of the public domain"]
     assert licenses_of(spark, texts) == [
         ["GPL (version unresolved)"], ["CC-BY-SA (version unresolved)"], ["CC-BY-ND-4.0"], ["Apache-2.0"], ["CC-BY (version unresolved)"],
-        ["Apache (version unresolved)"], ["EPL-2.0"], ["MIT"], ["Unlicense"], ["ISC"], ["BSD-2-Clause"], ["BSD-3-Clause", "BSD-3-Clause"], ["LGPL-3.0"], [], []]
+        ["Apache (version unresolved)"], ["EPL-2.0"], ["MIT"], ["Unlicense"], ["ISC"], ["BSD-2-Clause"] * 2, ["BSD-3-Clause"] * 3, ["BSD-2-Clause"], ["LGPL-3.0"], [], []]
 
 
 def changed_template(rng, template):
