@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from assayframe import schemas as S
 from assayframe.operators import features as FT, models, neighbors
 from assayframe.operators.features import FeatureStage, KeyedStage
-from assayframe.session import spread
 
 #: Feature sets that change what a predictor does; others are accepted and left out.
 USES: dict[str, set[str]] = {"constant": set(), "mean": set(), "knn": set()}
@@ -72,11 +71,8 @@ def fit(train: DataFrame, model: str, features: Sequence[str] = (), params: dict
     featured = rows
     for stage in made:
         featured = stage.transform(featured)
-    narrow = spread(featured.select(target, "features")).persist()
-    try:
+    with models.training_rows(featured.select(target, "features")) as narrow:
         return PipelineModel([*made, models.learner(model, params).fit(narrow)])
-    finally:
-        narrow.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assayframe import schemas as S
 from assayframe.functions import encode as E, numeric as N, text as X
 from assayframe.operators import metrics as M
-from assayframe.session import spread
 
 PREDICTION = "predicted_pcmc"
 #: Thresholds a tree may try for a feature; the conditions and counts here have fewer values, so none is lost.
 MAX_BINS = 128
+#: Training rows of one task, and the tasks that a smaller table is dealt over at most.
+ROWS_PER_TASK = 1 << 18
+FEW_TASKS = 8
 
 
 def predict_constant(df: DataFrame, value: float = 0.0, prediction: str = PREDICTION) -> DataFrame:
@@ -83,19 +86,35 @@ def pipeline(name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), param
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), learner(name, params)])
 
 
-def fit(train: DataFrame, name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), params: dict | None = None) -> PipelineModel:
-    """Fit on the annotated rows. The learners pass over the rows many times, so the narrow feature
-    table is persisted (memory, then local disk; lost blocks are recomputed) while they run."""
-    narrow = train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)
-    # A forest does much work per row in each pass, so even a small table is worth all cores. Boosting
-    # makes many light passes: there the partitions that adaptive execution sizes by bytes are better.
-    narrow = (spread(narrow) if name == "rf" else narrow).persist()
+@contextmanager
+def training_rows(narrow: DataFrame, deal: bool = True) -> Iterator[DataFrame]:
+    """The narrow feature table, persisted (memory, then local disk; lost blocks are recomputed) in as many tasks as its rows need.
+
+    A learner passes over the rows many times. In each pass every task of a deep forest sends the counts of all open nodes, whether it
+    has rows of them or not, and each of the many stages of boosting returns one result for each task: so the number of tasks
+    follows the rows, not the session's shuffle setting. With ``deal`` they are dealt evenly, otherwise neighbouring partitions are joined.
+    """
+    narrow = narrow.persist()
     try:
-        return pipeline(name, columns, params).fit(narrow)
+        most = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(most, max(FEW_TASKS, -(-narrow.count() // ROWS_PER_TASK)))
+        dealt = (narrow.repartition(tasks) if deal else narrow.coalesce(tasks)).persist()
+        try:
+            yield dealt
+        finally:
+            dealt.unpersist()
     finally:
         narrow.unpersist()
 
 
+def fit(train: DataFrame, name: str, columns: Sequence[str] = tuple(CONDITION_COLUMNS), params: dict | None = None) -> PipelineModel:
+    """Fit on the annotated rows. A forest does much work per row in each pass, so its rows are dealt evenly; boosting makes many
+    light passes and takes the partitions as they come."""
+    narrow = train.where(F.col(S.TARGET).isNotNull()).select(S.TARGET, *columns)
+    with training_rows(narrow, deal=name == "rf") as rows:
+        return pipeline(name, columns, params).fit(rows)
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     return model.transform(df).select(*(keep if keep is not None else df.columns), PREDICTION)
 

@@ -182,3 +182,19 @@ def test_huber_steps_equal_plain_reweighting(spark):
 def test_huber_of_nothing(spark):
     with pytest.raises(ValueError, match="no rows"):
         robust.fit(spark.createDataFrame([], "features array<double>, pcmc double"), "features")
+
+
+@pytest.mark.parametrize("deal", [True, False])
+def test_tasks_of_a_fit_follow_the_rows_and_not_the_shuffle_setting(spark, monkeypatch, deal):
+    rows = spark.range(0, 3000, 1, 40).selectExpr("id * 1.0 AS pcmc", "id % 7 * 1.0 AS x")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        with models.training_rows(rows, deal) as few:
+            assert few.rdd.getNumPartitions() == models.FEW_TASKS
+            assert few.agg(F.count("x"), F.sum("pcmc")).first()[:] == (3000, 3000 * 2999 / 2)
+        monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+        with models.training_rows(rows, deal) as more:
+            assert more.rdd.getNumPartitions() == 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
