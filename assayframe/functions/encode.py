@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe import schemas as S
-from assayframe.functions import numeric as N, text as X
+from assayframe.functions import grams, numeric as N, text as X
 from assayframe.operators.splits import shuffled_rank
 
 
@@ -63,14 +63,25 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         {c: F.coalesce(F.col(c), F.col(f"_fit.{c}")) for c in columns}).drop("_fit")
 
 
+#: Rows of one task in which q-grams of different keys are added up: at most ``buckets`` counts for each.
+KEYS_PER_TASK = 1 << 14
+
+
+def key_tasks(df: DataFrame, key: str) -> int:
+    """Tasks for a table whose rows are told apart by ``key``: the session's shuffle setting, and more where the rows are many."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.select(key).count() // KEYS_PER_TASK))
+
+
 def qgram_counts(df: DataFrame, key: str, column: str, q: int = 4, buckets: int = 256) -> DataFrame:
-    """Hashed q-gram counts: (key, bucket, n). Long texts are taken in pieces, so no row holds all
-    grams of a text at once. Grams become small integers before the shuffle and are counted map-side,
-    so at most ``buckets`` rows per key and task travel."""
-    pieces = df.select(key, F.explode(X.overlapping_pieces(F.col(column), q - 1)).alias("piece"))
-    grams = pieces.select(key, F.explode(X.qgrams(F.col("piece"), q)).alias("gram"))
-    return grams.select(key, X.gram_bucket(F.col("gram"), buckets).alias("bucket")).groupBy(key, "bucket").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Hashed q-gram counts: (key, bucket, n). Long texts are taken in pieces, so no row holds all grams of a text at once. A task counts
+    the pieces of an Arrow batch by key and sends one list for each, so a frequent key (or null) sends at most ``buckets`` counts per
+    batch; the lists are dealt by key over so many tasks that what one adds up does not grow with the table."""
+    pieces = df.select(F.col(key).alias("key"), F.explode(X.overlapping_pieces(F.col(column), q - 1)).alias("piece"))
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("counts", T.ArrayType(T.LongType()))])
+    lists = pieces.mapInArrow(lambda batches: grams.bucket_counts(batches, q, buckets), schema)
+    one = lists.repartition(key_tasks(df, key), "key").select("key", F.explode("counts").alias("c"))
+    return one.groupBy(F.col("key").alias(key), (F.col("c") % buckets).cast("int").alias("bucket")).agg(
+        F.sum(F.expr(f"c div {buckets}")).alias("n"))
 
 
 def expert_features(df: DataFrame, key: str = S.SUBJECT) -> DataFrame:

@@ -58,8 +58,9 @@ def qgrams(c: Column, q: int = 4) -> Column:
 
 def overlapping_pieces(c: Column, overlap: int, size: int = 8192) -> Column:
     """The text in pieces of ``size`` characters, each followed by the next ``overlap`` ones, so that
-    every substring of ``overlap + 1`` characters lies in exactly one piece by its start."""
-    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+    every substring of ``overlap + 1`` characters lies in exactly one piece by its start. A short text is its own piece."""
+    cut = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+    return F.when(F.length(c) <= size, F.array(c)).otherwise(cut)
 
 
 def gram_bucket(gram: Column, buckets: int = 256) -> Column:

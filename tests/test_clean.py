@@ -1,10 +1,12 @@
+import hashlib
 import math
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from assayframe.functions import encode as E, numeric as N, text as X
+from assayframe.functions import encode as E, grams, numeric as N, text as X
 from assayframe.operators import clean, combine
 
 
@@ -92,3 +94,30 @@ def test_one_hot_learned_null_level_and_unseen(spark):
 def test_feature_columns_skip_text_and_target(spark):
     df = spark.createDataFrame([("a", 1.0, 2, 3.0)], "s string, x double, i int, pcmc double")
     assert E.feature_columns(df) == ["x", "i"]
+
+
+def test_qgram_counts_of_repeated_null_and_empty_keys(spark, monkeypatch):
+    """Against a plain count: keys in several rows and batches, null as a key, no row for texts without a gram. One task adds up the
+    counts of a bounded number of rows, whatever the shuffle setting."""
+    texts = [(i % 7 or None, t) for i, t in enumerate(["abcabcabc", "é😀b\nc\0d" * 5, "", None, "abc", "xyz " * 3000, "中文字符 abcd"] * 9)]
+    expected = Counter((k, int(hashlib.md5(t[i:i + 4].encode()).hexdigest()[:8], 16) % 256)
+                       for k, t in texts if t is not None for i in range(len(t) - 3))
+    df = spark.createDataFrame(texts, "k int, t string")
+    for rows_per_batch in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+        try:
+            assert {(r["k"], r["bucket"]): r["n"] for r in E.qgram_counts(df, "k", "t").collect()} == expected
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(E, "KEYS_PER_TASK", 2)
+    out = E.qgram_counts(df, "k", "t")
+    assert out.schema.simpleString() == "struct<k:int,bucket:int,n:bigint>"
+    assert out.rdd.getNumPartitions() == 32
+
+
+@pytest.mark.parametrize("size", [1, 10**9])
+def test_grams_are_named_by_table_or_by_sorting(monkeypatch, size):
+    monkeypatch.setattr(grams, "TABLE", size)
+    text = "the cat sat on the mat, the cat sat"
+    assert grams.buckets_of(text, 4, 256, {}).tolist() == [
+        int(hashlib.md5(text[i:i + 4].encode()).hexdigest()[:8], 16) % 256 for i in range(len(text) - 3)]
