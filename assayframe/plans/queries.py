@@ -560,7 +560,8 @@ def expand_vector_columns(spark, folder):
 
 @query
 def qgram_fingerprint(spark, folder):
-    return E.qgram_counts(V.mol(spark, folder), "mol_id", "smiles")
+    mols = V.mol(spark, folder).select("mol_id", "smiles")  # a file of millions of short rows is read by few tasks
+    return E.qgram_counts(mols.repartition(E.key_tasks(mols, "mol_id")), "mol_id", "smiles")
 
 
 @query
