@@ -587,19 +587,28 @@ def descriptor_set(spark, folder):
 KNOWN_ADDITIVE = "[Na+].[Cl-]"
 
 
-def molecule_tables(spark, folder):
+def molecule_tables(spark, folder, wanted=("weights", "vectors")):
     """Weight and vector of each molecule text, of the lowest molecule number that has them; one additive has a vector too."""
     mols = V.mol(spark, folder).select(F.col("smiles").alias("key"), "mol_id", F.col("molecular_weight").alias("value"))
-    vectors = mols.select("key", "mol_id").join(V.descr(spark, folder).withColumnRenamed("fp", "value"), "mol_id")
-    first = lambda df: df.join(df.groupBy("key").agg(F.min("mol_id").alias("mol_id")), ["key", "mol_id"])
-    of_additive = vectors.groupBy(F.lit(KNOWN_ADDITIVE).alias("key")).agg(F.min("mol_id").alias("mol_id")).join(
-        vectors.select("mol_id", "value"), "mol_id")
-    return {"weights": first(mols).select("key", "value"), "vectors": first(vectors).select("key", "value").unionByName(of_additive.select("key", "value"))}
+    first = lambda df: df.join(df.groupBy("key").agg(F.min("mol_id").alias("mol_id")), ["key", "mol_id"]).select("key", "value")
+    tables = {"weights": first(mols)} if "weights" in wanted else {}
+    if "vectors" in wanted:
+        # Read four times below: written, so that the molecules are joined (and perhaps sent to the driver for it) once.
+        vectors = materialize(mols.select("key", "mol_id").join(V.descr(spark, folder).withColumnRenamed("fp", "value"), "mol_id"))
+        of_additive = vectors.groupBy(F.lit(KNOWN_ADDITIVE).alias("key")).agg(F.min("mol_id").alias("mol_id")).join(
+            vectors.select("mol_id", "value"), "mol_id").select("key", "value")
+        tables["vectors"] = first(vectors).unionByName(of_additive)
+    return tables
+
+
+SET_TABLES = {"expert": "weights", "descr": "vectors", "chen": "vectors"}
 
 
 def feature_entries(spark, folder, names):
-    tables = molecule_tables(spark, folder)
-    featured = FT.with_features(V.lab(spark, folder), names, tables)
+    """A lookup reads its samples twice, and each set looks up again: samples and tables are written, so that what is below runs once."""
+    tables = molecule_tables(spark, folder, {SET_TABLES[n] for n in names if n in SET_TABLES})
+    tables = {k: materialize(t) for k, t in tables.items()}
+    featured = FT.with_features(materialize(V.lab(spark, folder)), names, tables)
     return rounded(FT.entries(featured, names, ["sample_id"], tables), "value")
 
 

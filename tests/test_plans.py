@@ -41,3 +41,10 @@ def test_scan_reads_only_what_is_needed(spark, folder):
 def test_merge_uses_partial_hash_aggregation(spark, folder):
     text = plan(catalog.everything(spark, folder))
     assert "partial_avg" in text and "SortAggregate" not in text
+
+
+@pytest.mark.parametrize("name", ["features_descr_chen", "features_expert_lingo"])
+def test_lookups_read_written_samples_and_tables(spark, folder, name):
+    """The joins that make samples and molecule tables (and what they broadcast) run once, not in each lookup."""
+    text = plan(Q.QUERIES[name](spark, folder))
+    assert "FileScan" not in text and "Scan ExistingRDD" in text
