@@ -94,9 +94,16 @@ def training_rows(narrow: DataFrame, deal: bool = True) -> Iterator[DataFrame]:
     has rows of them or not, and each of the many stages of boosting returns one result for each task: so the number of tasks
     follows the rows, not the session's shuffle setting. With ``deal`` they are dealt evenly, otherwise neighbouring partitions are joined.
     """
+    most = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if most <= FEW_TASKS:  # few already, whatever the rows
+        dealt = (narrow.repartition(most) if deal else narrow).persist()
+        try:
+            yield dealt
+        finally:
+            dealt.unpersist()
+        return
     narrow = narrow.persist()
     try:
-        most = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         tasks = min(most, max(FEW_TASKS, -(-narrow.count() // ROWS_PER_TASK)))
         dealt = (narrow.repartition(tasks) if deal else narrow.coalesce(tasks)).persist()
         try:
